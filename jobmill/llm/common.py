@@ -69,8 +69,13 @@ def text_slices(texts: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int,
         i = j
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
-    """(64-bit hash of each word, number of words of each text) of texts laid end to end.
+#: A second way to cut words: ASCII letters and digits and all bytes beyond ASCII stand in words.
+MARKS = np.ones(256, dtype=bool)
+MARKS[48:58] = MARKS[65:91] = MARKS[97:123] = MARKS[128:] = False
+
+
+def word_hashes(data: np.ndarray, offsets: np.ndarray, lower: bool = True, gap: np.ndarray = _GAP) -> tuple[np.ndarray, np.ndarray]:
+    """(64-bit hash of each word, number of words of each text) of texts laid end to end; bytes in `gap` part words.
 
     A word's hash is a sum of random byte values times powers of an odd base, taken from running
     sums modulo 2**64, so that no step loops over words.
@@ -80,7 +85,7 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tu
         return np.zeros(0, np.uint64), np.zeros(n, np.int64)
     if lower:
         data = _LOWER[data]
-    word = ~_GAP[data]
+    word = ~gap[data]
     opens = word.copy()
     opens[1:] &= ~word[:-1]
     inner = offsets[1:-1]
@@ -99,3 +104,100 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tu
     np.multiply.accumulate(inverse, out=inverse)
     hashes = mix((sums[after] - sums[starts]) * inverse[starts])
     return hashes, np.diff(np.searchsorted(starts, offsets))
+
+
+COUNT_SCHEMA = "part int, counts binary"
+
+
+def count_rows(total: np.ndarray, parts: int) -> tuple[pa.Array, pa.Array]:
+    """(part, counts) arrays for a task's counters, cut into `parts` equal ranges; 4 bytes a counter, or 8 if one needs them.
+
+    The first byte of each range says which.
+    """
+    padded = np.zeros(-(-len(total) // parts) * parts, dtype="<i4" if total.max(initial=0) < 2**31 else "<i8")
+    padded[: len(total)] = total
+    return pa.array(range(parts), pa.int32()), pa.array([bytes([padded.itemsize]) + x.tobytes() for x in np.split(padded, parts)], pa.binary())
+
+
+def summed_counts(rows: DataFrame, size: int, parts: int) -> np.ndarray:
+    """The sum of all tasks' count_rows: `size` counters, whatever the input. Ranges are summed apart, one batch at a time."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for part, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                sums[part] = sums.get(part, 0) + np.frombuffer(counts, f"<i{counts[0]}", offset=1).astype(np.int64)
+        keys = sorted(sums)
+        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), pa.array([sums[k].tobytes() for k in keys], pa.binary())], names=["part", "counts"])
+
+    out = np.zeros((parts, -(-size // parts)), dtype=np.int64)
+    for part, counts in rows.select("part", "counts").repartition(parts, "part").mapInArrow(add, COUNT_SCHEMA).collect():
+        out[part] = np.frombuffer(counts, "<i8")
+    return out.reshape(-1)[:size]
+
+
+def gathered(values: np.ndarray, offsets: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Runs values[offsets[i] : offsets[i] + lengths[i]], laid end to end."""
+    total = int(lengths.sum())
+    if not total:
+        return values[:0]
+    shift = np.repeat(offsets - (np.cumsum(lengths) - lengths), lengths)
+    return values[shift + np.arange(total)]
+
+
+class ChunkTable:
+    """Distinct chunks of text with the ids that a tokenizer gives each: what was met before is looked up.
+
+    `encode` turns a list of chunks (bytes) into a list of id lists. The table is dropped and begun
+    anew beyond MOST chunks or MOST_BYTES, so that a task's memory has a bound whatever it reads.
+    """
+
+    MOST = 1_000_000
+    MOST_BYTES = 32 << 20
+
+    def __init__(self, encode) -> None:
+        self.encode = encode
+        self.clear()
+
+    def clear(self) -> None:
+        self.at: dict[bytes, int] = {}
+        self.held = 0
+        self.used = self.rows = 0
+        self.ids = np.zeros(1 << 16, dtype=np.uint32)
+        self.offsets = np.zeros(1 << 14, dtype=np.int64)
+        self.lengths = np.zeros(1 << 14, dtype=np.int64)
+        self.plain = np.zeros(1 << 14, dtype=bool)
+
+    @staticmethod
+    def _grown(a: np.ndarray, need: int) -> np.ndarray:
+        if need <= len(a):
+            return a
+        out = np.zeros(max(need, 2 * len(a)), dtype=a.dtype)
+        out[: len(a)] = a
+        return out
+
+    def lookup(self, data: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """The table's row of each chunk that begins at `starts` and runs to the next, or to the end."""
+        if len(self.at) > self.MOST or self.held > self.MOST_BYTES:
+            self.clear()
+        ends = np.append(starts, len(data)).astype(np.int64)
+        chunks = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(data))])
+        coded = chunks.dictionary_encode()
+        distinct = coded.dictionary.to_pylist()
+        fresh = [c for c in distinct if c not in self.at]
+        if fresh:
+            made = self.encode(fresh)
+            lengths = np.fromiter((len(x) for x, _ in made), np.int64, len(made))
+            rows, used = self.rows + len(fresh), self.used + int(lengths.sum())
+            self.ids = self._grown(self.ids, used)
+            self.offsets, self.lengths, self.plain = (self._grown(a, rows) for a in (self.offsets, self.lengths, self.plain))
+            self.ids[self.used : used] = np.fromiter((i for x, _ in made for i in x), np.uint32, used - self.used)
+            self.offsets[self.rows : rows] = self.used + np.cumsum(lengths) - lengths
+            self.lengths[self.rows : rows] = lengths
+            self.plain[self.rows : rows] = [same for _, same in made]
+            for k, c in enumerate(fresh, self.rows):
+                self.at[c] = k
+            self.held += sum(map(len, fresh))
+            self.rows, self.used = rows, used
+        rows = np.fromiter((self.at[c] for c in distinct), np.int64, len(distinct))
+        return rows[coded.indices.to_numpy(zero_copy_only=False)]

@@ -11,12 +11,12 @@ Only those prefixes are joined. A pair must also pass
   elements, a lower bound of their difference by hash partition.
 
 What is left is verified on the whole sets, once per pair. Equal sets are one class from the start.
-A first round verifies each prefix list against its smallest member, so a large group of near copies
-becomes one component by as many pairs as it has members; the second round joins what may still link
-two components, so no link that matters is lost.
+Rounds verify each prefix list against one member, so a large group of near copies becomes one component
+by a few pairs a member; lists within one component are then done. The last round joins with themselves the lists
+that still span two components, so no link that matters is lost.
 
 The order needs shingle counts over all documents: they are summed in COUNTERS hashed counters,
-a table of fixed size; a shared counter may misplace a shingle in the order but no result depends on it.
+a table of fixed size of which every task gets a byte each; a shared counter may misplace a shingle in the order but no result depends on it.
 """
 
 from __future__ import annotations
@@ -30,13 +30,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import mix, text_slices, word_hashes, written
+from .common import count_rows, mix, summed_counts, text_slices, word_hashes, written
 from .graph import components
 
-COUNTERS = 1 << 20
+COUNTERS = 1 << 22
 RANGES = 64
 SKETCH = 8  # longs
 RECENT = 8
+#: Rounds against list heads before what is left is joined with itself.
+STARS = 5
 #: Sets fetched for verification are looked up by broadcast up to so many ids (8 bytes each), else by a shuffled join.
 LOOKUP = 1_000_000
 
@@ -69,7 +71,7 @@ def _signatures(words: int):
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(COUNTERS, dtype=np.int64)
+        total = np.zeros(COUNTERS, dtype=np.int32)
         for batch in batches:
             sizes, digests, sketches = [], [], []
             pending, held = [], 0
@@ -80,7 +82,7 @@ def _signatures(words: int):
                 sketches.append(np.packbits(bits.astype(np.uint8)))
                 pending.append(s)
                 held += len(s)
-                if held > 500_000:
+                if held > 2_000_000:
                     total += np.bincount((np.concatenate(pending) >> np.uint64(40)).astype(np.int64) % COUNTERS, minlength=COUNTERS)
                     pending, held = [], 0
             if held:
@@ -93,30 +95,16 @@ def _signatures(words: int):
                 columns += [pa.array(longs[:, i]) for i in range(SKETCH)] + [none.cast(pa.int32()), none.cast(pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, schema=schema)
         if total.any():
-            parts = [x.astype("<u4").tobytes() for x in np.split(np.minimum(total, 2**32 - 1), RANGES)]
             columns = [pa.nulls(RANGES).cast(f.type) for f in schema][: 4 + SKETCH]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(range(RANGES), pa.int32()), pa.array(parts, pa.binary())], schema=schema)
+            yield pa.RecordBatch.from_arrays([*columns, *count_rows(total, RANGES)], schema=schema)
 
     return run, "doc_id long, n long, digest binary, key long, " + ", ".join(f"s{i} long" for i in range(SKETCH)) + ", part int, counts binary"
 
 
 def _levels(signatures: DataFrame) -> np.ndarray:
     """A byte for each counter that grows with its count; COUNTERS bytes whatever the input."""
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for part, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                sums[part] = sums.get(part, 0) + np.frombuffer(counts, "<u4").astype(np.int64)
-        parts = sorted(sums)
-        levels = [np.minimum(255, np.round(6 * np.log2(1 + sums[p]))).astype(np.uint8).tobytes() for p in parts]
-        yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array(levels, pa.binary())], names=["part", "levels"])
-
-    rows = signatures.filter("part is not null").select("part", "counts").repartition(RANGES, "part").mapInArrow(add, "part int, levels binary").collect()
-    out = np.zeros((RANGES, COUNTERS // RANGES), dtype=np.uint8)
-    for part, levels in rows:
-        out[part] = np.frombuffer(levels, np.uint8)
-    return out.reshape(-1)
+    counts = summed_counts(signatures.filter("part is not null"), COUNTERS, RANGES)
+    return np.minimum(255, np.round(6 * np.log2(1 + counts))).astype(np.uint8)
 
 
 def _prefixes(levels: np.ndarray, words: int, num: int, den: int):
@@ -159,25 +147,23 @@ def _prefixes(levels: np.ndarray, words: int, num: int, den: int):
 def _sets(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, digests, keys, sets, held = [], [], [], [], 0
+            digests, keys, sets, held = [], [], [], 0
 
             def out() -> pa.RecordBatch:
-                columns = [pa.array(keys, pa.int64()), pa.array(ids, pa.int64()), pa.array(digests, pa.binary()), pa.array(sets, pa.binary())]
-                return pa.RecordBatch.from_arrays(columns, names=["key", "doc_id", "digest", "items"])
+                return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(digests, pa.binary()), pa.array(sets, pa.binary())], names=["key", "digest", "items"])
 
-            for doc_id, s in zip(batch.column("doc_id").to_pylist(), shingle_sets(batch.column("text"), words), strict=True):
+            for s in shingle_sets(batch.column("text"), words):
                 if not len(s):
                     continue
                 digest = hashlib.blake2b(s, digest_size=16).digest()
-                ids.append(doc_id)
                 digests.append(digest)
                 keys.append(int.from_bytes(digest[:8], "little", signed=True))
                 sets.append(s.tobytes())
                 held += 8 * len(s)
                 if held > 8 << 20:
                     yield out()
-                    ids, digests, keys, sets, held = [], [], [], [], 0
-            if ids:
+                    digests, keys, sets, held = [], [], [], 0
+            if digests:
                 yield out()
 
     return run
@@ -198,7 +184,7 @@ def _verified(num: int, den: int):
                 at[at == len(y)] = 0
                 both = int((y[at] == x).sum())
                 good[i] = den * both >= num * (len(x) + len(y) - both)
-            yield batch.select(["a", "b"]).filter(pa.array(good))
+            yield batch.select(["ka", "kb", "a", "b"]).filter(pa.array(good))
 
     return run
 
@@ -216,7 +202,6 @@ def ngram_links(docs: DataFrame, words: int = 3, num: int = 9, den: int = 10) ->
     a null doc_id keeps its own set size and takes part like any other; it gives no id to a component.
     Rows that repeat a doc_id are documents of their own. An empty table gives an empty result.
     """
-    spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     run, schema = _signatures(words)
     signatures = written(docs.mapInArrow(run, schema), "ngram-signatures")
@@ -226,7 +211,7 @@ def ngram_links(docs: DataFrame, words: int = 3, num: int = 9, den: int = 10) ->
         rows.filter("n > 0").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("class_size"), *(F.first(c).alias(c) for c in ("n", "key", *sketch))),
         "ngram-classes",
     )
-    edges = _edges(spark, docs, classes, _levels(signatures), words, num, den)
+    edges = _edges(docs, classes, _levels(signatures), words, num, den)
     found = edges.join(classes.select(F.col("digest").alias("a"), F.col("rep").alias("rep_a")), "a").join(classes.select(F.col("digest").alias("b"), F.col("rep").alias("rep_b")), "b")
     node = lambda rep, digest: F.struct(F.coalesce(rep, F.lit(2**63 - 1)).alias("rep"), F.col(digest).alias("digest"))
     labels = components(found.select(node(F.col("rep_a"), "a").alias("a"), node(F.col("rep_b"), "b").alias("b")))
@@ -237,60 +222,81 @@ def ngram_links(docs: DataFrame, words: int = 3, num: int = 9, den: int = 10) ->
     )
 
 
-def _edges(spark: SparkSession, docs: DataFrame, classes: DataFrame, levels: np.ndarray, words: int, num: int, den: int) -> DataFrame:
+def _pairs_of(x: str, y: str, num: int, den: int) -> Column:
+    """The length and positional filters on list rows x and y."""
+    both = F.col(f"{x}.n") + F.col(f"{y}.n")
+    long_enough = F.least(f"{x}.n", f"{y}.n") * den >= F.greatest(f"{x}.n", f"{y}.n") * num
+    return long_enough & ((F.col(f"{x}.pos") + F.col(f"{y}.pos")) * (den + num) <= both * (den - num))
+
+
+def _sketch_fits(x: str, y: str, num: int, den: int) -> Column:
+    """The suffix filter on rows x and y that carry n and a sketch."""
+    return _sketch_gap(x, y) * (den + num) <= (F.col(f"{x}.n") + F.col(f"{y}.n")) * (den - num)
+
+
+def _edges(docs: DataFrame, classes: DataFrame, levels: np.ndarray, words: int, num: int, den: int) -> DataFrame:
     """Links (a, b), by digest, that connect the components that all links connect."""
     postings = docs.select("text").mapInArrow(_prefixes(levels, words, num, den), "token long, key long, n long, pos long")
-    postings = written(postings, "ngram-prefixes").distinct()
+    postings = written(postings, "ngram-prefixes")
     shared = postings.groupBy("token").agg(F.count("*").alias("members")).filter("members > 1").select("token")
-    lists = postings.join(shared, "token")
+    lists = written(postings.join(shared, "token", "left_semi"), "ngram-lists").distinct()
+    sketches = written(classes.select("key", "n", *(f"s{i}" for i in range(SKETCH))).dropDuplicates(["key"]), "ngram-sketches")
+    open_lists = lists.withColumn("label", F.col("key"))
+    links = done = None
+    for turn in range(STARS):
+        heads = open_lists.groupBy("token").agg(F.min(F.struct((F.col("n") if not turn else F.xxhash64("key", F.lit(turn))).alias("rank"), "key", "n", "pos", "label")).alias("head"))
+        heads = heads.select("token", "head.key", "head.n", "head.pos", "head.label")
+        star = open_lists.alias("x").join(heads.alias("y"), "token").filter((F.col("x.label") != F.col("y.label")) & _pairs_of("x", "y", num, den))
+        pairs = star.select(F.least("x.key", "y.key").alias("ka"), F.greatest("x.key", "y.key").alias("kb")).distinct()
+        pairs = pairs.join(done, ["ka", "kb"], "left_anti") if done is not None else pairs
+        fit = pairs.join(sketches.alias("x"), F.col("ka") == F.col("x.key")).join(sketches.alias("y"), F.col("kb") == F.col("y.key"))
+        pairs = written(fit.filter(_sketch_fits("x", "y", num, den)).select("ka", "kb"), "ngram-pairs")
+        found = _verify(docs, classes, pairs, words, num, den)
+        done = pairs if done is None else done.union(pairs)
+        links = found if links is None else links.union(found)
+        labels = components(links.select(F.col("ka").alias("a"), F.col("kb").alias("b")))
+        lists_now = open_lists.drop("label").join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn("label", F.coalesce("label", "key"))
+        lists_now = written(lists_now, "ngram-labelled")
+        spans = lists_now.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("token")
+        open_lists = written(lists_now.join(spans, "token", "left_semi"), "ngram-open")
+        if open_lists.isEmpty():
+            return links.select("a", "b")
+        if found.isEmpty():
+            break
+    # Whatever may still link two components.
     before = Window.partitionBy("key").orderBy("pos").rowsBetween(-RECENT, -1)
-    lists = lists.withColumn("recent", F.collect_list("token").over(before))
-    sketches = classes.select("key", *(f"s{i}" for i in range(SKETCH))).dropDuplicates(["key"])
-    lists = written(lists.join(sketches, "key"), "ngram-lists")
-
-    def near(a: str, b: str) -> Column:
-        both = F.col(f"{a}.n") + F.col(f"{b}.n")
-        most = both * (den - num)  # of (den + num) times the difference
-        return (
-            (F.least(f"{a}.n", f"{b}.n") * den >= F.greatest(f"{a}.n", f"{b}.n") * num)
-            & ((F.col(f"{a}.pos") + F.col(f"{b}.pos")) * (den + num) <= most)
-            & (_sketch_gap(a, b) * (den + num) <= most)
-            & ~F.arrays_overlap(f"{a}.recent", f"{b}.recent")  # else an earlier shared shingle gives the pair
-        )
-
-    # First round: each list against its smallest member.
-    heads = lists.groupBy("token").agg(F.min(F.struct("n", "key", "pos", "recent", *(f"s{i}" for i in range(SKETCH)))).alias("head")).select("token", "head.*")
-    star = lists.alias("x").join(heads.alias("h"), "token").filter((F.col("x.key") != F.col("h.key")) & near("x", "h"))
-    pairs = star.select(F.least("x.key", "h.key").alias("ka"), F.greatest("x.key", "h.key").alias("kb")).distinct()
-    first = _verify(docs, classes, written(pairs, "ngram-pairs"), words, num, den)
-    labels = components(first.select("a", "b"))
-    # Second round: whatever may link two components.
-    own = classes.select("key", "digest").join(labels.withColumnRenamed("node", "digest"), "digest", "left").select("key", F.coalesce("label", "digest").alias("label"))
-    marked = lists.join(own.dropDuplicates(["key"]), "key")
-    open_lists = marked.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("token")
-    marked = written(marked.join(open_lists, "token"), "ngram-open")
-    cross = marked.alias("x").join(
-        marked.alias("y"),
-        (F.col("x.token") == F.col("y.token")) & (F.col("x.key") < F.col("y.key")) & (F.col("x.label") != F.col("y.label")) & near("x", "y"),
+    last = open_lists.withColumn("recent", F.collect_list("token").over(before))
+    last = written(last.join(sketches.drop("n"), "key"), "ngram-last")
+    either = ~F.arrays_overlap("x.recent", "y.recent")  # else a shingle before this one gives the pair
+    cross = last.alias("x").join(
+        last.alias("y"),
+        (F.col("x.token") == F.col("y.token"))
+        & (F.col("x.key") < F.col("y.key"))
+        & (F.col("x.label") != F.col("y.label"))
+        & _pairs_of("x", "y", num, den)
+        & _sketch_fits("x", "y", num, den)
+        & either,
     )
-    pairs2 = cross.select(F.col("x.key").alias("ka"), F.col("y.key").alias("kb")).distinct().join(pairs, ["ka", "kb"], "left_anti")
-    second = _verify(docs, classes, written(pairs2, "ngram-pairs"), words, num, den)
-    return first.union(second)
+    pairs = cross.select(F.col("x.key").alias("ka"), F.col("y.key").alias("kb")).distinct().join(done, ["ka", "kb"], "left_anti")
+    return links.union(_verify(docs, classes, written(pairs, "ngram-pairs"), words, num, den)).select("a", "b")
 
 
 def _verify(docs: DataFrame, classes: DataFrame, pairs: DataFrame, words: int, num: int, den: int) -> DataFrame:
-    """Of pairs (ka, kb) of keys, those whose whole sets are near, as (a, b) of digests."""
+    """Of pairs (ka, kb) of keys, those whose whole sets are near, as (ka, kb, a, b) with the digests a and b."""
     wanted = pairs.select(F.col("ka").alias("key")).union(pairs.select("kb")).distinct().join(classes.select("key", "rep"), "key")
     ids = written(wanted.select("rep").distinct(), "ngram-ids")
-    small = ids.count() <= LOOKUP
-    # Rows without an id can't be looked up by one; they are few or the table has no ids, and go along.
-    chosen = docs.join((F.broadcast(ids) if small else ids).withColumnRenamed("rep", "doc_id"), "doc_id", "left_semi").union(docs.filter("doc_id is null"))
-    sets = chosen.mapInArrow(_sets(words), "key long, doc_id long, digest binary, items binary").dropDuplicates(["digest"]).drop("doc_id")
-    sets = written(sets, "ngram-sets")
+    n = ids.count()
+    # Rows without an id can't be looked up by one; they go along if one of them may be asked for.
+    chosen = docs.join((F.broadcast(ids) if n <= LOOKUP else ids).withColumnRenamed("rep", "doc_id"), "doc_id", "left_semi")
+    if not ids.filter("rep is null").isEmpty():
+        chosen = chosen.union(docs.filter("doc_id is null"))
+    sets = written(chosen.mapInArrow(_sets(words), "key long, digest binary, items binary"), "ngram-sets")
+    if sets.count() > n:  # ids or texts repeat
+        sets = sets.dropDuplicates(["digest"])
     left = sets.select(F.col("key").alias("ka"), F.col("digest").alias("a"), F.col("items").alias("items_a"))
     right = sets.select(F.col("key").alias("kb"), F.col("digest").alias("b"), F.col("items").alias("items_b"))
-    both = pairs.join(left, "ka").join(right, "kb").select("a", "b", "items_a", "items_b")
-    return written(both.mapInArrow(_verified(num, den), "a binary, b binary"), "ngram-links")
+    both = pairs.join(left, "ka").join(right, "kb").select("ka", "kb", "a", "b", "items_a", "items_b")
+    return written(both.mapInArrow(_verified(num, den), "ka long, kb long, a binary, b binary"), "ngram-links")
 
 
 #: For DuckDB. Every shingle is compared as text and every linked pair is listed.
