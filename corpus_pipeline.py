@@ -1,18 +1,72 @@
-"""A training corpus from `documents`, stage by stage."""
+"""A training corpus from `documents`: toxicity, quality, near duplicates, the mix of sources, token ids.
+
+A stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last keep the columns of documents. Each is
+judged on what the one before it kept.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from jobmill.llm import mixing, ngram_join, quality, sentencepiece_ids, toxicity
+from jobmill.llm.common import written
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose toxicity stays below their language's threshold."""
+    model, thresholds = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return toxicity.scored(docs, model, thresholds).filter(~F.col("toxic")).select(*docs.columns)
+
+
+def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality scorer takes for good."""
+    return quality.scored(docs, quality.fit(docs)).filter("good").select(*docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group that links of five-word shingles at a similarity of 0.8 or more connect: the one with the smallest doc_id.
+
+    Documents without words link with nothing and stay, as do rows without a doc_id, which can't be told apart.
+    """
+    groups = ngram_join.ngram_links(docs, words=5, num=4, den=5)
+    ids = written(groups.filter("doc_id = component_id").select("doc_id").distinct(), "kept-ids")
+    kept = docs.join(ids, "doc_id", "left_semi").select(*docs.columns)
+    if ids.count() < docs.filter("doc_id is not null").select("doc_id").count() - groups.filter("doc_id <> component_id").count():
+        kept = kept.dropDuplicates(["doc_id"])  # rows that repeat an id
+    return kept.union(docs.filter("doc_id is null"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents as often as the mix takes them: rows taken twice or thrice repeat, rows not taken go."""
+    taken = mixing.mixed(docs).filter("copies > 0").select(F.col("doc_id").alias("of"), "copies").filter("of is not null")
+    copies = written(taken.groupBy("of").agg(F.max("copies").alias("copies")), "mix-copies")
+    joined = docs.join(copies, F.col("doc_id") == F.col("of")).select(*docs.columns, "copies")
+    return joined.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """(doc_id, lang, source, n_tokens, ids, same): the token ids of each text and whether they decode to it."""
+    coded = sentencepiece_ids.sentencepiece_round_trip(docs.withColumn("original", F.col("text")), keep=("doc_id", "lang", "source", "original"))
+    n = F.expr("CAST(octet_length(ids) DIV 4 AS BIGINT)")
+    return coded.select("doc_id", "lang", "source", n.alias("n_tokens"), "ids", (F.coalesce("original", F.lit("")) == F.col("decoded")).alias("same"))
+
 
-STAGES: list = []
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("quality", drop_poor),
+    ("near duplicates", drop_near_duplicates),
+    ("mixing", mix_sources),
+    ("token ids", encode),
+]
 
-#: Training and sampling are not expressible in SQL.
+#: Training and sampling are not expressible in SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What the stages leave of `documents`."""
+    """What the stages make of `documents`; each stage's result is written to the shared folder before the next reads it."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), "stage-" + name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)

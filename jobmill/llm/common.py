@@ -74,7 +74,7 @@ MARKS = np.ones(256, dtype=bool)
 MARKS[48:58] = MARKS[65:91] = MARKS[97:123] = MARKS[128:] = False
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray, lower: bool = True, gap: np.ndarray = _GAP) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(data: np.ndarray, offsets: np.ndarray, lower: bool = True, gap: np.ndarray = _GAP, prefix: int = 0) -> tuple[np.ndarray, ...]:
     """(64-bit hash of each word, number of words of each text) of texts laid end to end; bytes in `gap` part words.
 
     A word's hash is a sum of random byte values times powers of an odd base, taken from running
@@ -82,7 +82,7 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, lower: bool = True, gap:
     """
     n = len(offsets) - 1
     if not len(data):
-        return np.zeros(0, np.uint64), np.zeros(n, np.int64)
+        return (np.zeros(0, np.uint64), np.zeros(n, np.int64), np.zeros(0, np.uint64))[: 2 + bool(prefix)]
     if lower:
         data = _LOWER[data]
     word = ~gap[data]
@@ -103,7 +103,11 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, lower: bool = True, gap:
     inverse[0] = 1
     np.multiply.accumulate(inverse, out=inverse)
     hashes = mix((sums[after] - sums[starts]) * inverse[starts])
-    return hashes, np.diff(np.searchsorted(starts, offsets))
+    counts = np.diff(np.searchsorted(starts, offsets))
+    if not prefix:
+        return hashes, counts
+    inside = np.minimum(starts + prefix, after)
+    return hashes, counts, mix((sums[inside] - sums[starts]) * inverse[starts] + np.uint64(prefix))
 
 
 COUNT_SCHEMA = "part int, counts binary"

@@ -1,6 +1,6 @@
 """Media columns: payloads in tar shards, addressed by their content.
 
-Every payload is stored once, as a member named by its digest. Rows carry digest, shard, offset and length, so a
+Payloads are members named by their digest, and the index has one place for each. Rows carry digest, shard, offset and length, so a
 reader fetches the bytes it needs by range: the first 33 bytes of a member fill the columns that describe it, the
 payload is read only where it is asked for. Members are 8-bit greyscale PNG images, which are lossless.
 """
@@ -99,45 +99,26 @@ class Store:
             os.remove(f"{self.root}/{name}") if self.fs is None else self.fs.delete_file(f"{self.root}/{name}")
 
 
-def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(digest, image) of each payload that this task hasn't met before, so copies leave a task once."""
-    seen: set[bytes] = set()
-    for batch in batches:
-        digests, images, held = [], [], 0
-        for x in batch.column("payload"):
-            data = x.as_buffer().to_pybytes()
-            digest = hashlib.sha256(data).digest()
-            if digest in seen:
-                continue
-            if len(seen) < 500_000:  # beyond, copies are dropped where digests meet
-                seen.add(digest)
-            digests.append(digest.hex())
-            images.append(to_png(data))
-            held += len(images[-1])
-            if held > _SEND:
-                yield pa.RecordBatch.from_arrays([pa.array(digests), pa.array(images, pa.binary())], names=["digest", "image"])
-                digests, images, held = [], [], 0
-        if digests:
-            yield pa.RecordBatch.from_arrays([pa.array(digests), pa.array(images, pa.binary())], names=["digest", "image"])
-
-
 def _shards(uri: str):
-    """Writes (digest, image) rows into tar shards; gives (digest, shard, offset, length) of each distinct digest.
+    """Writes payloads into tar shards; gives (digest, shard, offset, length) of each that this task hasn't met before.
 
     Shard names are new in every attempt: what a lost attempt wrote is in no index and is removed where it can be.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, names, out, name, at = Store(uri), [], None, "", 0
-        seen: set[str] = set()
+        seen: set[bytes] = set()
         try:
             for batch in batches:
                 rows: list[tuple[str, str, int, int]] = []
-                for digest, image in zip(batch.column("digest").to_pylist(), batch.column("image"), strict=True):
-                    if digest in seen:
+                for x in batch.column("payload"):
+                    raw = x.as_buffer()
+                    key = hashlib.sha256(raw)
+                    if key.digest() in seen:
                         continue
-                    seen.add(digest)
-                    data = image.as_buffer()
+                    if len(seen) < 500_000:  # beyond, a copy may be stored again; the index still has one place for it
+                        seen.add(key.digest())
+                    data = to_png(raw)
                     if out is None or at + len(data) > SHARD_BYTES and at:
                         if out is not None:
                             out.write(b"\0" * 1024)
@@ -145,13 +126,13 @@ def _shards(uri: str):
                         name, at = f"{uuid.uuid4().hex}.tar", 0
                         names.append(name)
                         out = store.create(name)
-                    info = tarfile.TarInfo(f"{digest}.png")
+                    info = tarfile.TarInfo(f"{key.hexdigest()}.png")
                     info.size = len(data)
                     head = info.tobuf(format=tarfile.GNU_FORMAT)
                     out.write(head)
                     out.write(data)
                     out.write(b"\0" * (-len(data) % 512))
-                    rows.append((digest, name, at + len(head), len(data)))
+                    rows.append((key.hexdigest(), name, at + len(head), len(data)))
                     at += len(head) + len(data) + -len(data) % 512
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names=["digest", "shard", "offset", "length"])
@@ -169,13 +150,14 @@ def _shards(uri: str):
 def write_media(payloads: DataFrame, uri: str | None = None) -> tuple[DataFrame, str]:
     """(index, folder) for rows with a `payload` (binary, a multiple of WIDTH long): digest, shard, offset, length once a payload.
 
-    Copies leave a task once and meet by digest, so a payload with any number of copies is stored once.
+    Payloads go straight from the task that reads them into its shards, once a task; only digests and places are
+    shuffled. Where tasks hold copies of one payload the index names one place, the others are left unread.
     """
     spark = payloads.sparkSession
     uri = uri or f"{scratch_dir(spark)}/media-{uuid.uuid4().hex}"
-    members = payloads.select("payload").mapInArrow(_members, "digest string, image binary")
-    placed = members.repartition("digest").mapInArrow(_shards(uri), "digest string, shard string, offset long, length long")
-    return written(placed, "media-index"), uri
+    members = written(payloads.select("payload").mapInArrow(_shards(uri), "digest string, shard string, offset long, length long"), "media-members")
+    place = members.groupBy("digest").agg(F.min(F.struct("shard", "offset", "length")).alias("place")).select("digest", "place.*")
+    return written(place.repartition("shard").sortWithinPartitions("shard", "offset"), "media-index"), uri
 
 
 def media_headers(index: DataFrame, uri: str) -> DataFrame:

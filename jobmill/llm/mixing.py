@@ -13,7 +13,7 @@ constraints one after the other. A source of any size is so spread over any numb
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -24,8 +24,7 @@ MOST = 3
 WEIGHTS = (1.0, 2.0, 3.0)
 SEED = 5
 _EPS = 1e-9
-#: Landing constraints given up in this order: documents first, words last.
-_NONE: tuple[int, ...] = ()
+_FLOWN = ["doc_id", "source", "size", "source_size", "target", "base", "p", "draw", "blocks", "last"]
 
 
 def flight(p: np.ndarray, rows: list[np.ndarray], rng: np.random.Generator) -> np.ndarray:
@@ -60,6 +59,30 @@ def flight(p: np.ndarray, rows: list[np.ndarray], rng: np.random.Generator) -> n
         active = [k for k, x in zip(active, now.tolist(), strict=True) if 0 < x < 1]
 
 
+def settle_large(p: np.ndarray, size: np.ndarray, rng: np.random.Generator, share: float = 0.002) -> np.ndarray:
+    """p with the entries settled that hold more than `share` of all words, so that none of them is left for the landing.
+
+    A step moves one large entry against all the others that are open, in the null space of the words.
+    """
+    p = _snap(p.copy())
+    for k in np.argsort(-size, kind="stable"):
+        if size[k] <= share * size.sum():
+            break
+        while 0 < p[k] < 1:
+            rest = (p > 0) & (p < 1) & (size > 0)
+            rest[k] = False
+            if not rest.any():
+                return p
+            pull = size[k] / size[rest].sum()
+            up = min(1 - p[k], p[rest].min() / pull)
+            down = min(p[k], (1 - p[rest]).min() / pull)
+            step = up if rng.random() * (up + down) < down else -down
+            p[k] += step
+            p[rest] -= step * pull
+            p = _snap(p)
+    return p
+
+
 def _snap(p: np.ndarray) -> np.ndarray:
     return np.where(p < _EPS, 0.0, np.where(p > 1 - _EPS, 1.0, p))
 
@@ -87,16 +110,16 @@ def targets(sizes: DataFrame) -> DataFrame:
     return by.select("source", "source_size", "documents", target.alias("target"))
 
 
-def _fly(key, rows: pd.DataFrame) -> pd.DataFrame:
-    rows = rows.sort_values(["draw", "doc_id", "size"], kind="stable")
-    rng = np.random.default_rng([SEED, int(rows["draw"].iloc[0]) & (2**63 - 1), len(rows)])
-    size = rows["size"].to_numpy(dtype=float)
-    documents, words = np.ones(len(rows)), size / max(size.max(), 1.0)
-    p = flight(rows["p"].to_numpy(), [documents, words], rng)
-    if rows["last"].iloc[0]:  # landing
+def _fly(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
+    rows = rows.sort_by([("draw", "ascending"), ("doc_id", "ascending"), ("size", "descending")])
+    size = rows["size"].to_numpy().astype(float)
+    rng = np.random.default_rng([SEED, rows["draw"][0].as_py() & (2**63 - 1), len(size)])
+    documents, words = np.ones(len(size)), size / max(size.max(), 1.0)
+    p = flight(settle_large(rows["p"].to_numpy(), size, rng), [documents, words], rng)
+    if rows["last"][0].as_py():  # the landing gives up the number of documents, then that of words
         p = flight(p, [words], rng)
         p = flight(p, [], rng)
-    return rows.assign(p=p)
+    return rows.select(_FLOWN).set_column(_FLOWN.index("p"), "p", pa.array(p))
 
 
 def mixed(docs: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -125,7 +148,7 @@ def mixed(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     while True:
         rows = rows.withColumn("last", F.col("blocks") == 1).withColumn("block", F.pmod(F.expr("shiftrightunsigned(draw, 3)"), F.col("blocks")))
         open_ = (F.col("p") > _EPS) & (F.col("p") < 1 - _EPS)
-        flown = rows.filter(open_).groupBy("source", "block").applyInPandas(_fly, schema)
+        flown = rows.filter(open_).groupBy("source", "block").applyInArrow(_fly, schema)
         settled.append(rows.filter(~open_).select(*flown.columns))
         rows = written(flown, "mix-level")
         settled.append(rows.filter(~open_))

@@ -1,9 +1,9 @@
 """Quality classifier from weak labels.
 
 Heuristic labellers vote good, bad or nothing on each whole text. Expectation-maximisation over the counts of vote
-patterns, which are few whatever the input, estimates how far each labeller is right on good and on bad texts and so
-the probability that a text with these votes is good. Those posterior labels train a linear scorer on hashed
-byte trigrams, which then scores every text by itself.
+patterns, which are few whatever the input, estimates how often each labeller is right on good texts and on each kind of
+bad ones, and so the probability that a text with these votes is good. Those posterior labels train a linear scorer on hashed
+byte trigrams and the measures that the labellers go by, which then scores every text by itself.
 """
 
 from __future__ import annotations
@@ -23,7 +23,10 @@ BUCKETS = 4096
 #: The scorer is fitted on at most so many texts, those with the smallest hash of their votes' class and doc_id.
 SAMPLE = 3000
 ROUNDS = 200
-LABELLERS = ("symbols", "capitals", "repeats", "bars", "words", "sentences", "variety", "shouting")
+LABELLERS = ("symbols", "capitals", "repeats", "bars", "words", "sentences", "variety", "shouting", "stutter")
+
+#: What the scorer sees beside trigrams: shortness and the shares that the labellers cut.
+MEASURES = 9
 
 _SYMBOL = np.zeros(256, dtype=bool)
 _SYMBOL[[ord(c) for c in "#$%&*+<=>@^_`{|}~\\"]] = True
@@ -37,8 +40,8 @@ def _sums(mask: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.diff(np.concatenate(([0], np.cumsum(mask)))[offsets])
 
 
-def votes(texts: pa.Array) -> Iterator[np.ndarray]:
-    """An array (texts, labellers) of votes for each slice of texts. Null and empty texts get no vote but from `words`."""
+def votes(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Arrays (texts, labellers) of votes and (texts, MEASURES) of what they go by for each slice of texts. Null and empty texts get no vote."""
     for first, end, data, offsets in text_slices(texts):
         n = end - first
         size = np.maximum(np.diff(offsets), 1)
@@ -52,6 +55,9 @@ def votes(texts: pa.Array) -> Iterator[np.ndarray]:
         shouts = _sums(data == ord("!"), offsets) / words
         ends = np.cumsum(counts)
         distinct = np.array([len(np.unique(hashes[e - c : e])) for e, c in zip(ends, counts, strict=True)]) / words
+        same = np.concatenate(([False], hashes[1:] == hashes[:-1])) if len(hashes) else np.zeros(0, bool)
+        same[(ends - counts)[counts > 0]] = False
+        stutters = np.diff(np.concatenate(([0], np.cumsum(same)))[np.concatenate(([0], ends))]) / words
         own = data.tobytes()
         repeats = np.zeros(n)
         for k in range(n):
@@ -71,53 +77,57 @@ def votes(texts: pa.Array) -> Iterator[np.ndarray]:
         vote("capitals", some & (capitals > 0.4), many & (capitals < 0.15))
         vote("repeats", repeats > 0.4, many & (repeats < 0.15))
         vote("bars", bars > 0.25, many & (bars < 0.05))
-        vote("words", (counts < 3) | (word_size > 25) | (word_size < 2.5), many & (word_size > 3.5) & (word_size < 12))
+        vote("words", some & ((word_size > 30) | (many & (word_size < 2.5))), many & (word_size > 3.5) & (word_size < 12))
         vote("sentences", many & (stops > 0.6), many & (stops > 0.02) & (stops < 0.3))
         vote("variety", many & (distinct < 0.1 + 3 / words), many & (distinct > 0.3))
         vote("shouting", some & (shouts > 0.3), many & (shouts < 0.05))
-        yield out
+        vote("stutter", (counts >= 12) & (stutters > 0.1), many & (stutters < 0.02))
+        measures = np.stack([64 / (size + 64), symbols, capitals, repeats, bars, stops, shouts, 1 - distinct, stutters], axis=1)
+        yield out, np.sqrt(np.clip(measures, 0, 1)).astype(np.float32)
 
 
-def estimate(patterns: np.ndarray, counts: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray, float]:
-    """(posterior of GOOD of each pattern, each labeller's accuracy on (bad, good), share of GOOD) by expectation-maximisation.
+def estimate(patterns: np.ndarray, counts: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(posterior of GOOD of each pattern, chance of a bad vote by class and labeller, share of each class) by expectation-maximisation.
 
-    Begun from the majority of votes; a labeller is taken to be right more often than not, which tells the two
-    classes apart. No pattern, no posterior.
+    Junk comes in kinds that a labeller each knows, so there is a class of good texts and one of bad texts
+    for each labeller: they begin as the texts without a bad vote, and those that the labeller calls bad. A labeller
+    that doesn't vote says nothing. No pattern, no posterior.
     """
+    kinds = patterns.shape[1]
+    shares = np.append(0.8, np.full(kinds, 0.2 / kinds))
+    chance = np.full((kinds + 1, kinds), 0.5)
     if not len(patterns):
-        return np.zeros(0), np.full((len(LABELLERS), 2), 0.5), 0.5
-    good, bad = (patterns == GOOD), (patterns == BAD)
-    # A single labeller may see a kind of junk that no other sees, so one bad vote weighs as much as several good ones.
-    posterior = np.clip((good.sum(1) + 1) / (good.sum(1) + 4.0 * bad.sum(1) + 2), 0.02, 0.98)
+        return np.zeros(0), chance, shares
+    bad, good = (patterns == BAD).astype(float), (patterns == GOOD).astype(float)
     weight = counts / counts.sum()
-    accuracy = np.full((patterns.shape[1], 2), 0.8)
-    share = 0.5
+    some = bad.any(axis=1)
+    post = np.column_stack([np.where(some, 0.02, 0.98), np.where(some[:, None], 0.98 * bad / np.maximum(bad.sum(1), 1)[:, None], 0.02 / kinds)])
     for _ in range(rounds):
-        share = float(np.clip((weight * posterior).sum(), 0.01, 0.99))
-        for side, p in ((1, posterior), (0, 1 - posterior)):
-            w = (weight * p)[:, None]
-            right, wrong = ((good, bad) if side else (bad, good))
-            accuracy[:, side] = np.clip(((w * right).sum(0) + 2e-3) / ((w * (right | wrong)).sum(0) + 4e-3), 0.01, 0.99)
-        # On bad texts most labellers vote good, each sees its own kind: only on good texts must they be right.
-        accuracy[:, 1] = np.maximum(accuracy[:, 1], 0.55)
-        log_good = np.log(share) + good @ np.log(accuracy[:, 1]) + bad @ np.log(1 - accuracy[:, 1])
-        log_bad = np.log(1 - share) + bad @ np.log(accuracy[:, 0]) + good @ np.log(1 - accuracy[:, 0])
-        new = 1 / (1 + np.exp(np.clip(log_bad - log_good, -50, 50)))
-        if np.abs(new - posterior).max() < 1e-9:
-            posterior = new
+        mass = weight[:, None] * post
+        shares = np.maximum(mass.sum(0), 1e-6)
+        shares /= shares.sum()
+        # Two pseudo-texts in a thousand keep chances off 0 and 1: on good texts labellers are taken to be right.
+        hits, votes_ = mass.T @ bad, mass.T @ (bad + good)
+        prior = np.full((kinds + 1, kinds), 0.1)
+        prior[0] = 0.002
+        chance = np.clip((hits + 0.002 * prior) / (votes_ + 0.002), 1e-4, 1 - 1e-4)
+        log = np.log(shares) + bad @ np.log(chance).T + good @ np.log(1 - chance).T
+        new = np.exp(log - log.max(axis=1, keepdims=True))
+        new /= new.sum(axis=1, keepdims=True)
+        if np.abs(new - post).max() < 1e-9:
             break
-        posterior = new
-    return posterior, accuracy, share
+        post = new
+    return post[:, 0], chance, shares
 
 
 def trigram_rows(texts: pa.Array) -> Iterator[np.ndarray]:
-    """For each text the square roots of its shares of hashed byte trigrams, a vector of length 1 (0 where it has none)."""
+    """For each text the square roots of its shares of hashed byte trigrams; a short text's vector is short, 0 where it has none."""
     for first, end, data, offsets in text_slices(texts):
         d = data.astype(np.uint64)
         codes = (mix(d[:-2] + (d[1:-1] << np.uint64(8)) + (d[2:] << np.uint64(16))) >> np.uint64(52)).astype(np.int64) if len(d) > 2 else np.zeros(0, np.int64)
         for k in range(end - first):
             own = codes[offsets[k] : max(offsets[k], offsets[k + 1] - 2)]
-            yield np.sqrt(np.bincount(own, minlength=BUCKETS) / max(len(own), 1)).astype(np.float32)
+            yield np.sqrt(np.bincount(own, minlength=BUCKETS) / (len(own) + 64)).astype(np.float32)
 
 
 def train(x: np.ndarray, y: np.ndarray, weight: np.ndarray, steps: int = 400) -> tuple[np.ndarray, float]:
@@ -139,8 +149,8 @@ def train(x: np.ndarray, y: np.ndarray, weight: np.ndarray, steps: int = 400) ->
 @dataclass
 class Quality:
     posterior: dict[str, float]  # by vote pattern
-    accuracy: np.ndarray
-    share: float
+    chance: np.ndarray  # of a bad vote, by class (good first) and labeller
+    shares: np.ndarray
     weights: np.ndarray
     shift: float
 
@@ -151,7 +161,7 @@ def labelled(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [bytes(row + 48).decode() for part in votes(batch.column("__text")) for row in part]
+            made = [bytes(row + 48).decode() for part, _ in votes(batch.column("__text")) for row in part]
             rest = batch.drop_columns(["__text"])
             yield pa.RecordBatch.from_arrays([*rest.columns, pa.array(made, pa.string())], names=[*rest.schema.names, "votes"])
 
@@ -168,7 +178,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Quality:
     voted = written(labelled(docs), "quality-votes")
     rows = voted.groupBy("votes").count().orderBy("votes").collect()
     patterns = np.array([[int(c) for c in r["votes"]] for r in rows], dtype=np.int8).reshape(-1, len(LABELLERS))
-    posterior, accuracy, share = estimate(patterns, np.array([r["count"] for r in rows], dtype=float))
+    posterior, chance, shares = estimate(patterns, np.array([r["count"] for r in rows], dtype=float))
     by = {r["votes"]: float(p) for r, p in zip(rows, posterior, strict=True)}
     bad = [v for v, p in by.items() if p < 0.5]
     drawn = voted.filter("doc_id is not null").dropDuplicates(["doc_id"]).withColumn("draw", F.xxhash64("doc_id"))
@@ -178,14 +188,19 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Quality:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [x.astype("<f2").tobytes() for x in trigram_rows(batch.column("text"))]
+            measures = [m for _, part in votes(batch.column("text")) for m in part]
+            made = [np.append(x, m).astype("<f2").tobytes() for x, m in zip(trigram_rows(batch.column("text")), measures, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("draw"), batch.column("votes"), pa.array(made, pa.binary())], names=["draw", "votes", "x"])
 
     found = texts.select("draw", "votes", "text").mapInArrow(run, "draw long, votes string, x binary").orderBy("draw").collect()
-    x = np.array([np.frombuffer(r["x"], "<f2") for r in found], dtype=np.float32).reshape(-1, BUCKETS)
+    x = np.array([np.frombuffer(r["x"], "<f2") for r in found], dtype=np.float32).reshape(-1, BUCKETS + MEASURES)
     y = np.array([by[r["votes"]] for r in found], dtype=np.float32)
-    weights, shift = train(x, y, np.ones(len(y), np.float32))
-    return Quality(by, accuracy, share, weights, shift)
+    # The halves weigh as their classes do in all of docs.
+    is_bad = np.array([r["votes"] in bad for r in found], dtype=bool)
+    all_bad = sum(r["count"] for r in rows if r["votes"] in bad) / max(1, sum(r["count"] for r in rows))
+    weight = np.where(is_bad, all_bad / max(is_bad.mean(), 1e-9), (1 - all_bad) / max(1 - is_bad.mean(), 1e-9)) if len(found) else np.zeros(0)
+    weights, shift = train(x, y, weight.astype(np.float32))
+    return Quality(by, chance, shares, weights, shift)
 
 
 def scored(docs: DataFrame, model: Quality) -> DataFrame:
@@ -200,8 +215,10 @@ def scored(docs: DataFrame, model: Quality) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             text = batch.column("text")
-            made = [bytes(row + 48).decode() for part in votes(text) for row in part]
-            logits = np.array([float(x @ model.weights) for x in trigram_rows(text)]) + model.shift
+            parts = list(votes(text))
+            made = [bytes(row + 48).decode() for part, _ in parts for row in part]
+            hashed = np.array([float(x @ model.weights[:BUCKETS]) for x in trigram_rows(text)])
+            logits = hashed + np.concatenate([m for _, m in parts] or [np.zeros((0, MEASURES))]) @ model.weights[BUCKETS:] + model.shift
             score = 1 / (1 + np.exp(-np.clip(logits, -30, 30)))
             columns = [pa.array(made, pa.string()), pa.array([model.posterior.get(v, 0.5) for v in made], pa.float64()), pa.array(score, pa.float64())]
             yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=[*batch.schema.names, "votes", "posterior", "score"])
