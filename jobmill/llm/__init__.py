@@ -1,8 +1 @@
 """Training-data operators. Nothing outside this subpackage imports it."""
-
-import sys
-
-from pyspark import cloudpickle
-
-# Executors get these functions with their tasks, so they need no copy of the package.
-cloudpickle.register_pickle_by_value(sys.modules[__name__])

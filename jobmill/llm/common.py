@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 #: The words of the contracts: runs of anything but space and the controls 9 to 13.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Text bytes that a task turns into numpy arrays at a time; a longer text goes alone.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -34,9 +34,22 @@ def scratch_dir(spark: SparkSession) -> str:
     return set_dir.rstrip("/")
 
 
+#: Rows that Spark hands to Python at a time: texts are long, so far fewer than Spark's own 10,000.
+BATCH_ROWS = 1000
+_BATCH_CONF = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def tuned(df: DataFrame) -> DataFrame:
+    """df, its session set to hand small batches to Python where it still has Spark's default."""
+    conf = df.sparkSession.conf
+    if conf.get(_BATCH_CONF, "10000") == "10000":
+        conf.set(_BATCH_CONF, str(BATCH_ROWS))
+    return df
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df, written to the shared folder and read back: its lineage ends there, and a lost executor loses nothing."""
-    spark = df.sparkSession
+    spark = tuned(df).sparkSession
     path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)

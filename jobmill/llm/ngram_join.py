@@ -82,7 +82,7 @@ def _signatures(words: int):
                 sketches.append(np.packbits(bits.astype(np.uint8)))
                 pending.append(s)
                 held += len(s)
-                if held > 2_000_000:
+                if held > 1_000_000:
                     total += np.bincount((np.concatenate(pending) >> np.uint64(40)).astype(np.int64) % COUNTERS, minlength=COUNTERS)
                     pending, held = [], 0
             if held:

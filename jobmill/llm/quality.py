@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import mix, text_slices, word_hashes, written
+from .common import mix, text_slices, tuned, word_hashes, written
 
 GOOD, BAD, NONE = 1, 0, 2
 BUCKETS = 4096
@@ -157,7 +157,7 @@ class Quality:
 
 def labelled(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns `keep` of docs with `votes`: a character for each labeller, 1 good, 0 bad, 2 none."""
-    chosen = docs.select(*keep, F.col("text").cast("string").alias("__text"))
+    chosen = tuned(docs).select(*keep, F.col("text").cast("string").alias("__text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -210,7 +210,7 @@ def scored(docs: DataFrame, model: Quality) -> DataFrame:
     where they clash with the new ones, the new ones replace them. Rows may repeat; an empty table gives no rows.
     """
     kept = [c for c in docs.columns if c not in ("votes", "posterior", "score", "good")]
-    base = docs.select(*kept).withColumn("text", F.col("text").cast("string"))
+    base = tuned(docs).select(*kept).withColumn("text", F.col("text").cast("string"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

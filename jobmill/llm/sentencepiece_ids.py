@@ -16,7 +16,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ChunkTable, gathered, text_slices
+from .common import ChunkTable, gathered, text_slices, tuned
 
 MODEL = "piece_bpe_32k.model"
 _MARK = "▁"
@@ -90,7 +90,7 @@ def sentencepiece_round_trip(docs: DataFrame, model: str | None = None, keep: tu
     `model` is a file that every executor has; further columns of docs are dropped.
     """
     path = model or public_tokenizers.path(MODEL)
-    chosen = docs.select(*keep, F.col("text").cast("string").alias("__text"))
+    chosen = tuned(docs).select(*keep, F.col("text").cast("string").alias("__text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         segmenter = None

@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import ChunkTable, count_rows, gathered, summed_counts, text_slices, written
+from .common import ChunkTable, count_rows, gathered, summed_counts, text_slices, tuned, written
 
 VOCABULARY = "byte_bpe_50k.json"
 END = 0
@@ -118,7 +118,7 @@ def token_ids(docs: DataFrame, vocabulary: str) -> DataFrame:
             none = pa.nulls(PARTS)
             yield pa.RecordBatch.from_arrays([none.cast(pa.int64()), none.cast(pa.int64()), none.cast(pa.binary()), *count_rows(total, PARTS)], schema=schema)
 
-    chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    chosen = tuned(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return chosen.mapInArrow(run, "doc_id long, n long, ids binary, part int, counts binary")
 
 
