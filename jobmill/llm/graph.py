@@ -15,7 +15,7 @@ def components(edges: DataFrame) -> DataFrame:
     halve; each round is written to the shared folder, which keeps lineage short. No edges, no rows.
     """
     both = written(edges.union(edges.select("b", "a")).toDF("node", "other").distinct(), "edges")
-    labels = written(both.groupBy("node").agg(F.least("node", F.min("other")).alias("label")), "labels")
+    labels = written(both.groupBy("node").agg(F.min("other").alias("low")).select("node", F.least("node", "low").alias("label")), "labels")
     while True:
         near = both.join(labels.select(F.col("node").alias("other"), "label"), "other").groupBy("node").agg(F.min("label").alias("near"))
         lower = labels.join(near, "node").select("node", F.col("label").alias("was"), F.least("label", "near").alias("low"))

@@ -10,7 +10,8 @@ Only those prefixes are joined. A pair must also pass
 * the suffix filter: parity sketches of the sets differ in no more bits than the sets may differ in
   elements, a lower bound of their difference by hash partition.
 
-What is left is verified on the whole sets, once per pair. Equal sets are one class from the start.
+What is left is verified on the whole sets, once per pair. Equal sets are one class from the start, known by 64 bits
+of a digest (for ten billion different sets some three pairs share theirs and count as linked).
 Rounds verify each prefix list against one member, so a large group of near copies becomes one component
 by a few pairs a member; lists within one component are then done. The last round joins with themselves the lists
 that still span two components, so no link that matters is lost.
@@ -38,7 +39,9 @@ RANGES = 64
 SKETCH = 8  # longs
 RECENT = 8
 #: Rounds against list heads before what is left is joined with itself.
-STARS = 5
+STARS = 6
+#: Fewer possible pairs than so many for each row of the lists still open, and they are joined with themselves at once.
+PAIRS_A_ROW = 8
 #: Sets fetched for verification are looked up by broadcast up to so many ids (8 bytes each), else by a shuffled join.
 LOOKUP = 1_000_000
 
@@ -184,7 +187,7 @@ def _verified(num: int, den: int):
                 at[at == len(y)] = 0
                 both = int((y[at] == x).sum())
                 good[i] = den * both >= num * (len(x) + len(y) - both)
-            yield batch.select(["ka", "kb", "a", "b"]).filter(pa.array(good))
+            yield batch.select(["ka", "kb"]).filter(pa.array(good))
 
     return run
 
@@ -211,12 +214,10 @@ def ngram_links(docs: DataFrame, words: int = 3, num: int = 9, den: int = 10) ->
         rows.filter("n > 0").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("class_size"), *(F.first(c).alias(c) for c in ("n", "key", *sketch))),
         "ngram-classes",
     )
-    edges = _edges(docs, classes, _levels(signatures), words, num, den)
-    found = edges.join(classes.select(F.col("digest").alias("a"), F.col("rep").alias("rep_a")), "a").join(classes.select(F.col("digest").alias("b"), F.col("rep").alias("rep_b")), "b")
-    node = lambda rep, digest: F.struct(F.coalesce(rep, F.lit(2**63 - 1)).alias("rep"), F.col(digest).alias("digest"))
-    labels = components(found.select(node(F.col("rep_a"), "a").alias("a"), node(F.col("rep_b"), "b").alias("b")))
-    best = labels.select(F.col("node.digest").alias("digest"), F.nullif(F.col("label.rep"), F.lit(2**63 - 1)).alias("component"))
-    whole = classes.select("digest", "rep", "class_size").join(best, "digest", "left").select("digest", F.coalesce("component", "rep").alias("component"), "class_size")
+    labels = _labels(docs, classes, _levels(signatures), words, num, den)
+    named = classes.join(labels, "key", "left").select("digest", "rep", "class_size", F.coalesce("label", "key").alias("label"))
+    best = named.groupBy("label").agg(F.min("rep").alias("component"))
+    whole = named.join(best, "label").select("digest", "component", "class_size")
     return rows.join(whole, "digest", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"), F.coalesce("class_size", F.lit(1)).alias("class_size")
     )
@@ -234,15 +235,14 @@ def _sketch_fits(x: str, y: str, num: int, den: int) -> Column:
     return _sketch_gap(x, y) * (den + num) <= (F.col(f"{x}.n") + F.col(f"{y}.n")) * (den - num)
 
 
-def _edges(docs: DataFrame, classes: DataFrame, levels: np.ndarray, words: int, num: int, den: int) -> DataFrame:
-    """Links (a, b), by digest, that connect the components that all links connect."""
+def _labels(docs: DataFrame, classes: DataFrame, levels: np.ndarray, words: int, num: int, den: int) -> DataFrame:
+    """(key, label): the smallest key that links reach from each key that has a link."""
     postings = docs.select("text").mapInArrow(_prefixes(levels, words, num, den), "token long, key long, n long, pos long")
     postings = written(postings, "ngram-prefixes")
     shared = postings.groupBy("token").agg(F.count("*").alias("members")).filter("members > 1").select("token")
-    lists = written(postings.join(shared, "token", "left_semi"), "ngram-lists").distinct()
+    open_lists = written(postings.join(shared, "token", "left_semi"), "ngram-lists").distinct().withColumn("label", F.col("key"))
     sketches = written(classes.select("key", "n", *(f"s{i}" for i in range(SKETCH))).dropDuplicates(["key"]), "ngram-sketches")
-    open_lists = lists.withColumn("label", F.col("key"))
-    links = done = None
+    labels = done = None
     for turn in range(STARS):
         heads = open_lists.groupBy("token").agg(F.min(F.struct((F.col("n") if not turn else F.xxhash64("key", F.lit(turn))).alias("rank"), "key", "n", "pos", "label")).alias("head"))
         heads = heads.select("token", "head.key", "head.n", "head.pos", "head.label")
@@ -253,15 +253,15 @@ def _edges(docs: DataFrame, classes: DataFrame, levels: np.ndarray, words: int,
         pairs = written(fit.filter(_sketch_fits("x", "y", num, den)).select("ka", "kb"), "ngram-pairs")
         found = _verify(docs, classes, pairs, words, num, den)
         done = pairs if done is None else done.union(pairs)
-        links = found if links is None else links.union(found)
-        labels = components(links.select(F.col("ka").alias("a"), F.col("kb").alias("b")))
-        lists_now = open_lists.drop("label").join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn("label", F.coalesce("label", "key"))
+        labels = _merged(labels, found)
+        lists_now = open_lists.drop("label").join(labels, "key", "left").withColumn("label", F.coalesce("label", "key"))
         lists_now = written(lists_now, "ngram-labelled")
-        spans = lists_now.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("token")
-        open_lists = written(lists_now.join(spans, "token", "left_semi"), "ngram-open")
-        if open_lists.isEmpty():
-            return links.select("a", "b")
-        if found.isEmpty():
+        spans = lists_now.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("members")).filter("low <> high")
+        left = spans.agg(F.sum("members").alias("rows"), F.sum(F.col("members") * (F.col("members") - 1) / 2).alias("pairs")).first()
+        if not left["rows"]:
+            return labels
+        open_lists = written(lists_now.join(spans.select("token"), "token", "left_semi"), "ngram-open")
+        if left["pairs"] <= PAIRS_A_ROW * left["rows"] or found.isEmpty():
             break
     # Whatever may still link two components.
     before = Window.partitionBy("key").orderBy("pos").rowsBetween(-RECENT, -1)
@@ -278,11 +278,23 @@ def _edges(docs: DataFrame, classes: DataFrame, levels: np.ndarray, words: int,
         & either,
     )
     pairs = cross.select(F.col("x.key").alias("ka"), F.col("y.key").alias("kb")).distinct().join(done, ["ka", "kb"], "left_anti")
-    return links.union(_verify(docs, classes, written(pairs, "ngram-pairs"), words, num, den)).select("a", "b")
+    return _merged(labels, _verify(docs, classes, written(pairs, "ngram-pairs"), words, num, den))
+
+
+def _merged(labels: DataFrame | None, found: DataFrame) -> DataFrame:
+    """labels (key, label) after new links (ka, kb): only links between different labels, each once, are followed."""
+    if labels is None:
+        return written(components(found.select(F.col("ka").alias("a"), F.col("kb").alias("b"))).withColumnRenamed("node", "key"), "ngram-labels")
+    of = lambda key, label: labels.select(F.col("key").alias(key), F.col("label").alias(label))
+    ends = found.join(of("ka", "la"), "ka", "left").join(of("kb", "lb"), "kb", "left").select(F.coalesce("la", "ka").alias("a"), F.coalesce("lb", "kb").alias("b"))
+    moved = components(ends.filter("a <> b").distinct())
+    old = labels.join(moved.select(F.col("node").alias("label"), F.col("label").alias("to")), "label", "left").select("key", F.coalesce("to", "label").alias("label"))
+    new = moved.withColumnRenamed("node", "key").join(labels.select("key"), "key", "left_anti")
+    return written(old.union(new), "ngram-labels")
 
 
 def _verify(docs: DataFrame, classes: DataFrame, pairs: DataFrame, words: int, num: int, den: int) -> DataFrame:
-    """Of pairs (ka, kb) of keys, those whose whole sets are near, as (ka, kb, a, b) with the digests a and b."""
+    """Of pairs (ka, kb) of keys, those whose whole sets are near."""
     wanted = pairs.select(F.col("ka").alias("key")).union(pairs.select("kb")).distinct().join(classes.select("key", "rep"), "key")
     ids = written(wanted.select("rep").distinct(), "ngram-ids")
     n = ids.count()
@@ -293,10 +305,10 @@ def _verify(docs: DataFrame, classes: DataFrame, pairs: DataFrame, words: int, n
     sets = written(chosen.mapInArrow(_sets(words), "key long, digest binary, items binary"), "ngram-sets")
     if sets.count() > n:  # ids or texts repeat
         sets = sets.dropDuplicates(["digest"])
-    left = sets.select(F.col("key").alias("ka"), F.col("digest").alias("a"), F.col("items").alias("items_a"))
-    right = sets.select(F.col("key").alias("kb"), F.col("digest").alias("b"), F.col("items").alias("items_b"))
-    both = pairs.join(left, "ka").join(right, "kb").select("ka", "kb", "a", "b", "items_a", "items_b")
-    return written(both.mapInArrow(_verified(num, den), "ka long, kb long, a binary, b binary"), "ngram-links")
+    left = sets.select(F.col("key").alias("ka"), F.col("items").alias("items_a"))
+    right = sets.select(F.col("key").alias("kb"), F.col("items").alias("items_b"))
+    both = pairs.join(left, "ka").join(right, "kb").select("ka", "kb", "items_a", "items_b")
+    return written(both.mapInArrow(_verified(num, den), "ka long, kb long"), "ngram-links")
 
 
 #: For DuckDB. Every shingle is compared as text and every linked pair is listed.
