@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import mix, text_slices, tuned, word_hashes, written
+from .common import WORD, mix, text_slices, tuned, word_hashes, written
 
 GOOD, BAD, NONE = 1, 0, 2
 BUCKETS = 4096
@@ -206,7 +206,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Quality:
 def scored(docs: DataFrame, model: Quality) -> DataFrame:
     """docs with `votes`, `posterior` (of good, by the votes), `score` (0 to 1, of the whole text) and `good` (score at least 0.5).
 
-    A null or empty text has no trigrams and scores by the scorer's shift; it is not good. The columns of docs stay;
+    A null or blank text is not good, whatever it scores. The columns of docs stay;
     where they clash with the new ones, the new ones replace them. Rows may repeat; an empty table gives no rows.
     """
     kept = [c for c in docs.columns if c not in ("votes", "posterior", "score", "good")]
@@ -225,7 +225,7 @@ def scored(docs: DataFrame, model: Quality) -> DataFrame:
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema.fields)
     out = base.mapInArrow(run, f"{schema}, votes string, posterior double, score double")
-    return out.withColumn("good", (F.col("score") >= 0.5) & (F.trim(F.coalesce("text", F.lit(""))) != ""))
+    return out.withColumn("good", (F.col("score") >= 0.5) & F.rlike(F.coalesce("text", F.lit("")), F.lit(WORD)))
 
 
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -96,7 +96,7 @@ def test_licenses_equal_sql(spark, hard, nothing):
     names = [d[0] for d in theirs.description]
     assert sorted(tuple(r[n] for n in names) for r in mine.collect()) == sorted(theirs.fetchall())
     found = {r.doc_id: r for r in licenses.license_scan(hard).collect()}
-    assert (found[11].n_base, found[11].first_word, found[11].last_word, found[11].base_labels) == (3, 3, 9, "apache,gpl,mit")
+    assert (found[11].n_base, found[11].first_word, found[11].last_word, found[11].base_labels) == (3, 3, 10, "apache,gpl,mit")
     assert (found[1].n_words, found[1].first_word, found[1].labels, found[1].score) == (0, None, "", 0.0)
     assert licenses.license_scan(nothing).count() == 0
 
