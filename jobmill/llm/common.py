@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
+import types
 import uuid
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -162,15 +165,23 @@ def gathered(values: np.ndarray, offsets: np.ndarray, lengths: np.ndarray) -> np
     return values[shift + np.arange(total)]
 
 
+def kept_in_process(name: str, make):
+    """What make() gave in this Python process before, for tasks that share a worker; functions themselves come anew with each task."""
+    holder = sys.modules.setdefault("_jobmill_kept", types.ModuleType("_jobmill_kept"))
+    if not hasattr(holder, name):
+        setattr(holder, name, make())
+    return getattr(holder, name)
+
+
 class ChunkTable:
     """Distinct chunks of text with the ids that a tokenizer gives each: what was met before is looked up.
 
-    `encode` turns a list of chunks (bytes) into a list of id lists. The table is dropped and begun
-    anew beyond MOST chunks or MOST_BYTES, so that a task's memory has a bound whatever it reads.
+    `encode` turns a list of chunks (bytes) into (all ids, ids of each chunk, whether each decodes to itself). The table is dropped and begun
+    anew beyond MOST chunks or MOST_BYTES, so that a worker's memory has a bound whatever it reads.
     """
 
-    MOST = 1_000_000
-    MOST_BYTES = 32 << 20
+    MOST = 800_000
+    MOST_BYTES = 24 << 20
 
     def __init__(self, encode) -> None:
         self.encode = encode
@@ -189,7 +200,7 @@ class ChunkTable:
     def _grown(a: np.ndarray, need: int) -> np.ndarray:
         if need <= len(a):
             return a
-        out = np.zeros(max(need, 2 * len(a)), dtype=a.dtype)
+        out = np.zeros(max(need, len(a) + len(a) // 2), dtype=a.dtype)
         out[: len(a)] = a
         return out
 
@@ -201,20 +212,20 @@ class ChunkTable:
         chunks = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(data))])
         coded = chunks.dictionary_encode()
         distinct = coded.dictionary.to_pylist()
-        fresh = [c for c in distinct if c not in self.at]
-        if fresh:
-            made = self.encode(fresh)
-            lengths = np.fromiter((len(x) for x, _ in made), np.int64, len(made))
-            rows, used = self.rows + len(fresh), self.used + int(lengths.sum())
+        found = np.fromiter(map(self.at.get, distinct, repeat(-1)), np.int64, len(distinct))
+        missing = np.flatnonzero(found < 0)
+        if len(missing):
+            fresh = [distinct[k] for k in missing]
+            ids, lengths, plain = self.encode(fresh)
+            rows, used = self.rows + len(fresh), self.used + len(ids)
             self.ids = self._grown(self.ids, used)
             self.offsets, self.lengths, self.plain = (self._grown(a, rows) for a in (self.offsets, self.lengths, self.plain))
-            self.ids[self.used : used] = np.fromiter((i for x, _ in made for i in x), np.uint32, used - self.used)
+            self.ids[self.used : used] = ids
             self.offsets[self.rows : rows] = self.used + np.cumsum(lengths) - lengths
             self.lengths[self.rows : rows] = lengths
-            self.plain[self.rows : rows] = [same for _, same in made]
-            for k, c in enumerate(fresh, self.rows):
-                self.at[c] = k
+            self.plain[self.rows : rows] = plain
+            found[missing] = np.arange(self.rows, rows)
+            self.at.update(zip(fresh, range(self.rows, rows), strict=True))
             self.held += sum(map(len, fresh))
             self.rows, self.used = rows, used
-        rows = np.fromiter((self.at[c] for c in distinct), np.int64, len(distinct))
-        return rows[coded.indices.to_numpy(zero_copy_only=False)]
+        return found[coded.indices.to_numpy(zero_copy_only=False)]

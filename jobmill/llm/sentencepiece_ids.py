@@ -3,7 +3,7 @@
 No piece of the model has a whitespace marker after another character, so merges never cross from a
 character to a marker: each marked word (its markers and what follows them) is segmented on its own, and
 its ids are joined back by position. A line feed that no piece holds parts chunks in the same way.
-Each task keeps a bounded table of the chunks it has met; nothing is shuffled.
+Each worker keeps a bounded table of the chunks it has met; nothing is shuffled.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ChunkTable, gathered, text_slices, tuned
+from .common import ChunkTable, gathered, kept_in_process, text_slices, tuned
 
 MODEL = "piece_bpe_32k.model"
 _MARK = "▁"
@@ -37,15 +37,17 @@ class _Segmenter:
             raise ValueError("this model does not keep white space or adds no marker in front")
         self.table = ChunkTable(self._segment)
 
-    def _segment(self, chunks: list[bytes]) -> list[tuple[list[int], bool]]:
-        """Ids of each chunk and whether they decode to it. The library puts a marker before what it
+    def _segment(self, chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """All ids, ids of each chunk, and whether they decode to it. The library puts a marker before what it
         encodes: a chunk with a marker of its own leaves that one to it, the others drop the added one."""
         texts = [c.decode() for c in chunks]
         marked = [t.startswith(" ") for t in texts]
         ids = self.sp.encode([t[1:] if m else t for t, m in zip(texts, marked, strict=True)], num_threads=1)
         ids = [(x or [self.sp.piece_to_id(_MARK)]) if m else x[1:] for x, m in zip(ids, marked, strict=True)]
         back = self.sp.decode(ids)
-        return [(x, (" " + b if m else b) == t) for x, b, t, m in zip(ids, back, texts, marked, strict=True)]
+        lengths = np.fromiter(map(len, ids), np.int64, len(ids))
+        plain = [(" " + b if m else b) == t for b, t, m in zip(back, texts, marked, strict=True)]
+        return np.fromiter((i for x in ids for i in x), np.uint32, int(lengths.sum())), lengths, np.array(plain, dtype=bool)
 
     def run(self, texts: pa.Array) -> Iterator[tuple[list[bytes], list[str]]]:
         """(ids as little-endian 32-bit numbers with begin and end, decoded text) of the texts, slice by slice."""
@@ -93,9 +95,8 @@ def sentencepiece_round_trip(docs: DataFrame, model: str | None = None, keep: tu
     chosen = tuned(docs).select(*keep, F.col("text").cast("string").alias("__text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        segmenter = None
         for batch in batches:
-            segmenter = segmenter or _Segmenter(path)
+            segmenter = kept_in_process(f"pieces {path}", lambda: _Segmenter(path))
             first = 0
             for ids, texts in segmenter.run(batch.column("__text")):
                 part = batch.slice(first, len(ids)).drop_columns(["__text"])

@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import ChunkTable, count_rows, gathered, summed_counts, text_slices, tuned, written
+from .common import ChunkTable, count_rows, gathered, kept_in_process, summed_counts, text_slices, tuned, written
 
 VOCABULARY = "byte_bpe_50k.json"
 END = 0
@@ -81,6 +81,38 @@ def decode_block(control: bytes, data: bytes, n: int) -> np.ndarray:
     return out
 
 
+class _Coder:
+    """Chunks to ids by the library. Single words go to it many at a time, a line each: the pattern makes every line
+    feed a token of its own and parts there, so the ids between two line feeds are those of the word alone."""
+
+    LINES = 20_000
+
+    def __init__(self, tokenizer) -> None:
+        self.tokenizer = tokenizer
+        self.size = tokenizer.get_vocab_size(with_added_tokens=True)
+        self.specials = [t.content.encode() for t in tokenizer.get_added_tokens_decoder().values()]
+        feed = tokenizer.encode("\n", add_special_tokens=False).ids
+        self.feed = feed[0] if len(feed) == 1 else None
+        self.table = ChunkTable(self.encode)
+
+    def encode(self, chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        texts = [c.decode() for c in chunks]
+        parts: list[np.ndarray | None] = [None] * len(texts)
+        words = [k for k, t in enumerate(texts) if self.feed is not None and len(t.split()) == 1 and not t[-1].isspace() and (t[0] == " " or not t[0].isspace()) and not t[1:2].isspace()]
+        for lo in range(0, len(words), self.LINES):
+            some = words[lo : lo + self.LINES]
+            ids = np.array(self.tokenizer.encode("\n".join([texts[k] for k in some]), add_special_tokens=False).ids, dtype=np.uint32)
+            lines = np.split(ids, np.flatnonzero(ids == self.feed))
+            if len(lines) == len(some):
+                for j, (k, line) in enumerate(zip(some, lines, strict=True)):
+                    parts[k] = line[1:] if j else line
+        rest = [k for k, p in enumerate(parts) if p is None]
+        for k, e in zip(rest, self.tokenizer.encode_batch([texts[k] for k in rest], add_special_tokens=False), strict=True):
+            parts[k] = np.array(e.ids, dtype=np.uint32)
+        lengths = np.fromiter(map(len, parts), np.int64, len(parts))
+        return np.concatenate(parts) if parts else np.zeros(0, np.uint32), lengths, np.ones(len(parts), dtype=bool)
+
+
 def token_ids(docs: DataFrame, vocabulary: str) -> DataFrame:
     """Rows (doc_id, n, ids) for the documents, and rows (part, counts) with each task's counts of ids."""
     schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("ids", pa.binary()), ("part", pa.int32()), ("counts", pa.binary())])
@@ -89,15 +121,10 @@ def token_ids(docs: DataFrame, vocabulary: str) -> DataFrame:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_file(vocabulary)
-        size = tokenizer.get_vocab_size(with_added_tokens=True)
-        specials = [t.content.encode() for t in tokenizer.get_added_tokens_decoder().values()]
+        coder = kept_in_process(f"bytes {vocabulary}", lambda: _Coder(Tokenizer.from_file(vocabulary)))
+        size, specials, table = coder.size, coder.specials, coder.table
         width = "<u2" if size <= 1 << 16 else "<u4"
-
-        def encode(chunks: list[bytes]) -> list[tuple[list[int], bool]]:
-            return [(e.ids, True) for e in tokenizer.encode_batch([c.decode() for c in chunks], add_special_tokens=False)]
-
-        table, total = ChunkTable(encode), np.zeros(size, dtype=np.int64)
+        total = np.zeros(size, dtype=np.int64)
         for batch in batches:
             for first, end, data, offsets in text_slices(batch.column("text"), _SLICE):
                 own = data.tobytes()
