@@ -136,3 +136,96 @@ def t15(spark: SparkSession, sf: str) -> DataFrame:
     left = ~F.col("login_wall") & F.coalesce(host_of("url") == "board.cz", F.lit(False)) & ~F.startswith(path, F.lit("/login"))
     blocked = F.col("captcha").isNotNull() & (F.col("challenge") | ~F.col("invisible"))
     return rows.select("id", left.alias("left_login"), blocked.alias("blocked"))
+
+
+SHAPES = [
+    (1, "Dobré ráno,\n\nHlásím se na pozici.\n\nS pozdravem,\nDaniel Hurník", True, "Daniel Hurník", "Dobrý den,\n\nhlásím se na pozici.\n\nDíky,\nDaniel Hurník"),
+    (2, "Hlásím se na pozici a rád se dozvím více.", True, "Daniel Hurník", "Dobrý den,\n\nhlásím se na pozici a rád se dozvím více.\n\nDaniel Hurník"),
+    (3, "Hello,\n\nI am applying for the role.\n\nBest regards, Daniel Hurník.", False, "Daniel Hurník", "Hi,\n\nI am applying for the role.\n\nThanks,\nDaniel Hurník"),
+    (4, "Dobrý den,\n\nHLÁSÍM SE na pozici.\n\nDaniel Hurník\nIntegra", True, "Daniel Hurník", "Dobrý den,\n\nhlásím se na pozici.\n\nDaniel Hurník"),
+]
+
+
+@query("t8_message_shape", values("id INT, shaped VARCHAR", [(i, s) for i, *_, s in SHAPES]))
+def t8(spark: SparkSession, sf: str) -> DataFrame:
+    from ..operators import messages
+
+    rows = literal(spark, "id int, body string, czech boolean, name string", [s[:4] for s in SHAPES])
+    return rows.select("id", messages.shaped_message("body", "czech", "name", "name").alias("shaped"))
+
+
+CLAIMS = [
+    (1, "Dobrý den,\n\nmám zkušenosti s Kotlin.\n\nDaniel", "React, TypeScript.", "Požadujeme Kotlin a Esri.", [], "Kotlin"),
+    (2, "Dobrý den,\n\nrád bych se naučil Kotlin.\n\nDaniel", "React, TypeScript.", "Požadujeme Kotlin a Esri.", [], ""),
+    (3, "Dobrý den,\n\nPracuji s React a TypeScript. Praha je moje město.\n\nDaniel", "Frontend developer. React, TypeScript. Praha.", "Hledáme vývojáře React + GIS, Kotlin.", [], ""),
+    (4, "Dobrý den,\n\nmám za sebou čtyři roky práce s React.\n\nDaniel", "React, tři roky praxe.", "Požadujeme čtyři roky praxe.", [], "čtyři roky"),
+    (5, "Dobrý den,\n\nvyužíval jsem mapová data.\n\nDaniel", "React.", "Budete pracovat s daty.", ["mapová data"], "mapova"),
+]
+
+
+@query("t6_unsupported_claims", values("id INT, flagged VARCHAR", [(i, f) for i, *_, f in CLAIMS]))
+def t6(spark: SparkSession, sf: str) -> DataFrame:
+    from ..operators import messages
+
+    rows = literal(spark, "id int, draft string, cv string, job string, skills array<string>", [c[:5] for c in CLAIMS])
+    allow = F.array(F.lit("Daniel Hurník"))
+    return rows.select("id", F.array_join(messages.unsupported_claims("draft", "cv", "job", allow, "skills"), ",").alias("flagged"))
+
+
+def _field(form: int, pos: int, tag: str, kind: str, label: str, required: bool = False, options: list | None = None, autocomplete: str = "") -> tuple:
+    return form, pos, tag, kind, label, "", "", "", "", autocomplete, required, True, options or []
+
+
+FIELDS = [
+    (_field(1, 0, "input", "email", "Přihlaste se k newsletteru"), "email"),
+    (_field(1, 1, "input", "text", "Jméno"), "fullName"),
+    (_field(1, 2, "input", "url", "LinkedIn"), "linkedInUrl"),
+    (_field(1, 3, "input", "email", "Kontaktní e-mail", True), "email"),
+    (_field(1, 4, "input", "tel", "Telefon"), "phone"),
+    (_field(1, 5, "textarea", "textarea", "Jak mohu vaši firmu posunout vpřed?"), "message"),
+    (_field(2, 0, "input", "text", "Jméno", True), "firstName"),
+    (_field(2, 1, "input", "text", "Příjmení", True), "lastName"),
+    (_field(2, 2, "input", "file", "Životopis", True), "cv"),
+    (_field(2, 3, "input", "file", "Další příloha"), "cv"),
+    (_field(2, 4, "input", "checkbox", "Souhlasím se zpracováním osobních údajů", True), "consent"),
+    (_field(2, 5, "input", "checkbox", "Chci dostávat newsletter, souhlasím"), "marketing"),
+    (_field(2, 6, "select", "select", "Země", False, [("1", "Slovakia"), ("2", "Czech Republic (EU)")]), "country"),
+    (_field(2, 7, "input", "text", "Cokoliv"), None),
+    (_field(2, 8, "input", "hidden", "E-mail"), None),
+]
+PROFILE = {"fullName": "Jana Nováková", "firstName": "Jana", "lastName": "Nováková", "email": "jana@example.com", "phone": "+420601123456", "linkedInUrl": "https://www.linkedin.com/in/jana", "cv": "cv.pdf", "country": "CZ"}
+
+
+def _forms(spark: SparkSession) -> DataFrame:
+    from ..operators import forms
+
+    return forms.classified(literal(spark, forms.FIELD, [f for f, _ in FIELDS]), forms.rule_table(spark))
+
+
+@query("t12_classified_fields", values("form BIGINT, pos INT, key VARCHAR", [(f[0], f[1], "fullName" if key == "firstName" else key) for f, key in FIELDS]))
+def t12(spark: SparkSession, sf: str) -> DataFrame:
+    return _forms(spark).select("form", "pos", "key")
+
+
+@query(
+    "t13_t14_fill_plan",
+    values(
+        "form BIGINT, pos INT, key VARCHAR, value VARCHAR, state VARCHAR",
+        [
+            (1, 0, "email", "jana@example.com", "fill"), (1, 1, "fullName", "Jana Nováková", "fill"), (1, 2, "linkedInUrl", "https://www.linkedin.com/in/jana", "fill"), (1, 3, "email", "jana@example.com", "fill"),
+            (1, 4, "phone", "+420601123456", "fill"), (1, 5, "message", None, "unfillable"), (2, 0, "firstName", "Jana", "fill"), (2, 1, "lastName", "Nováková", "fill"), (2, 2, "cv", "cv.pdf", "fill"),
+            (2, 3, "cv", "cv.pdf", "unfillable"), (2, 4, "consent", "true", "fill"), (2, 5, "marketing", "false", "fill"), (2, 6, "country", "2", "fill"), (2, 7, None, None, "unmatched"),
+        ],
+    ),
+)
+def t13(spark: SparkSession, sf: str) -> DataFrame:
+    from ..operators import forms
+
+    return forms.plan(_forms(spark), PROFILE)[0].select("form", "pos", "key", "value", "state")
+
+
+@query("t13_form_confidence", values("form BIGINT, fills BIGINT, unmatched BIGINT, missing BIGINT, good BOOLEAN", [(1, 5, 0, 0, True), (2, 6, 1, 0, True)]))
+def t13_form(spark: SparkSession, sf: str) -> DataFrame:
+    from ..operators import forms
+
+    return forms.plan(_forms(spark), PROFILE)[1].select("form", "fills", "unmatched", "missing", F.col("confidence").between(0.9, 1.0).alias("good"))
