@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import sys
 import tempfile
 import types
@@ -16,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 #: The words of the contracts: runs of anything but space and the controls 9 to 13.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Text bytes that a task turns into numpy arrays at a time; a longer text goes alone.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -50,6 +52,20 @@ def tuned(df: DataFrame) -> DataFrame:
     return df
 
 
+def lean(run):
+    """A task's generator that gives freed memory back to the system when it ends: workers live on and share the executor's."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+    return wrapped
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df, written to the shared folder and read back: its lineage ends there, and a lost executor loses nothing."""
     spark = tuned(df).sparkSession
@@ -129,14 +145,15 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, lower: bool = True, gap:
 COUNT_SCHEMA = "part int, counts binary"
 
 
-def count_rows(total: np.ndarray, parts: int) -> tuple[pa.Array, pa.Array]:
-    """(part, counts) arrays for a task's counters, cut into `parts` equal ranges; 4 bytes a counter, or 8 if one needs them.
-
-    The first byte of each range says which.
-    """
-    padded = np.zeros(-(-len(total) // parts) * parts, dtype="<i4" if total.max(initial=0) < 2**31 else "<i8")
-    padded[: len(total)] = total
-    return pa.array(range(parts), pa.int32()), pa.array([bytes([padded.itemsize]) + x.tobytes() for x in np.split(padded, parts)], pa.binary())
+def count_rows(total: np.ndarray, parts: int) -> Iterator[tuple[pa.Array, pa.Array]]:
+    """(part, counts) of a task's counters, one of `parts` equal ranges at a time. A range's first byte is the width of its counters."""
+    size = -(-len(total) // parts)
+    for k in range(parts):
+        own = total[k * size : (k + 1) * size]
+        width = next(w for w in (1, 2, 4, 8) if int(own.max(initial=0)) < 1 << (8 * w - 1))
+        padded = np.zeros(size, dtype=f"<i{width}")
+        padded[: len(own)] = own
+        yield pa.array([k], pa.int32()), pa.array([bytes([width]) + padded.tobytes()], pa.binary())
 
 
 def summed_counts(rows: DataFrame, size: int, parts: int) -> np.ndarray:

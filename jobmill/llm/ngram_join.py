@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import count_rows, mix, summed_counts, text_slices, word_hashes, written
+from .common import count_rows, lean, mix, summed_counts, text_slices, word_hashes, written
 from .graph import components
 
 COUNTERS = 1 << 22
@@ -42,6 +42,8 @@ RECENT = 8
 STARS = 6
 #: Fewer possible pairs than so many for each row of the lists still open, and they are joined with themselves at once.
 PAIRS_A_ROW = 8
+#: Steps that verify one candidate a member before the rest is verified.
+STEPS = 3
 #: Sets fetched for verification are looked up by broadcast up to so many ids (8 bytes each), else by a shuffled join.
 LOOKUP = 1_000_000
 
@@ -77,19 +79,12 @@ def _signatures(words: int):
         total = np.zeros(COUNTERS, dtype=np.int32)
         for batch in batches:
             sizes, digests, sketches = [], [], []
-            pending, held = [], 0
             for s in shingle_sets(batch.column("text"), words):
                 sizes.append(len(s))
                 digests.append(hashlib.blake2b(s, digest_size=16).digest())
                 bits = np.bincount((s & np.uint64(64 * SKETCH - 1)).astype(np.int64), minlength=64 * SKETCH) & 1
                 sketches.append(np.packbits(bits.astype(np.uint8)))
-                pending.append(s)
-                held += len(s)
-                if held > 1_000_000:
-                    total += np.bincount((np.concatenate(pending) >> np.uint64(40)).astype(np.int64) % COUNTERS, minlength=COUNTERS)
-                    pending, held = [], 0
-            if held:
-                total += np.bincount((np.concatenate(pending) >> np.uint64(40)).astype(np.int64) % COUNTERS, minlength=COUNTERS)
+                np.add.at(total, (s >> np.uint64(40)).astype(np.int64) % COUNTERS, 1)
             if sizes:
                 longs = np.stack(sketches).view(np.int64)
                 keys = np.frombuffer(b"".join(digests), dtype=np.int64)[::2]
@@ -98,10 +93,11 @@ def _signatures(words: int):
                 columns += [pa.array(longs[:, i]) for i in range(SKETCH)] + [none.cast(pa.int32()), none.cast(pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, schema=schema)
         if total.any():
-            columns = [pa.nulls(RANGES).cast(f.type) for f in schema][: 4 + SKETCH]
-            yield pa.RecordBatch.from_arrays([*columns, *count_rows(total, RANGES)], schema=schema)
+            for part, counts in count_rows(total, RANGES):
+                columns = [pa.nulls(1).cast(f.type) for f in schema][: 4 + SKETCH]
+                yield pa.RecordBatch.from_arrays([*columns, part, counts], schema=schema)
 
-    return run, "doc_id long, n long, digest binary, key long, " + ", ".join(f"s{i} long" for i in range(SKETCH)) + ", part int, counts binary"
+    return lean(run), "doc_id long, n long, digest binary, key long, " + ", ".join(f"s{i} long" for i in range(SKETCH)) + ", part int, counts binary"
 
 
 def _levels(signatures: DataFrame) -> np.ndarray:
@@ -144,7 +140,7 @@ def _prefixes(levels: np.ndarray, words: int, num: int, den: int):
         ]
         return pa.RecordBatch.from_arrays(columns, names=["token", "key", "n", "pos"])
 
-    return run
+    return lean(run)
 
 
 def _sets(words: int):
@@ -169,7 +165,7 @@ def _sets(words: int):
             if digests:
                 yield out()
 
-    return run
+    return lean(run)
 
 
 def _verified(num: int, den: int):
@@ -189,7 +185,7 @@ def _verified(num: int, den: int):
                 good[i] = den * both >= num * (len(x) + len(y) - both)
             yield batch.select(["ka", "kb"]).filter(pa.array(good))
 
-    return run
+    return lean(run)
 
 
 def _sketch_gap(a: str, b: str) -> Column:
@@ -277,8 +273,18 @@ def _labels(docs: DataFrame, classes: DataFrame, levels: np.ndarray, words: int,
         & _sketch_fits("x", "y", num, den)
         & either,
     )
-    pairs = cross.select(F.col("x.key").alias("ka"), F.col("y.key").alias("kb")).distinct().join(done, ["ka", "kb"], "left_anti")
-    return _merged(labels, _verify(docs, classes, written(pairs, "ngram-pairs"), words, num, den))
+    left_over = written(cross.select(F.col("x.key").alias("ka"), F.col("y.key").alias("kb")).distinct().join(done, ["ka", "kb"], "left_anti"), "ngram-left")
+    # In a group of near copies a pair for each member tells as much as all of them: first everyone's smallest neighbour.
+    for _ in range(STEPS):
+        if left_over.isEmpty():
+            return labels
+        ends = left_over.union(left_over.select("kb", "ka")).toDF("node", "other").groupBy("node").agg(F.min("other").alias("other"))
+        some = written(ends.select(F.least("node", "other").alias("ka"), F.greatest("node", "other").alias("kb")).distinct(), "ngram-pairs")
+        labels = _merged(labels, _verify(docs, classes, some, words, num, den))
+        of = lambda key, label: labels.select(F.col("key").alias(key), F.col("label").alias(label))  # noqa: B023, E731
+        rest = left_over.join(some, ["ka", "kb"], "left_anti").join(of("ka", "la"), "ka", "left").join(of("kb", "lb"), "kb", "left")
+        left_over = written(rest.filter(F.coalesce("la", "ka") != F.coalesce("lb", "kb")).select("ka", "kb"), "ngram-left")
+    return _merged(labels, _verify(docs, classes, left_over, words, num, den))
 
 
 def _merged(labels: DataFrame | None, found: DataFrame) -> DataFrame:

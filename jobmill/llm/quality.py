@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD, mix, text_slices, tuned, word_hashes, written
+from .common import WORD, lean, mix, text_slices, tuned, word_hashes, written
 
 GOOD, BAD, NONE = 1, 0, 2
 BUCKETS = 4096
@@ -166,7 +166,7 @@ def labelled(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*rest.columns, pa.array(made, pa.string())], names=[*rest.schema.names, "votes"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema.fields if f.name != "__text")
-    return chosen.mapInArrow(run, f"{schema}, votes string")
+    return chosen.mapInArrow(lean(run), f"{schema}, votes string")
 
 
 def fit(docs: DataFrame, sample: int = SAMPLE) -> Quality:
@@ -224,7 +224,7 @@ def scored(docs: DataFrame, model: Quality) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=[*batch.schema.names, "votes", "posterior", "score"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema.fields)
-    out = base.mapInArrow(run, f"{schema}, votes string, posterior double, score double")
+    out = base.mapInArrow(lean(run), f"{schema}, votes string, posterior double, score double")
     return out.withColumn("good", (F.col("score") >= 0.5) & F.rlike(F.coalesce("text", F.lit("")), F.lit(WORD)))
 
 

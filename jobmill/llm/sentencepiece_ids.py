@@ -16,7 +16,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ChunkTable, gathered, kept_in_process, text_slices, tuned
+from .common import ChunkTable, gathered, kept_in_process, lean, text_slices, tuned
 
 MODEL = "piece_bpe_32k.model"
 _MARK = "▁"
@@ -105,7 +105,7 @@ def sentencepiece_round_trip(docs: DataFrame, model: str | None = None, keep: tu
                 yield pa.RecordBatch.from_arrays(columns, names=[*part.schema.names, "ids", "decoded"])
 
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema.fields if f.name != "__text")
-    return chosen.mapInArrow(run, f"{kept}, ids binary, decoded string")
+    return chosen.mapInArrow(lean(run), f"{kept}, ids binary, decoded string")
 
 
 def digests(encoded: DataFrame) -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import ChunkTable, count_rows, gathered, kept_in_process, summed_counts, text_slices, tuned, written
+from .common import ChunkTable, count_rows, gathered, kept_in_process, lean, summed_counts, text_slices, tuned, written
 
 VOCABULARY = "byte_bpe_50k.json"
 END = 0
@@ -142,11 +142,12 @@ def token_ids(docs: DataFrame, vocabulary: str) -> DataFrame:
                 none = pa.nulls(end - first)
                 yield pa.RecordBatch.from_arrays([part, pa.array(counts), pa.array(rows, pa.binary()), none.cast(pa.int32()), none.cast(pa.binary())], schema=schema)
         if total.any():
-            none = pa.nulls(PARTS)
-            yield pa.RecordBatch.from_arrays([none.cast(pa.int64()), none.cast(pa.int64()), none.cast(pa.binary()), *count_rows(total, PARTS)], schema=schema)
+            none = pa.nulls(1)
+            for part, counts in count_rows(total, PARTS):
+                yield pa.RecordBatch.from_arrays([none.cast(pa.int64()), none.cast(pa.int64()), none.cast(pa.binary()), part, counts], schema=schema)
 
     chosen = tuned(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return chosen.mapInArrow(run, "doc_id long, n long, ids binary, part int, counts binary")
+    return chosen.mapInArrow(lean(run), "doc_id long, n long, ids binary, part int, counts binary")
 
 
 def write_token_files(docs: DataFrame, vocabulary: str | None = None) -> tuple[DataFrame, np.ndarray]:
