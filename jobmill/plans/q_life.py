@@ -231,3 +231,63 @@ def o13(spark: SparkSession, sf: str) -> DataFrame:
     pages = domain.job_postings(spark, sf).groupBy(page.alias("page")).agg(F.bool_and(F.col("scraped_at") > day).alias("fresh"))
     last = pages.filter("fresh").agg(F.coalesce(F.min("page"), F.lit(1_000_000)).alias("last"))
     return pages.join(F.broadcast(last), F.col("page") <= F.col("last")).select("page")
+
+
+@query("p15_owned_rows", with_(APPLICATION) + f"SELECT id, status FROM app WHERE user_id = {domain.USER} AND id IN (SELECT id FROM app WHERE id % 2 = 0 OR user_id = {domain.USER})")
+def p15(spark: SparkSession, sf: str) -> DataFrame:
+    """What a user may see: every read and write of a user's rows goes through the owner's id."""
+    return domain.applications(spark, sf).filter(F.col("user_id") == domain.USER).select("id", "status")
+
+
+@query(
+    "w9_progress",
+    with_(EVENT) + "SELECT user_id, count(*) FILTER (kind = 'purchase') AS done, count(*) AS total, CAST(floor(100.0 * count(*) FILTER (kind = 'purchase') / count(*) + 0.5) AS BIGINT) AS percent, count(DISTINCT CASE WHEN kind = 'error' THEN job_id END) AS reasons FROM ev GROUP BY user_id",
+)
+def w9(spark: SparkSession, sf: str) -> DataFrame:
+    """How far each run has come, and how many different reasons it gave for skipping."""
+    from ..functions.text import js_round
+
+    done = F.count_if(F.col("kind") == "purchase")
+    out = domain.feedback_events(spark, sf).groupBy("user_id").agg(done.alias("done"), F.count("*").alias("total"), F.countDistinct(F.when(F.col("kind") == "error", F.col("job_id"))).alias("reasons"))
+    return out.withColumn("percent", js_round(F.col("done") / F.col("total") * 100).cast("long"))
+
+
+STEPS = {"view": "PENDING", "click": "APPLYING", "error": "WAITING_FOR_USER", "purchase": "APPLIED"}
+
+
+@query(
+    "w12_application_states",
+    with_(EVENT)
+    + """, s AS (SELECT user_id, job_id, event_id, ts, CASE kind WHEN 'view' THEN 'PENDING' WHEN 'click' THEN 'APPLYING' WHEN 'error' THEN 'WAITING_FOR_USER' ELSE 'APPLIED' END AS status FROM ev WHERE kind <> 'signup'),
+l AS (SELECT user_id, job_id, arg_max(status, event_id) AS status, arg_max(ts, event_id) AS ts FROM s GROUP BY user_id, job_id)
+SELECT user_id, job_id, CASE WHEN status = 'WAITING_FOR_USER' AND ts < TIMESTAMP '2024-01-10' THEN 'NEEDS_MANUAL' ELSE status END AS status FROM l""",
+)
+def w12(spark: SparkSession, sf: str) -> DataFrame:
+    """The state of each application from its log; a wait for the user that lasts too long ends in manual work."""
+    steps = F.create_map(*(F.lit(x) for pair in STEPS.items() for x in pair))
+    log = domain.feedback_events(spark, sf).filter("kind <> 'signup'").select("user_id", "job_id", "event_id", "ts", F.element_at(steps, F.col("kind")).alias("status"))
+    now = lifecycle.latest(log, ["user_id", "job_id"], ["event_id"])
+    late = (F.col("status") == "WAITING_FOR_USER") & (F.col("ts") < at("2024-01-10 00:00:00"))
+    return now.select("user_id", "job_id", F.when(late, "NEEDS_MANUAL").otherwise(F.col("status")).alias("status"))
+
+
+@query("k15_new_samples", "SELECT min(conv_id * 100 + turn) AS first, text FROM (SELECT conv_id, turn, substring(text, 1, 12) AS text FROM conversations) GROUP BY text")
+def k15(spark: SparkSession, sf: str) -> DataFrame:
+    """Samples are kept once a text, the first one."""
+    rows = domain.read(spark, sf, "conversations").select((F.col("conv_id") * 100 + F.col("turn")).alias("first"), F.substring("text", 1, 12).alias("text"))
+    return rows.groupBy("text").agg(F.min("first").alias("first"))
+
+
+@query("p18_evidence_files", "SELECT page_id, regexp_extract(url, '[^/]*$') AS name FROM pages WHERE regexp_matches(regexp_extract(url, '[^/]*$'), '^[A-Za-z0-9_.-]+$')")
+def p18(spark: SparkSession, sf: str) -> DataFrame:
+    """Names that are safe to serve."""
+    name = F.regexp_extract("url", "[^/]*$", 0)
+    return domain.read(spark, sf, "pages").select("page_id", name.alias("name")).filter(F.rlike("name", F.lit("^[A-Za-z0-9_.-]+$")))
+
+
+@query("p10_thresholds", with_(JOB) + "SELECT count(*) FILTER (p >= 0.3) AS kept, count(*) FILTER (p >= 0.3 AND q >= 0.3) AS kept_after FROM (SELECT (id % 100) / 100.0 AS p, (id % 100) / 100.0 * 0.7 + (id % 7) / 7.0 * 0.3 AS q FROM job)")
+def p10(spark: SparkSession, sf: str) -> DataFrame:
+    """A threshold before the ranker spares its work, and one after it decides."""
+    p = (F.col("id") % 100) / F.lit(100.0)
+    q = p * 0.7 + (F.col("id") % 7) / F.lit(7.0) * 0.3
+    return domain.job_postings(spark, sf).select(p.alias("p"), q.alias("q")).agg(F.count_if(F.col("p") >= 0.3).alias("kept"), F.count_if((F.col("p") >= 0.3) & (F.col("q") >= 0.3)).alias("kept_after"))
