@@ -12,7 +12,7 @@ Only those prefixes are joined. A pair must also pass
 
 What is left is verified on the whole sets, once per pair. Equal sets are one class from the start, known by 64 bits
 of a digest (for ten billion different sets some three pairs share theirs and count as linked).
-Rounds verify each prefix list against one member, so a large group of near copies becomes one component
+Rounds verify each prefix list against one member, the one that has the shingle earliest, so a large group of near copies becomes one component
 by a few pairs a member; lists within one component are then done. The last round joins with themselves the lists
 that still span two components, so no link that matters is lost.
 
@@ -39,11 +39,11 @@ RANGES = 64
 SKETCH = 8  # longs
 RECENT = 8
 #: Rounds against list heads before what is left is joined with itself.
-STARS = 6
+STARS = 2
 #: Fewer possible pairs than so many for each row of the lists still open, and they are joined with themselves at once.
 PAIRS_A_ROW = 8
 #: Steps that verify one candidate a member before the rest is verified.
-STEPS = 3
+STEPS = 1
 #: Sets fetched for verification are looked up by broadcast up to so many ids (8 bytes each), else by a shuffled join.
 LOOKUP = 1_000_000
 
@@ -235,12 +235,13 @@ def _labels(docs: DataFrame, classes: DataFrame, levels: np.ndarray, words: int,
     """(key, label): the smallest key that links reach from each key that has a link."""
     postings = docs.select("text").mapInArrow(_prefixes(levels, words, num, den), "token long, key long, n long, pos long")
     postings = written(postings, "ngram-prefixes")
-    shared = postings.groupBy("token").agg(F.count("*").alias("members")).filter("members > 1").select("token")
-    open_lists = written(postings.join(shared, "token", "left_semi"), "ngram-lists").distinct().withColumn("label", F.col("key"))
+    shared = postings.groupBy("token").agg(F.count("*").alias("members")).filter("members > 1")
+    lists = written(postings.join(shared, "token"), "ngram-lists").distinct()
+    open_lists = lists.withColumn("label", F.col("key"))
     sketches = written(classes.select("key", "n", *(f"s{i}" for i in range(SKETCH))).dropDuplicates(["key"]), "ngram-sketches")
     labels = done = None
     for turn in range(STARS):
-        heads = open_lists.groupBy("token").agg(F.min(F.struct((F.col("n") if not turn else F.xxhash64("key", F.lit(turn))).alias("rank"), "key", "n", "pos", "label")).alias("head"))
+        heads = open_lists.groupBy("token").agg(F.min(F.struct(F.col("pos" if turn == 0 else "n").alias("rank"), "key", "n", "pos", "label")).alias("head"))
         heads = heads.select("token", "head.key", "head.n", "head.pos", "head.label")
         star = open_lists.alias("x").join(heads.alias("y"), "token").filter((F.col("x.label") != F.col("y.label")) & _pairs_of("x", "y", num, den))
         pairs = star.select(F.least("x.key", "y.key").alias("ka"), F.greatest("x.key", "y.key").alias("kb")).distinct()
@@ -250,10 +251,11 @@ def _labels(docs: DataFrame, classes: DataFrame, levels: np.ndarray, words: int,
         found = _verify(docs, classes, pairs, words, num, den)
         done = pairs if done is None else done.union(pairs)
         labels = _merged(labels, found)
-        lists_now = open_lists.drop("label").join(labels, "key", "left").withColumn("label", F.coalesce("label", "key"))
+        # The first round sees all of a list of two.
+        lists_now = open_lists.filter("members > 2").drop("label").join(labels, "key", "left").withColumn("label", F.coalesce("label", "key"))
         lists_now = written(lists_now, "ngram-labelled")
-        spans = lists_now.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("members")).filter("low <> high")
-        left = spans.agg(F.sum("members").alias("rows"), F.sum(F.col("members") * (F.col("members") - 1) / 2).alias("pairs")).first()
+        spans = lists_now.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("m")).filter("low <> high")
+        left = spans.agg(F.sum("m").alias("rows"), F.sum(F.col("m") * (F.col("m") - 1) / 2).alias("pairs")).first()
         if not left["rows"]:
             return labels
         open_lists = written(lists_now.join(spans.select("token"), "token", "left_semi"), "ngram-open")
