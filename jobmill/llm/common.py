@@ -66,6 +66,20 @@ def lean(run):
     return wrapped
 
 
+def larger(batches: Iterator[pa.RecordBatch], most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about `most` bytes."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.nbytes
+        if size >= most:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held, size = [], 0
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df, written to the shared folder and read back: its lineage ends there, and a lost executor loses nothing."""
     spark = tuned(df).sparkSession
@@ -197,8 +211,8 @@ class ChunkTable:
     anew beyond MOST chunks or MOST_BYTES, so that a worker's memory has a bound whatever it reads.
     """
 
-    MOST = 800_000
-    MOST_BYTES = 24 << 20
+    MOST = 1_500_000
+    MOST_BYTES = 40 << 20
 
     def __init__(self, encode) -> None:
         self.encode = encode

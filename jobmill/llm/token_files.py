@@ -20,13 +20,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import ChunkTable, count_rows, gathered, kept_in_process, lean, summed_counts, text_slices, tuned, written
+from .common import ChunkTable, count_rows, gathered, kept_in_process, larger, lean, summed_counts, text_slices, tuned, written
 
 VOCABULARY = "byte_bpe_50k.json"
 END = 0
 BLOCK_TOKENS = 1 << 17
 PARTS = 16
-_SLICE = 4 << 20
+_SLICE = 8 << 20
 _LENGTHS = np.array([[(c >> (2 * i)) % 4 + 1 for i in range(4)] for c in range(256)], dtype=np.uint8)
 
 _SPACE = np.zeros(256, dtype=bool)
@@ -125,8 +125,8 @@ def token_ids(docs: DataFrame, vocabulary: str) -> DataFrame:
         size, specials, table = coder.size, coder.specials, coder.table
         width = "<u2" if size <= 1 << 16 else "<u4"
         total = np.zeros(size, dtype=np.int64)
-        for batch in batches:
-            for first, end, data, offsets in text_slices(batch.column("text"), _SLICE):
+        for batch in larger(batches, _SLICE):
+            for first, end, data, offsets in text_slices(batch.column("text"), 2 * _SLICE):
                 own = data.tobytes()
                 starts = chunk_starts(data, offsets, any(s in own for s in specials)) if len(data) else np.zeros(0, np.int64)
                 found = table.lookup(data, starts) if len(starts) else starts
