@@ -13,6 +13,11 @@ from jobmill.llm import mixing, ngram_join, quality, sentencepiece_ids, toxicity
 from jobmill.llm.common import written
 
 
+def looked_up(ids: DataFrame) -> DataFrame:
+    """A table of ids, broadcast up to LOOKUP rows (16 bytes each); beyond, joins with it are shuffled."""
+    return F.broadcast(ids) if ids.count() <= ngram_join.LOOKUP else ids
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity stays below their language's threshold."""
     model, thresholds = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
@@ -31,7 +36,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """
     groups = ngram_join.ngram_links(docs, words=5, num=4, den=5)
     ids = written(groups.filter("doc_id = component_id").select("doc_id").distinct(), "kept-ids")
-    kept = docs.join(ids, "doc_id", "left_semi").select(*docs.columns)
+    kept = docs.join(looked_up(ids), "doc_id", "left_semi").select(*docs.columns)
     if ids.count() < docs.filter("doc_id is not null").select("doc_id").count() - groups.filter("doc_id <> component_id").count():
         kept = kept.dropDuplicates(["doc_id"])  # rows that repeat an id
     return kept.union(docs.filter("doc_id is null"))
@@ -41,7 +46,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents as often as the mix takes them: rows taken twice or thrice repeat, rows not taken go."""
     taken = mixing.mixed(docs).filter("copies > 0").select(F.col("doc_id").alias("of"), "copies").filter("of is not null")
     copies = written(taken.groupBy("of").agg(F.max("copies").alias("copies")), "mix-copies")
-    joined = docs.join(copies, F.col("doc_id") == F.col("of")).select(*docs.columns, "copies")
+    joined = docs.join(looked_up(copies), F.col("doc_id") == F.col("of")).select(*docs.columns, "copies")
     return joined.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
 
 
