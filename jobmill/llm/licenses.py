@@ -1,11 +1,13 @@
 """License scan: an exact set-similarity join of text blocks with license templates, in DataFrame operations only.
 
-A block is a line, its tokens the distinct words in it. A template is found in a block when at least THRESHOLD of the
+A block is a line, or a run of as many words as the template has, whatever line breaks stand between them (notices are
+often wrapped); its tokens are the distinct words in it. A template is found in a block when at least THRESHOLD of the
 template's tokens are. Tokens of the templates are put in one order by how many blocks of all documents hold them, rare
 ones first; a template then needs a token of its prefix (so many first tokens that the rest alone can't reach the
 threshold) to be among the block's, so blocks and templates are joined on prefix tokens only. Pairs must pass the length
 filter (enough template tokens in the block) and the positional filter (enough tokens behind the shared one on both
-sides), and are verified on whole sets, once each.
+sides), and are verified on whole sets, once each. Runs are looked for only in texts that hold enough of a template's
+tokens anywhere, and there only around words of its prefix.
 
 Beside the join, fixed phrases give base labels wherever their words stand one after the other.
 """
@@ -73,13 +75,14 @@ def phrase_places(words: Column, n_words: Column, phrases: tuple[tuple[str, str]
     )
 
 
-def template_matches(blocks: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
+def template_matches(blocks: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, threshold: tuple[int, int] = THRESHOLD, texts: DataFrame | None = None) -> DataFrame:
     """(key, label, score) of the templates found in blocks (key, line), score the share of the template's tokens; the best one a key and label.
 
-    Only the template's own tokens are kept of a block, since no other can be shared; null and empty lines match nothing.
+    With texts (key, text), runs of words over their line breaks count as blocks too. Only the template's own tokens are kept of a block, since no other can be shared; null and empty lines match nothing.
     """
     num, den = threshold
     sets = [(label, list(dict.fromkeys(text.split()))) for label, text in templates]
+    lengths = [len(text.split()) for _, text in templates]
     vocabulary = sorted({t for _, tokens in sets for t in tokens})
     literal = lambda tokens: F.array(*map(F.lit, tokens))
     kept = blocks.select("key", F.array_intersect(literal(vocabulary), F.split(_words(F.col("line")), " ")).alias("tokens")).filter(F.size("tokens") > 0)
@@ -88,10 +91,12 @@ def template_matches(blocks: DataFrame, templates: tuple[tuple[str, str], ...] =
     counts = {r["token"]: r["n"] for r in kept.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("n")).collect()}
     order = sorted(vocabulary, key=lambda t: (counts.get(t, 0), t))
     rank = {t: i for i, t in enumerate(order)}
-    index = []
+    index, runs = [], []
     for k, (label, tokens) in enumerate(sets):
         need = math.ceil(num * len(tokens) / den)
         tokens.sort(key=rank.__getitem__)
+        prefix = literal(tokens[: len(tokens) - need + 1])
+        runs.append(F.struct(F.lit(label).alias("label"), F.lit(lengths[k]).alias("length"), F.lit(need).alias("need"), prefix.alias("prefix"), literal(tokens).alias("whole")))
         for at, token in enumerate(tokens[: len(tokens) - need + 1]):
             index.append(F.struct(F.lit(token).alias("token"), F.lit(k).alias("template"), F.lit(label).alias("label"), F.lit(at).alias("at"), F.lit(need).alias("need"), literal(tokens).alias("whole")))
     prefixes = blocks.sparkSession.range(1).select(F.inline(F.array(*index)))
@@ -107,20 +112,38 @@ def template_matches(blocks: DataFrame, templates: tuple[tuple[str, str], ...] =
         .dropDuplicates(["key", "tokens", "template"])
     )
     overlap = F.size(F.array_intersect("tokens", "whole"))
-    return pairs.filter(overlap >= F.col("need")).groupBy("key", "label").agg(F.max(overlap / whole).alias("score"))
+    found = pairs.filter(overlap >= F.col("need")).select("key", "label", (overlap / whole).alias("score"))
+    if texts is not None:
+        found = found.union(_run_matches(texts, vocabulary, runs))
+    return found.groupBy("key", "label").agg(F.max("score").alias("score"))
+
+
+def _run_matches(texts: DataFrame, vocabulary: list[str], runs: list[Column]) -> DataFrame:
+    """(key, label, score) of the templates, structs of (label, length, need, prefix, whole), found in runs of `length` words of texts (key, text)."""
+    rows = texts.filter(F.contains("text", F.lit("\n"))).select("key", F.split(_words(F.col("text")), " ").alias("words"))
+    rows = rows.withColumn("tokens", F.array_intersect(F.array(*map(F.lit, vocabulary)), F.col("words")))
+    # One row a text and template whose tokens it may hold close by.
+    rows = rows.select("key", "words", F.inline(F.filter(F.array(*runs), lambda t: F.size(F.array_intersect(t["whole"], F.col("tokens"))) >= t["need"])))
+    shared = lambda start, n: F.size(F.array_intersect(F.slice("words", start, n), F.col("whole")))
+    first = lambda i: F.greatest(F.lit(1), i - F.col("length") + 1)
+    places = F.filter(F.sequence(F.lit(1), F.size("words")), lambda i: F.array_contains("prefix", F.element_at("words", i)))
+    near = F.filter(places, lambda i: shared(first(i), F.col("length") * 2 - 1) >= F.col("need"))
+    best = F.array_max(F.transform(near, lambda i: F.array_max(F.transform(F.sequence(first(i), i), lambda start: shared(start, F.col("length"))))))
+    rows = rows.select("key", "label", "need", "whole", best.alias("best"))
+    return rows.filter(F.col("best") >= F.col("need")).select("key", "label", (F.col("best") / F.size("whole")).alias("score"))
 
 
 def license_scan(docs: DataFrame) -> DataFrame:
     """(doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score) of each row of docs (doc_id, text).
 
     Texts count whole; a null text is an empty one: no words, no labels, score 0. Base labels score 1, others the best
-    share of a template's tokens in a line. What templates find is kept by a hash of the text, so copies share it and
+    share of a template's tokens in a line or run. What templates find is kept by a hash of the text, so copies share it and
     null or repeated doc_ids do no harm. An empty table gives no rows; more columns of docs are ignored.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     key = F.struct(F.xxhash64(text).alias("a"), F.hash(text).alias("b"), F.length(text).alias("c"))
     blocks = docs.select(key.alias("key"), F.explode(F.split(F.translate(text, UPPER, LOWER), "\n")).alias("line"))
-    found = template_matches(blocks).groupBy("key").agg(F.collect_list("label").alias("more"), F.max("score").alias("best"))  # as many as templates at most
+    found = template_matches(blocks, texts=docs.select(key.alias("key"), text.alias("text"))).groupBy("key").agg(F.collect_list("label").alias("more"), F.max("score").alias("best"))  # as many as templates at most
     rows = docs.select("doc_id", key.alias("key"), _words(text).alias("words")).withColumn("n_words", _n_words(F.col("words")))
     rows = rows.withColumn("base", phrase_places(F.col("words"), F.col("n_words"))).select("doc_id", "key", "n_words", "base.*")
     out = rows.join(found, "key", "left")

@@ -1,6 +1,8 @@
 """Token ids, media, licenses and chat formatting against the libraries, brute force and their SQL."""
 
 import hashlib
+import random
+import re
 import zlib
 from collections import Counter
 
@@ -10,10 +12,11 @@ import public_tokenizers
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from jobmill.llm import licenses, media, preferences, sentencepiece_ids, token_files
 
-from .conftest import hard_rows
+from .conftest import hard_rows, prose
 
 
 def test_sentencepiece_equals_the_library(hard, nothing):
@@ -127,6 +130,46 @@ def test_preference_pairs(spark):
     assert preferences.preference_segments(rows.filter("false")).count() == 0
 
 
+NOTICES = {
+    "bsd": "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that",
+    "isc": "Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that",
+    "mit": "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files",
+    "mpl": "# This Source Code Form is subject to the terms of the\n# Mozilla Public License, v. 2.0. If a copy",
+    "cc0": "To the extent possible under law, the author\nhas waived all copyright and related or\nneighboring rights to\nthis work",
+}
+
+
+def brute_runs(text: str) -> dict[str, float]:
+    """The best share of each label's templates in a line or a run of as many words."""
+    cut = lambda t: [w for w in re.split(r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", t.lower()) if w]
+    words, num, den, out = cut(text), *licenses.THRESHOLD, {}
+    for label, template in licenses.TEMPLATES:
+        whole, n = set(template.split()), len(template.split())
+        blocks = [cut(line) for line in text.split("\n")] + [words[i : i + n] for i in range(len(words))]
+        best = max(len(whole & set(b)) for b in blocks)
+        if den * best >= num * len(whole):
+            out[label] = max(out.get(label, 0), best / len(whole))
+    return out
+
+
+def test_wrapped_notices_are_found(spark):
+    r = random.Random(3)
+    texts = [f"some words before\n{notice}\nand after" for notice in NOTICES.values()]
+    texts += [t.replace("\n", " ") for t in texts] + [f"Permission\n{prose(7, 40)}\nis hereby granted free of charge {prose(8, 40)}\nto any person"]
+    for _ in range(60):  # notices with words lost, put in and wrapped anywhere
+        words = [w for _, t in r.sample(licenses.TEMPLATES, 2) for w in t.split() if r.random() > 0.1 for w in ([w, "zz"] if r.random() < 0.1 else [w])]
+        texts.append("".join(w + r.choice("  \n") for w in words))
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    key = F.col("doc_id").alias("key")
+    blocks = rows.select(key, F.explode(F.split(F.lower("text"), "\n")).alias("line"))
+    got = {(x.key, x.label): x.score for x in licenses.template_matches(blocks, texts=rows.select(key, "text")).collect()}
+    assert got == {(k, label): score for k, t in enumerate(texts) for label, score in brute_runs(t).items()}
+    labels = {x.doc_id: x.labels.split(",") for x in licenses.license_scan(rows).collect()}
+    for k, label in enumerate(NOTICES):
+        assert label in labels[k] and label in labels[k + len(NOTICES)]
+    assert labels[2 * len(NOTICES)] == [""]
+
+
 @pytest.mark.parametrize("name", ["op3_preference_formatting", "op7_license_scan", "op1_ngram_jaccard_join"])
 def test_registered_sql(spark, name):
     from jobmill.llm import registry
