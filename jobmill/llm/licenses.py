@@ -2,7 +2,8 @@
 
 A block is a line, or a run of as many words as the template has, whatever line breaks stand between them (notices are
 often wrapped); its tokens are the distinct words in it. A template is found in a block when at least THRESHOLD of the
-template's tokens are. Tokens of the templates are put in one order by how many blocks of all documents hold them, rare
+template's tokens are, and among them those that NAMES has; a template of up to SHORT tokens must be there whole, as any
+of its words may tell licenses or their versions apart. Tokens of the templates are put in one order by how many blocks of all documents hold them, rare
 ones first; a template then needs a token of its prefix (so many first tokens that the rest alone can't reach the
 threshold) to be among the block's, so blocks and templates are joined on prefix tokens only. Pairs must pass the length
 filter (enough template tokens in the block) and the positional filter (enough tokens behind the shared one on both
@@ -40,6 +41,10 @@ TEMPLATES = (
     ("mpl", "this source code form is subject to the terms of the mozilla public license v 2 0"),
 )
 THRESHOLD = (4, 5)
+#: Templates of so many tokens at most are found whole or not at all.
+SHORT = 12
+#: Words that name a license: a template that has one is not found without it.
+NAMES = ("apache", "attribution", "cc", "creative", "gnu", "mit", "mozilla", "nc")
 
 
 def _words(text: Column) -> Column:
@@ -75,12 +80,17 @@ def phrase_places(words: Column, n_words: Column, phrases: tuple[tuple[str, str]
     )
 
 
+def _need(tokens: list[str], threshold: tuple[int, int]) -> int:
+    """How many of a template's tokens a block must hold."""
+    num, den = threshold
+    return len(tokens) if len(tokens) <= SHORT else math.ceil(num * len(tokens) / den)
+
+
 def template_matches(blocks: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, threshold: tuple[int, int] = THRESHOLD, texts: DataFrame | None = None) -> DataFrame:
     """(key, label, score) of the templates found in blocks (key, line), score the share of the template's tokens; the best one a key and label.
 
     With texts (key, text), runs of words over their line breaks count as blocks too. Only the template's own tokens are kept of a block, since no other can be shared; null and empty lines match nothing.
     """
-    num, den = threshold
     sets = [(label, list(dict.fromkeys(text.split()))) for label, text in templates]
     lengths = [len(text.split()) for _, text in templates]
     vocabulary = sorted({t for _, tokens in sets for t in tokens})
@@ -93,14 +103,15 @@ def template_matches(blocks: DataFrame, templates: tuple[tuple[str, str], ...] =
     rank = {t: i for i, t in enumerate(order)}
     index, runs = [], []
     for k, (label, tokens) in enumerate(sets):
-        need = math.ceil(num * len(tokens) / den)
+        need = _need(tokens, threshold)
+        names = literal([t for t in tokens if t in NAMES]).cast("array<string>")
         tokens.sort(key=rank.__getitem__)
         prefix = literal(tokens[: len(tokens) - need + 1])
-        runs.append(F.struct(F.lit(label).alias("label"), F.lit(lengths[k]).alias("length"), F.lit(need).alias("need"), prefix.alias("prefix"), literal(tokens).alias("whole")))
+        runs.append(F.struct(F.lit(label).alias("label"), F.lit(lengths[k]).alias("length"), F.lit(need).alias("need"), prefix.alias("prefix"), literal(tokens).alias("whole"), names.alias("names")))
         for at, token in enumerate(tokens[: len(tokens) - need + 1]):
-            index.append(F.struct(F.lit(token).alias("token"), F.lit(k).alias("template"), F.lit(label).alias("label"), F.lit(at).alias("at"), F.lit(need).alias("need"), literal(tokens).alias("whole")))
+            index.append(F.struct(F.lit(token).alias("token"), F.lit(k).alias("template"), F.lit(label).alias("label"), F.lit(at).alias("at"), F.lit(need).alias("need"), literal(tokens).alias("whole"), names.alias("names")))
     prefixes = blocks.sparkSession.range(1).select(F.inline(F.array(*index)))
-    least = min(math.ceil(num * len(tokens) / den) for _, tokens in sets)
+    least = min(_need(tokens, threshold) for _, tokens in sets)
     ordered = kept.filter(F.size("tokens") >= least).select("key", F.array_intersect(literal(order), F.col("tokens")).alias("tokens")).distinct()
     sides = ordered.select("key", "tokens", F.posexplode("tokens").alias("pos", "token"))
     size, whole = F.size("tokens"), F.size("whole")
@@ -108,23 +119,25 @@ def template_matches(blocks: DataFrame, templates: tuple[tuple[str, str], ...] =
         sides.join(F.broadcast(prefixes), "token")  # the templates' prefixes
         .filter((size >= F.col("need")) & (F.col("pos") <= size - F.col("need")))
         .filter(1 + F.least(size - 1 - F.col("pos"), whole - 1 - F.col("at")) >= F.col("need"))
-        .select("key", "tokens", "template", "label", "need", "whole")
+        .select("key", "tokens", "template", "label", "need", "whole", "names")
         .dropDuplicates(["key", "tokens", "template"])
     )
     overlap = F.size(F.array_intersect("tokens", "whole"))
-    found = pairs.filter(overlap >= F.col("need")).select("key", "label", (overlap / whole).alias("score"))
+    named = F.size(F.array_except("names", "tokens")) == 0
+    found = pairs.filter((overlap >= F.col("need")) & named).select("key", "label", (overlap / whole).alias("score"))
     if texts is not None:
         found = found.union(_run_matches(texts, vocabulary, runs))
     return found.groupBy("key", "label").agg(F.max("score").alias("score"))
 
 
 def _run_matches(texts: DataFrame, vocabulary: list[str], runs: list[Column]) -> DataFrame:
-    """(key, label, score) of the templates, structs of (label, length, need, prefix, whole), found in runs of `length` words of texts (key, text)."""
+    """(key, label, score) of the templates, structs of (label, length, need, prefix, whole, names), found in runs of `length` words of texts (key, text)."""
     rows = texts.filter(F.contains("text", F.lit("\n"))).select("key", F.split(_words(F.col("text")), " ").alias("words"))
     rows = rows.withColumn("tokens", F.array_intersect(F.array(*map(F.lit, vocabulary)), F.col("words")))
     # One row a text and template whose tokens it may hold close by.
     rows = rows.select("key", "words", F.inline(F.filter(F.array(*runs), lambda t: F.size(F.array_intersect(t["whole"], F.col("tokens"))) >= t["need"])))
-    shared = lambda start, n: F.size(F.array_intersect(F.slice("words", start, n), F.col("whole")))
+    held = lambda start, n: F.array_intersect(F.slice("words", start, n), F.col("whole"))
+    shared = lambda start, n: F.when(F.size(F.array_except("names", held(start, n))) == 0, F.size(held(start, n))).otherwise(0)
     first = lambda i: F.greatest(F.lit(1), i - F.col("length") + 1)
     places = F.filter(F.sequence(F.lit(1), F.size("words")), lambda i: F.array_contains("prefix", F.element_at("words", i)))
     near = F.filter(places, lambda i: shared(first(i), F.col("length") * 2 - 1) >= F.col("need"))

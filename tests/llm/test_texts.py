@@ -146,8 +146,9 @@ def brute_runs(text: str) -> dict[str, float]:
     for label, template in licenses.TEMPLATES:
         whole, n = set(template.split()), len(template.split())
         blocks = [cut(line) for line in text.split("\n")] + [words[i : i + n] for i in range(len(words))]
-        best = max(len(whole & set(b)) for b in blocks)
-        if den * best >= num * len(whole):
+        names = whole if len(whole) <= licenses.SHORT else whole & set(licenses.NAMES)
+        best = max((len(whole & set(b)) for b in blocks if names <= set(b)), default=0)
+        if best and den * best >= num * len(whole):
             out[label] = max(out.get(label, 0), best / len(whole))
     return out
 
@@ -170,6 +171,25 @@ def test_wrapped_notices_are_found(spark):
     assert labels[2 * len(NOTICES)] == [""]
 
 
+def test_one_license_is_not_taken_for_another(spark):
+    lines = [(text, {label}) for label, text in licenses.TEMPLATES] + [
+        ("Released under the Apache License", set()),
+        ("Licensed under CC BY 4.0", set()),
+        ("Licensed under CC BY-NC 4.0", {"cc-by-nc"}),
+        ("Licensed under the MIT License, Version 2.0", set()),
+        ("This work is licensed under the GNU General Public License, version 2", set()),
+        ("This Source Code Form is subject to the terms of the Eclipse Public License, v. 2.0", set()),
+        ("Redistribution and use in source and binary forms, with or without changes, are permitted", {"bsd"}),
+    ]
+    wrapped = [(text.replace(" under", "\nunder").replace(" the ", "\nthe "), label) for text, label in lines]
+    rows = spark.createDataFrame([(k, text) for k, (text, _) in enumerate(lines + wrapped)], "key long, text string")
+    blocks = rows.select("key", F.explode(F.split(F.lower("text"), "\n")).alias("line"))
+    got: dict[int, set] = {k: set() for k in range(2 * len(lines))}
+    for x in licenses.template_matches(blocks, texts=rows).collect():
+        got[x.key].add(x.label)
+    assert got == {k: labels for k, (_, labels) in enumerate(lines + wrapped)}
+
+
 @pytest.mark.parametrize("name", ["op3_preference_formatting", "op7_license_scan", "op1_ngram_jaccard_join"])
 def test_registered_sql(spark, name):
     from jobmill.llm import registry
