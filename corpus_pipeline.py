@@ -18,6 +18,15 @@ def looked_up(ids: DataFrame) -> DataFrame:
     return F.broadcast(ids) if ids.count() <= ngram_join.LOOKUP else ids
 
 
+def told_apart(docs: DataFrame) -> DataFrame:
+    """docs with `row`, a number of each row's own in the order of doc_id, null last: doc_id itself unless it is null or repeats somewhere."""
+    ids = docs.select(F.col("doc_id").cast("long").alias("row"))
+    if ids.count() == ids.filter("row is not null").distinct().count():
+        return docs.withColumn("row", F.col("doc_id").cast("long"))
+    ordered = docs.orderBy(F.col("doc_id").asc_nulls_last(), F.xxhash64("text"))
+    return written(ordered.withColumn("row", F.monotonically_increasing_id()), "numbered")
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity stays below their language's threshold."""
     model, thresholds = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
@@ -32,21 +41,20 @@ def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group that links of five-word shingles at a similarity of 0.8 or more connect: the one with the smallest doc_id.
 
-    Documents without words link with nothing and stay, as do rows without a doc_id, which can't be told apart.
+    Documents without words link with nothing and stay, as do rows without a doc_id. Rows that repeat a doc_id are documents of their own.
     """
-    groups = ngram_join.ngram_links(docs, words=5, num=4, den=5)
-    ids = written(groups.filter("doc_id = component_id").select("doc_id").distinct(), "kept-ids")
-    kept = docs.join(looked_up(ids), "doc_id", "left_semi").select(*docs.columns)
-    if ids.count() < docs.filter("doc_id is not null").select("doc_id").count() - groups.filter("doc_id <> component_id").count():
-        kept = kept.dropDuplicates(["doc_id"])  # rows that repeat an id
-    return kept.union(docs.filter("doc_id is null"))
+    rows = told_apart(docs)
+    groups = ngram_join.ngram_links(rows.select(F.col("row").alias("doc_id"), "text"), words=5, num=4, den=5)
+    firsts = written(groups.filter("doc_id = component_id").select(F.col("doc_id").alias("row")), "kept-rows")
+    kept = rows.filter("doc_id is not null").join(looked_up(firsts), "row", "left_semi").select(*docs.columns)
+    return kept.union(rows.filter("doc_id is null").select(*docs.columns))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents as often as the mix takes them: rows taken twice or thrice repeat, rows not taken go."""
-    taken = mixing.mixed(docs).filter("copies > 0").select(F.col("doc_id").alias("of"), "copies").filter("of is not null")
-    copies = written(taken.groupBy("of").agg(F.max("copies").alias("copies")), "mix-copies")
-    joined = docs.join(looked_up(copies), F.col("doc_id") == F.col("of")).select(*docs.columns, "copies")
+    rows = told_apart(docs)
+    copies = written(mixing.mixed(rows, key="row").filter("copies > 0").select("row", "copies"), "mix-copies")
+    joined = rows.join(looked_up(copies), "row").select(*docs.columns, "copies")
     return joined.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
 
 

@@ -110,8 +110,9 @@ def targets(sizes: DataFrame) -> DataFrame:
     return by.select("source", "source_size", "documents", target.alias("target"))
 
 
-def _fly(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
-    rows = rows.sort_by([("draw", "ascending"), ("doc_id", "ascending"), ("size", "descending")])
+def _fly(rows: pa.Table, columns: list[str]) -> pa.Table:
+    more = [(c, "ascending") for c in columns[len(_FLOWN) :]]
+    rows = rows.sort_by([("draw", "ascending"), ("doc_id", "ascending"), ("size", "descending"), *more])
     size = rows["size"].to_numpy().astype(float)
     rng = np.random.default_rng([SEED, rows["draw"][0].as_py() & (2**63 - 1), len(size)])
     documents, words = np.ones(len(size)), size / max(size.max(), 1.0)
@@ -119,21 +120,24 @@ def _fly(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
     if rows["last"][0].as_py():  # the landing gives up the number of documents, then that of words
         p = flight(p, [words], rng)
         p = flight(p, [], rng)
-    return rows.select(_FLOWN).set_column(_FLOWN.index("p"), "p", pa.array(p))
+    return rows.select(columns).set_column(columns.index("p"), "p", pa.array(p))
 
 
-def mixed(docs: DataFrame, block: int = BLOCK) -> DataFrame:
+def mixed(docs: DataFrame, block: int = BLOCK, key: str | None = None) -> DataFrame:
     """(doc_id, source, size, source_size, target, copies) of each row of docs (doc_id, text, source; more columns are ignored).
 
     size is the number of words of the whole text, 0 for null; copies is how often the mix takes the row, MOST at
     most. Null is a source of its own. A source without words has target 0 and nothing taken. Draws hang on doc_id
-    alone, so reruns agree. Rows that repeat a doc_id are taken each by itself. An empty table gives no rows.
+    alone, so reruns agree. Rows that repeat a doc_id are taken each by itself. An empty table gives no rows. `key`
+    names a long column of docs that tells rows apart; it is handed on, and rows without a doc_id draw by it.
     """
     spark = docs.sparkSession
+    keys = [key] if key else []
     sizes = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.col("source").cast("string").alias("source"),
         F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
+        *keys,
     )
     sizes = written(sizes, "mix-sizes")
     sources = written(targets(sizes), "mix-sources")
@@ -141,14 +145,15 @@ def mixed(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     base = F.least(F.floor(rate + _EPS), F.lit(MOST)).cast("int")
     rows = sizes.join(sources.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of"))).drop("of")
     rows = rows.withColumn("base", base).withColumn("p", F.greatest(rate - F.col("base"), F.lit(0.0)))
-    rows = rows.withColumn("draw", F.xxhash64(F.coalesce("doc_id", F.lit(-1)), F.lit(SEED)))
+    rows = rows.withColumn("draw", F.xxhash64(F.coalesce("doc_id", *keys, F.lit(-1)), F.lit(SEED)))
     rows = rows.withColumn("blocks", F.ceil(F.col("documents") / block).cast("long"))
-    schema = "doc_id long, source string, size long, source_size long, target double, base int, p double, draw long, blocks long, last boolean"
+    schema = "doc_id long, source string, size long, source_size long, target double, base int, p double, draw long, blocks long, last boolean" + "".join(f", {k} long" for k in keys)
+    fly = lambda _, rows: _fly(rows, [*_FLOWN, *keys])
     settled = []
     while True:
         rows = rows.withColumn("last", F.col("blocks") == 1).withColumn("block", F.pmod(F.expr("shiftrightunsigned(draw, 3)"), F.col("blocks")))
         open_ = (F.col("p") > _EPS) & (F.col("p") < 1 - _EPS)
-        flown = rows.filter(open_).groupBy("source", "block").applyInArrow(_fly, schema)
+        flown = rows.filter(open_).groupBy("source", "block").applyInArrow(fly, schema)
         settled.append(rows.filter(~open_).select(*flown.columns))
         rows = written(flown, "mix-level")
         settled.append(rows.filter(~open_))
@@ -162,7 +167,7 @@ def mixed(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     out = settled[0]
     for part in settled[1:]:
         out = out.union(part)
-    return out.select("doc_id", "source", "size", "source_size", "target", (F.col("base") + (F.col("p") > 0.5).cast("int")).alias("copies"))
+    return out.select("doc_id", "source", "size", "source_size", "target", (F.col("base") + (F.col("p") > 0.5).cast("int")).alias("copies"), *keys)
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

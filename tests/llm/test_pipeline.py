@@ -1,6 +1,8 @@
 import re
+from collections import Counter
 
 import corpus_pipeline
+from jobmill.llm import mixing
 from pyspark.sql import functions as F
 
 from .conftest import hard_rows, prose
@@ -39,6 +41,27 @@ def test_near_duplicate_stage_equals_brute_force(spark):
     assert sorted(r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, again, "").collect()) == wanted
 
 
+def test_rows_without_or_with_the_same_id_are_kept(spark):
+    a, b, c = prose(1, 90), prose(2, 70), prose(3, 50)
+    texts = [(1, a), (1, b), (1, a), (None, a), (None, c), (None, c), (2, a + " tail"), (3, ""), (3, ""), (4, b), (5, prose(5, 30)), (5, prose(6, 30))]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    counted = lambda df: Counter((r.doc_id, r.text) for r in df.collect())
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in texts], schema)
+    wanted = Counter(texts) - Counter([(1, a), (2, a + " tail"), (4, b)])
+    assert counted(corpus_pipeline.drop_near_duplicates(spark, docs, "")) == wanted
+    # One source: its target is its size, so the mix takes every row with words once.
+    assert counted(corpus_pipeline.mix_sources(spark, docs, "")) == Counter(texts)
+    more = docs.union(spark.createDataFrame([(k % 7 if k % 3 else None, prose(50 + k, 20 + k), "en", "tu"[k % 2], 1) for k in range(80)], schema))
+    # Rows differ in source and size here, so the mix tells how often each is there.
+    sized = F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
+    taken = mixing.mixed(corpus_pipeline.told_apart(more), key="row").filter("copies > 0")
+    want: Counter = Counter()
+    for r in taken.collect():
+        want[r.doc_id, r.source, r.size] += r.copies
+    got = corpus_pipeline.mix_sources(spark, more, "").select("doc_id", "source", sized.alias("size"))
+    assert Counter(tuple(r) for r in got.collect()) == want and any(i is None for i, _, _ in want)
+
+
 def test_run_takes_words_near_the_targets(spark):
     sf = "/root/testdata/sf0.001"
     out = corpus_pipeline.run(spark, sf)
