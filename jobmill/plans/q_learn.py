@@ -65,7 +65,7 @@ def _samples(spark: SparkSession, sf: str) -> DataFrame:
 @query("r14_r18_trained_rankers")
 def r14(spark: SparkSession, sf: str) -> DataFrame:
     """A ranker for every user with enough feedback; tested against planted preferences."""
-    return learning.rankers(_samples(spark, sf).filter("user_id < 8"))
+    return learning.rankers(_samples(spark, sf))
 
 
 @query(

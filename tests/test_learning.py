@@ -77,3 +77,12 @@ def test_rate_limit_counts_from_the_last_accepted_call():
     rows = pd.DataFrame({"key": 1, "seq": range(4), "ms": [0, 9000, 12000, 21000]})
     _, out = stateful.limit_step(None, rows)
     assert [r[3] for r in out] == [True, False, True, False]
+
+
+def test_every_user_with_enough_feedback_gets_a_ranker(spark, monkeypatch):
+    from jobmill.plans import q_learn
+
+    rows = [(user, k, [float(k == i) + user for i in range(3)], float(k % 2), 1.0) for user in (3, 8, 700) for k in range(8 if user != 3 else 7)]
+    data = spark.createDataFrame(rows, "user_id long, job_id long, features array<double>, label double, weight double")
+    monkeypatch.setattr(q_learn, "_samples", lambda spark, sf: data)
+    assert sorted(r.user_id for r in q_learn.r14(spark, "").select("user_id").collect()) == [8, 700]
