@@ -86,3 +86,12 @@ def test_every_user_with_enough_feedback_gets_a_ranker(spark, monkeypatch):
     data = spark.createDataFrame(rows, "user_id long, job_id long, features array<double>, label double, weight double")
     monkeypatch.setattr(q_learn, "_samples", lambda spark, sf: data)
     assert sorted(r.user_id for r in q_learn.r14(spark, "").select("user_id").collect()) == [8, 700]
+
+
+def test_samples_are_chosen_from_all_conversations(spark, tmp_path):
+    from jobmill.plans import q_drafts
+
+    turns = [(c, t, "assistant", "x") for c in (25, 300) for t in (0, 1)]
+    spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    got = [(r.conv_id, r.turn) for r in q_drafts.t11(spark, str(tmp_path)).collect()]
+    assert len(got) == 3 and {(25, 0), (300, 0)} < set(got)
