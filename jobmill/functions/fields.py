@@ -16,9 +16,30 @@ def first_rule(c: Column, rules: tuple[tuple[str, str], ...], wrap: str = "{}")
     return F.coalesce(*(F.when(F.rlike(c, F.lit(wrap.format(pattern))), F.lit(value)) for pattern, value in rules))
 
 
-def whole_words(spellings: tuple[str, ...]) -> str:
-    """A pattern for any of these in folded text."""
-    return f"(^| )({'|'.join(spellings)})( |$)"
+def let(value: Column, body) -> Column:
+    """body(value), with value worked out once however often body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+Table = tuple[tuple[str, tuple[str, ...]], ...]
+
+
+def names_in(c: Column, table: Table) -> Column:
+    """The names of a table (name, spellings) of which a spelling stands in c as whole words, in the table's order; c is folded once."""
+    return let(normalize_text(c), lambda folded: names_in_folded(folded, table))
+
+
+def names_in_folded(folded: Column, table: Table) -> Column:
+    """names_in for text that is folded already; `folded` stands in the result twice."""
+    name_of = {spelling: name for name, spellings in table for spelling in spellings}
+    words = [s for s in name_of if " " not in s]
+    runs = [s for s in name_of if " " in s]
+    names = F.create_map(*(F.lit(x) for pair in name_of.items() for x in pair))
+    hits = F.array_intersect(F.split(folded, " "), F.array(*map(F.lit, words)))
+    if runs:
+        padded = F.concat(F.lit(" "), folded, F.lit(" "))
+        hits = F.concat(hits, F.filter(F.array(*map(F.lit, runs)), lambda r: F.contains(padded, F.concat(F.lit(" "), r, F.lit(" ")))))
+    return F.array_intersect(F.array(*(F.lit(name) for name, _ in table)), F.transform(hits, lambda h: F.element_at(names, h)))
 
 
 def currency(c: Column | str) -> Column:
@@ -61,8 +82,7 @@ def salary_midpoint(c: Column | str) -> Column:
 
 def detect_city(c: Column | str) -> Column:
     """The first city of the list that the text names."""
-    folded = normalize_text(text_or_empty(c))
-    return F.coalesce(*(F.when(F.rlike(folded, F.lit(whole_words(spellings))), F.lit(name)) for name, spellings in CITIES))
+    return F.get(names_in(text_or_empty(c), CITIES), F.lit(0))
 
 
 def work_type(declared: Column | str, title: Column | str, location: Column | str) -> Column:
@@ -73,7 +93,7 @@ def work_type(declared: Column | str, title: Column | str, location: Column | st
 
 
 def seniority(c: Column | str) -> Column:
-    return first_rule(normalize_text(text_or_empty(c)), tuple((whole_words(words), level) for level, words in SENIORITY))
+    return F.get(names_in(text_or_empty(c), SENIORITY), F.lit(0))
 
 
 def skills(c: Column | str) -> Column:
@@ -81,9 +101,7 @@ def skills(c: Column | str) -> Column:
     c = text_or_empty(c)
     for pattern, word in ((r"(?i)c#", " csharp "), (r"(?i)\.net\b", " dotnet "), (r"(?i)c\+\+", " cpp ")):
         c = F.regexp_replace(c, pattern, word)
-    folded = normalize_text(c)
-    found = F.array(*(F.when(F.rlike(folded, F.lit(whole_words(words))), F.lit(name)) for name, words in SKILLS))
-    return F.array_compact(found)
+    return names_in(c, SKILLS)
 
 
 def czech_date(c: Column | str, now: Column) -> Column:

@@ -133,6 +133,11 @@ def _profile(profile: Profile, title: Column, found_skills: Column) -> tuple[Col
     return fit, F.when(named, _part(1.0, "Title fits your CV")).otherwise(_part(0.0))
 
 
+def _once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """df with a column that is worked out once a row: a generator's output, which filters and projections above it don't repeat."""
+    return df.select("*", F.explode(F.array(value)).alias(name))
+
+
 def scored(postings: DataFrame, req: Request) -> DataFrame:
     """postings with `score`, `reasons`, `rejected_by`, `features` and `parts`.
 
@@ -144,8 +149,9 @@ def scored(postings: DataFrame, req: Request) -> DataFrame:
     city = F.coalesce(detect_city("location"), detect_city(title))
     place = F.coalesce(F.nullif(clean_text(dedupe_half("location"), 120), F.lit("")), F.when(kind == "Remote", "Remote").otherwise(F.coalesce(city, F.lit(""))))
     body = clean_text(text_or_empty("description"))
-    base = postings.select(
-        "*",
+    base = _once(
+        postings,
+        "n",
         F.struct(
             title.alias("title"),
             normalize_text(title).alias("folded"),
@@ -156,7 +162,7 @@ def scored(postings: DataFrame, req: Request) -> DataFrame:
             parse_salary(F.nullif(js_trim("salary"), F.lit(""))).alias("pay"),
             skills(F.concat(title, F.lit(" "), body)).alias("skills"),
             F.coalesce("posted_at", "first_seen_at").alias("seen"),
-        ).alias("n"),
+        ),
     )
     n = F.col("n")
     parts = {
@@ -172,7 +178,7 @@ def scored(postings: DataFrame, req: Request) -> DataFrame:
     excluded = F.coalesce(
         *(F.when(F.rlike(n["folded"], F.concat(F.lit("(^| )"), _norm(t), F.lit("( |$)"))), F.lit(t)) for t in req.meant().excluded_titles), F.lit(None).cast("string")
     )
-    with_parts = base.select("*", F.struct(*(p.alias(name) for name, p in parts.items())).alias("parts"))
+    with_parts = _once(base, "parts", F.struct(*(p.alias(name) for name, p in parts.items())))
     p = lambda name: F.col(f"parts.{name}")
     value = lambda name: F.col(f"parts.{name}.value")
     total = F.lit(0.0)

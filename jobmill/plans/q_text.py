@@ -157,7 +157,9 @@ def f14(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("f13_f16_document_fields", f"SELECT doc_id, {city(norm('text'))} AS city, {level(norm('text'))} AS level, array_to_string({skill_list(norm('text'))}, ',') AS skills FROM documents")
 def f13_docs(spark: SparkSession, sf: str) -> DataFrame:
-    return docs(spark, sf).select("doc_id", fields.detect_city("text").alias("city"), fields.seniority("text").alias("level"), F.array_join(fields.skills("text"), ",").alias("skills"))
+    folded = docs(spark, sf).select("doc_id", "text", F.explode(F.array(t.normalize_text(t.text_or_empty("text")))).alias("folded"))
+    first = lambda table: F.get(fields.names_in_folded(F.col("folded"), table), F.lit(0))
+    return folded.select("doc_id", first(fields.CITIES).alias("city"), first(fields.SENIORITY).alias("level"), F.array_join(fields.skills("text"), ",").alias("skills"))
 
 
 TEXTS = [
