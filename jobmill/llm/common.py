@@ -31,14 +31,23 @@ _BASE_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one of our own where that is unset."""
+    """The folder all executors share: spark.checkpoint.dir. Where that is unset, a temporary one on a local master, where all run on one machine; else an error."""
     set_dir = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not set_dir:
+        master = spark.sparkContext.master or ""
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         set_dir = "file://" + tempfile.mkdtemp(prefix="jobmill-")
         spark.conf.set("spark.checkpoint.dir", set_dir)
     return set_dir.rstrip("/")
 
 
+def removed(spark: SparkSession, path: str) -> None:
+    """Deletes a scratch folder through Spark's own file systems; a folder that is gone is no error."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 #: Rows that Spark hands to Python at a time: texts are long, so far fewer than Spark's own 10,000.
 BATCH_ROWS = 1000
 _BATCH_CONF = "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -88,6 +97,55 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Tables that only a part of a job needs: written like written()'s, and deleted when the part is done.
+
+        with Scratch(spark) as scratch:
+            pairs = scratch.written(df, "pairs")
+            again = scratch.written(pairs.filter(...), "again")
+            scratch.drop(pairs)
+            result = written(again..., "result")  # stays
+    """
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark = spark
+        self.paths: dict[int, tuple[DataFrame, str]] = {}
+        self.tables: list[tuple[str, str]] = []
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *failure) -> None:
+        for df, _ in list(self.paths.values()):
+            self.drop(df)
+        for name, path in self.tables:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+            removed(self.spark, path)
+
+    def _path(self, name: str) -> str:
+        return f"{scratch_dir(self.spark)}/{name}-{uuid.uuid4().hex}"
+
+    def written(self, df: DataFrame, name: str) -> DataFrame:
+        path = self._path(name)
+        tuned(df).write.option("compression", "zstd").parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.paths[id(out)] = (out, path)
+        return out
+
+    def bucketed(self, df: DataFrame, name: str, buckets: int, column: str) -> DataFrame:
+        """df, which is dealt by `column` over so many partitions, as a table in buckets: joins and groups on that column don't shuffle it again."""
+        path = self._path(name)
+        table = "jobmill_" + path.rpartition("/")[2].replace("-", "_")
+        tuned(df).write.option("compression", "zstd").option("path", path).format("parquet").bucketBy(buckets, column).saveAsTable(table)
+        self.tables.append((table, path))
+        return self.spark.table(table)
+
+    def drop(self, *frames: DataFrame | None) -> None:
+        for df in frames:
+            if df is not None and id(df) in self.paths:
+                removed(self.spark, self.paths.pop(id(df))[1])
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A finaliser that spreads 64-bit values (the one of splitmix64)."""
     x = x ^ (x >> np.uint64(30))
