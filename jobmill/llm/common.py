@@ -61,6 +61,13 @@ def tuned(df: DataFrame) -> DataFrame:
     return df
 
 
+def give_back() -> None:
+    """Hands freed memory of this process back to the system."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def lean(run):
     """A task's generator that gives freed memory back to the system when it ends: workers live on and share the executor's."""
 
@@ -68,9 +75,7 @@ def lean(run):
         try:
             yield from run(batches)
         finally:
-            pa.default_memory_pool().release_unused()
-            with contextlib.suppress(OSError, AttributeError):
-                ctypes.CDLL("libc.so.6").malloc_trim(0)
+            give_back()
 
     return wrapped
 
@@ -266,14 +271,15 @@ class ChunkTable:
     """Distinct chunks of text with the ids that a tokenizer gives each: what was met before is looked up.
 
     `encode` turns a list of chunks (bytes) into (all ids, ids of each chunk, whether each decodes to itself). The table is dropped and begun
-    anew beyond MOST chunks or MOST_BYTES, so that a worker's memory has a bound whatever it reads.
+    anew beyond `most` chunks or MOST_BYTES, so that a worker's memory has a bound whatever it reads: some ENTRY_BYTES a chunk besides its text.
     """
 
-    MOST = 1_500_000
     MOST_BYTES = 40 << 20
+    #: A dictionary's slot, a bytes object, a number and the arrays' share.
+    ENTRY_BYTES = 240
 
-    def __init__(self, encode) -> None:
-        self.encode = encode
+    def __init__(self, encode, most: int = 1_500_000) -> None:
+        self.encode, self.most = encode, most
         self.clear()
 
     def clear(self) -> None:
@@ -295,7 +301,7 @@ class ChunkTable:
 
     def lookup(self, data: np.ndarray, starts: np.ndarray) -> np.ndarray:
         """The table's row of each chunk that begins at `starts` and runs to the next, or to the end."""
-        if len(self.at) > self.MOST or self.held > self.MOST_BYTES:
+        if len(self.at) > self.most or self.held > self.MOST_BYTES:
             self.clear()
         ends = np.append(starts, len(data)).astype(np.int64)
         chunks = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(data))])

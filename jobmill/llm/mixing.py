@@ -128,8 +128,8 @@ def mixed(docs: DataFrame, block: int = BLOCK, key: str | None = None) -> DataFr
 
     size is the number of words of the whole text, 0 for null; copies is how often the mix takes the row, MOST at
     most. Null is a source of its own. A source without words has target 0 and nothing taken. Draws hang on doc_id
-    alone, so reruns agree. Rows that repeat a doc_id are taken each by itself. An empty table gives no rows. `key`
-    names a long column of docs that tells rows apart; it is handed on, and rows without a doc_id draw by it.
+    alone, so reruns agree; rows without one draw by their place in docs. Rows that repeat a doc_id are taken each by itself. An empty table gives no rows. `key`
+    names a long column of docs that tells rows apart; it is handed on, and rows without a doc_id draw by it first.
     """
     spark = docs.sparkSession
     keys = [key] if key else []
@@ -137,6 +137,7 @@ def mixed(docs: DataFrame, block: int = BLOCK, key: str | None = None) -> DataFr
         F.col("doc_id").cast("long").alias("doc_id"),
         F.col("source").cast("string").alias("source"),
         F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
+        F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id()).alias("place"),
         *keys,
     )
     sizes = written(sizes, "mix-sizes")
@@ -145,7 +146,7 @@ def mixed(docs: DataFrame, block: int = BLOCK, key: str | None = None) -> DataFr
     base = F.least(F.floor(rate + _EPS), F.lit(MOST)).cast("int")
     rows = sizes.join(sources.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of"))).drop("of")
     rows = rows.withColumn("base", base).withColumn("p", F.greatest(rate - F.col("base"), F.lit(0.0)))
-    rows = rows.withColumn("draw", F.xxhash64(F.coalesce("doc_id", *keys, F.lit(-1)), F.lit(SEED)))
+    rows = rows.withColumn("draw", F.xxhash64(F.coalesce("doc_id", *keys, "place"), F.lit(SEED))).drop("place")
     rows = rows.withColumn("blocks", F.ceil(F.col("documents") / block).cast("long"))
     schema = "doc_id long, source string, size long, source_size long, target double, base int, p double, draw long, blocks long, last boolean" + "".join(f", {k} long" for k in keys)
     fly = lambda _, rows: _fly(rows, [*_FLOWN, *keys])

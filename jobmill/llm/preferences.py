@@ -1,8 +1,8 @@
 """Chat formatting for preference pairs.
 
 A pair is a chosen and a rejected conversation. Their longest common prefix of turns is rendered once, as the prompt; what
-follows becomes two completions, masked so that only the assistants' words train. The result has a row for each
-rendered turn, so a conversation of any length is spread over tasks and none is gathered in one.
+follows becomes two completions, masked so that only the assistants' words train. A pair is a row with its prompt, both completions and their
+masks; a pair of more than PIECE turns goes on in further rows, so that a conversation of any length is spread over tasks and none is gathered in one.
 """
 
 from __future__ import annotations
@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 TRAINED = "assistant"
+#: Turn numbers that a row holds.
+PIECE = 64
 
 
 def rendered(role: Column, text: Column) -> Column:
@@ -48,12 +50,29 @@ def preference_segments(turns: DataFrame) -> DataFrame:
     )
 
 
-def assembled(segments: DataFrame) -> DataFrame:
-    """(pair_id, prompt, chosen, rejected): the segments of each pair joined; for conversations that fit a row."""
-    turns = F.array_sort(F.collect_list(F.struct("turn", "segment")))
-    parts = segments.groupBy("pair_id", "part").agg(F.array_join(F.transform(turns, lambda t: t["segment"]), "").alias("text"))
-    one = lambda name: F.coalesce(F.max(F.when(F.col("part") == name, F.col("text"))), F.lit("")).alias(name)
-    return parts.groupBy("pair_id").agg(one("prompt"), one("chosen"), one("rejected"))
+def preference_pairs(turns: DataFrame) -> DataFrame:
+    """Pairs from turns as preference_segments takes them: (pair_id, piece, prompt, chosen, rejected, chosen_mask, rejected_mask).
+
+    prompt is the common prefix, rendered once, chosen and rejected what follows it on either side, empty where a side has nothing. The masks are
+    arrays of (from, to), the characters of the completion that train. Piece k holds the turns from k * PIECE on (turns without a number
+    count as -1, so they stand in piece -1); the pieces of a pair, one after the other, are the whole. Nulls, ties and empty tables are as there.
+    """
+    own = F.struct("turn", "segment", "mask_from", "mask_to")
+    lists = [F.collect_list(F.when(F.col("part") == name, own)).alias(name) for name in ("prompt", "chosen", "rejected")]
+    piece = F.floor(F.col("turn") / PIECE).cast("long")
+    rows = preference_segments(turns).groupBy("pair_id", piece.alias("piece")).agg(*lists)
+    said = lambda part: F.array_join(F.transform(F.array_sort(part), lambda t: t["segment"]), "").alias(part)
+
+    def mask(part: str) -> Column:
+        span = lambda at, t: F.array(F.struct((at + t["mask_from"]).alias("from"), (at + t["mask_to"]).alias("to")))
+        start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<from:bigint,to:bigint>>").alias("spans"))
+        step = lambda a, t: F.struct(
+            (a["at"] + F.length(t["segment"])).alias("at"),
+            F.when(t["mask_to"] > t["mask_from"], F.concat(a["spans"], span(a["at"], t))).otherwise(a["spans"]).alias("spans"),
+        )
+        return F.aggregate(F.array_sort(part), start, step)["spans"].alias(f"{part}_mask")
+
+    return rows.select("pair_id", "piece", said("prompt"), said("chosen"), said("rejected"), mask("chosen"), mask("rejected"))
 
 
 def with_weaker_reply(conversations: DataFrame) -> DataFrame:
@@ -70,10 +89,13 @@ def with_weaker_reply(conversations: DataFrame) -> DataFrame:
 
 
 def op3_preference_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return preference_segments(with_weaker_reply(spark.read.parquet(f"{sf_dir}/conversations.parquet")))
+    """The pairs with their masks as text: from-to, comma-joined."""
+    pairs = preference_pairs(with_weaker_reply(spark.read.parquet(f"{sf_dir}/conversations.parquet")))
+    said = lambda mask: F.array_join(F.transform(mask, lambda m: F.concat_ws("-", m["from"].cast("string"), m["to"].cast("string"))), ",").alias(mask)
+    return pairs.select("pair_id", "piece", "prompt", "chosen", "rejected", said("chosen_mask"), said("rejected_mask"))
 
 
-ORACLE = """
+ORACLE = f"""
 WITH replies AS (
   SELECT conv_id, max(turn) AS last, min(turn) AS first, arg_min(text, turn) AS early
   FROM conversations WHERE role = 'assistant' GROUP BY conv_id),
@@ -85,9 +107,17 @@ cuts AS (SELECT pair_id, min(turn) AS cut FROM sides WHERE chosen <> rejected GR
 parts AS (
   SELECT pair_id, turn, role, 'prompt' AS part, chosen AS text FROM sides LEFT JOIN cuts USING (pair_id) WHERE cut IS NULL OR turn < cut
   UNION ALL SELECT pair_id, turn, role, 'chosen', chosen FROM sides JOIN cuts USING (pair_id) WHERE turn >= cut
-  UNION ALL SELECT pair_id, turn, role, 'rejected', rejected FROM sides JOIN cuts USING (pair_id) WHERE turn >= cut)
-SELECT pair_id, part, turn, role, '<|' || role || '|>' || chr(10) || text || '<|end|>' || chr(10) AS segment,
-  CAST(length(role) + 5 AS BIGINT) AS mask_from,
-  CAST(length(role) + 5 + CASE WHEN part <> 'prompt' AND role = 'assistant' THEN length(text) + 7 ELSE 0 END AS BIGINT) AS mask_to
-FROM parts
+  UNION ALL SELECT pair_id, turn, role, 'rejected', rejected FROM sides JOIN cuts USING (pair_id) WHERE turn >= cut),
+segments AS (
+  SELECT *, turn // {PIECE} AS piece, '<|' || role || '|>' || chr(10) || text || '<|end|>' || chr(10) AS segment, part <> 'prompt' AND role = 'assistant' AS trains FROM parts),
+placed AS (
+  SELECT *, length(role) + 5 + coalesce(sum(length(segment)) OVER (PARTITION BY pair_id, piece, part ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS place
+  FROM segments)
+SELECT pair_id, CAST(piece AS BIGINT) AS piece,
+  coalesce(string_agg(segment, '' ORDER BY turn) FILTER (part = 'prompt'), '') AS prompt,
+  coalesce(string_agg(segment, '' ORDER BY turn) FILTER (part = 'chosen'), '') AS chosen,
+  coalesce(string_agg(segment, '' ORDER BY turn) FILTER (part = 'rejected'), '') AS rejected,
+  coalesce(string_agg(CAST(place AS BIGINT) || '-' || CAST(place + length(text) + 7 AS BIGINT), ',' ORDER BY turn) FILTER (trains AND part = 'chosen'), '') AS chosen_mask,
+  coalesce(string_agg(CAST(place AS BIGINT) || '-' || CAST(place + length(text) + 7 AS BIGINT), ',' ORDER BY turn) FILTER (trains AND part = 'rejected'), '') AS rejected_mask
+FROM placed GROUP BY pair_id, piece
 """

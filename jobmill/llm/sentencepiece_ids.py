@@ -12,15 +12,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ChunkTable, gathered, kept_in_process, lean, text_slices, tuned
+from .common import ChunkTable, gathered, give_back, kept_in_process, lean, text_slices, tuned
 
 MODEL = "piece_bpe_32k.model"
 _MARK = "▁"
-_SLICE = 4 << 20
+_SLICE = 2 << 20
+#: Chunks that a worker's table holds: some 100 MB.
+MOST_CHUNKS = 400_000
 
 
 class _Segmenter:
@@ -35,7 +38,7 @@ class _Segmenter:
         probe = " \n  a"
         if sp.decode(sp.encode(probe)) != probe or sp.id_to_piece(sp.encode("\n")[0]) != _MARK:
             raise ValueError("this model does not keep white space or adds no marker in front")
-        self.table = ChunkTable(self._segment)
+        self.table = ChunkTable(self._segment, MOST_CHUNKS)
 
     def _segment(self, chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """All ids, ids of each chunk, and whether they decode to it. The library puts a marker before what it
@@ -84,8 +87,9 @@ class _Segmenter:
             yield out_ids, out_texts
 
 
-def sentencepiece_round_trip(docs: DataFrame, model: str | None = None, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns `keep` of docs with `ids` (binary: little-endian unsigned 32-bit, with begin and end ids) and `decoded`.
+def sentencepiece_round_trip(docs: DataFrame, model: str | None = None, keep: tuple[str, ...] = ("doc_id",), compare: bool = False) -> DataFrame:
+    """The columns `keep` of docs with `ids` (binary: little-endian unsigned 32-bit, with begin and end ids) and `decoded`;
+    with `compare`, `same` (whether decoding gives the text itself, null counting as empty) in place of the decoded text.
 
     Ids are those of the sentencepiece library without sampling, `decoded` what its decode gives for them. A null
     text counts as empty: begin and end id, and an empty text. Rows may repeat; an empty table gives no rows.
@@ -100,12 +104,16 @@ def sentencepiece_round_trip(docs: DataFrame, model: str | None = None, keep: tu
             first = 0
             for ids, texts in segmenter.run(batch.column("__text")):
                 part = batch.slice(first, len(ids)).drop_columns(["__text"])
+                last = pa.array(texts, pa.string())
+                if compare:
+                    last = pc.equal(batch.column("__text").slice(first, len(ids)).fill_null(""), last)
                 first += len(ids)
-                columns = [*part.columns, pa.array(ids, pa.binary()), pa.array(texts, pa.string())]
-                yield pa.RecordBatch.from_arrays(columns, names=[*part.schema.names, "ids", "decoded"])
+                columns = [*part.columns, pa.array(ids, pa.binary()), last]
+                yield pa.RecordBatch.from_arrays(columns, names=[*part.schema.names, "ids", "same" if compare else "decoded"])
+            give_back()
 
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema.fields if f.name != "__text")
-    return chosen.mapInArrow(lean(run), f"{kept}, ids binary, decoded string")
+    return chosen.mapInArrow(lean(run), f"{kept}, ids binary, " + ("same boolean" if compare else "decoded string"))
 
 
 def digests(encoded: DataFrame) -> DataFrame:

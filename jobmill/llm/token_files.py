@@ -3,14 +3,14 @@
 An id's rank by corpus frequency takes 1 to 4 bytes; two control bits an id say how many, four ids to a
 control byte, and all control bytes of a block stand before its data. A block holds whole documents in
 ascending doc_id order; a file's rows are blocks, and files follow each other in that order too. The files are Parquet files that
-Spark commits, so they live wherever Spark writes and a lost task leaves nothing behind. Decoding looks lengths
+Spark commits, so they live wherever Spark writes and a lost task leaves nothing behind; the ids in the order of their ranks lie beside them. Decoding looks lengths
 up by control byte in a table of 256 rows and gathers the data bytes, all in numpy.
 """
 
 from __future__ import annotations
 
 import os
-
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import ChunkTable, count_rows, gathered, kept_in_process, larger, lean, summed_counts, text_slices, tuned, written
+from .common import ChunkTable, count_rows, gathered, kept_in_process, larger, lean, scratch_dir, summed_counts, text_slices, tuned, written
 
 VOCABULARY = "byte_bpe_50k.json"
 END = 0
@@ -150,9 +150,10 @@ def token_ids(docs: DataFrame, vocabulary: str) -> DataFrame:
     return chosen.mapInArrow(lean(run), "doc_id long, n long, ids binary, part int, counts binary")
 
 
-def write_token_files(docs: DataFrame, vocabulary: str | None = None) -> tuple[DataFrame, np.ndarray]:
-    """(the files' blocks, the id of each rank) for docs (doc_id, text); more columns are ignored.
+def write_token_files(docs: DataFrame, vocabulary: str | None = None, path: str | None = None) -> str:
+    """Writes the files for docs (doc_id, text; more columns are ignored) and returns their folder, `path` or a new one in the shared folder.
 
+    `blocks` in it holds the coded ids, `ranks` one row with the id of each rank, so that the folder can be read by itself.
     Every text ends in the id END; a null text is empty. Rows with a null doc_id come first, rows that repeat
     a doc_id in the order of their ids. An empty table gives no blocks.
     """
@@ -201,14 +202,19 @@ def write_token_files(docs: DataFrame, vocabulary: str | None = None) -> tuple[D
     rows = encoded.filter("n is not null").select("doc_id", "ids")
     ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "ids")
     blocks = ordered.mapInArrow(run, "shard int, block int, start long, n long, doc_ids array<long>, sizes array<long>, control binary, data binary")
-    return written(blocks, "token-files"), order
+    path = path or f"{scratch_dir(docs.sparkSession)}/token-files-{uuid.uuid4().hex}"
+    blocks.write.option("compression", "zstd").parquet(f"{path}/blocks")
+    docs.sparkSession.createDataFrame([(order.astype("<u4").tobytes(),)], "ids binary").coalesce(1).write.parquet(f"{path}/ranks")
+    return path
 
 
-def read_token_files(blocks: DataFrame, order: np.ndarray) -> DataFrame:
-    """(doc_id, start, n_tokens, ids) of the documents in the files; ids are little-endian unsigned 32-bit.
+def read_token_files(spark: SparkSession, path: str) -> DataFrame:
+    """(doc_id, start, n_tokens, ids) of the documents in the files of a folder; ids are little-endian unsigned 32-bit.
 
-    What is broadcast is a row of two numbers for each file, of which there are no more than shuffle partitions.
+    What is broadcast is a row of two numbers for each file, of which there are no more than shuffle partitions, and 4 bytes for each id of the vocabulary.
     """
+    blocks = spark.read.parquet(f"{path}/blocks")
+    order = np.frombuffer(spark.read.parquet(f"{path}/ranks").first()["ids"], "<u4")
     totals = blocks.groupBy("shard").agg(F.sum("n").alias("n"))
     base = totals.select("shard", (F.sum("n").over(Window.orderBy("shard")) - F.col("n")).alias("base"))
 
@@ -228,5 +234,5 @@ def read_token_files(blocks: DataFrame, order: np.ndarray) -> DataFrame:
 
 
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    blocks, order = write_token_files(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    return read_token_files(blocks, order).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+    path = write_token_files(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return read_token_files(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))

@@ -32,12 +32,13 @@ def test_sentencepiece_equals_the_library(hard, nothing):
     assert sentencepiece_ids.digests(sentencepiece_ids.sentencepiece_round_trip(nothing)).count() == 0
 
 
-def test_token_files_equal_the_library(hard, nothing):
+def test_token_files_equal_the_library(spark, hard, nothing, tmp_path):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(public_tokenizers.path(token_files.VOCABULARY))
-    blocks, order = token_files.write_token_files(hard)
-    rows = token_files.read_token_files(blocks, order).collect()
+    path = f"file://{tmp_path}/files"
+    token_files.write_token_files(hard, path=path)
+    rows = token_files.read_token_files(spark.newSession(), path).collect()  # from the folder alone
     got = Counter((r.doc_id, bytes(r.ids)) for r in rows)
     wanted = Counter((row[0], np.array([*tokenizer.encode(row[1] or "", add_special_tokens=False).ids, 0], "<u4").tobytes()) for row in hard_rows())
     assert got == wanted
@@ -47,8 +48,7 @@ def test_token_files_equal_the_library(hard, nothing):
         place += r.n_tokens
     ids = [r.doc_id for r in sorted(rows, key=lambda r: r.start) if r.doc_id is not None]
     assert ids == sorted(ids)
-    blocks, order = token_files.write_token_files(nothing)
-    assert token_files.read_token_files(blocks, order).count() == 0
+    assert token_files.read_token_files(spark, token_files.write_token_files(nothing)).count() == 0
 
 
 @settings(max_examples=60, deadline=None)
@@ -125,11 +125,36 @@ def test_preference_pairs(spark):
         (2, "chosen", 0): ("<|user|>\n<|end|>\n", ""),
         (None, "prompt", -1): ("<||>\nx<|end|>\n", ""),
     }
-    whole = {r.pair_id: (r.prompt, r.chosen, r.rejected) for r in preferences.assembled(got).collect()}
-    assert whole[1] == ("<|user|>\nhi<|end|>\n", "<|assistant|>\ngood<|end|>\n", "<|assistant|>\nbad<|end|>\n")
+    clash = rows.selectExpr("*", "'x' as prompt", "1 as piece", "2 as cut", "'p' as part", "'c' as chosen", "0 as mask_from")
+    whole = {(r.pair_id, r.piece): (r.prompt, r.chosen, r.rejected) for r in preferences.preference_pairs(clash).collect()}
+    assert whole == {
+        (1, 0): ("<|user|>\nhi<|end|>\n", "<|assistant|>\ngood<|end|>\n", "<|assistant|>\nbad<|end|>\n"),
+        (2, 0): ("", "<|user|>\n<|end|>\n", ""),
+        (None, -1): ("<||>\nx<|end|>\n", "", ""),
+    }
     assert preferences.preference_segments(rows.filter("false")).count() == 0
 
 
+def test_masks_of_long_pairs(spark):
+    """Pairs of more turns than a row holds, rendered turn by turn in plain Python."""
+    n, cut = 3 * preferences.PIECE + 5, preferences.PIECE + 7
+    turns = []
+    for side in ("chosen", "rejected"):
+        turns += [(7, side, k, ("user", "assistant")[k % 2], f"{side if k >= cut else 'same'} {k}") for k in range(n - (side == "rejected"))]
+    got = {r.piece: r for r in preferences.preference_pairs(spark.createDataFrame(turns, "pair_id long, side string, turn long, role string, text string").repartition(5)).collect()}
+    assert sorted(got) == [0, 1, 2, 3]
+    for piece, row in got.items():
+        said, trained = {"prompt": "", "chosen": "", "rejected": ""}, {"chosen": [], "rejected": []}
+        for _, side, k, role, text in sorted(turns, key=lambda t: t[2]):
+            part = side if k >= cut else "prompt"
+            if k // preferences.PIECE == piece and (part != "prompt" or side == "chosen"):
+                said[part] += f"<|{role}|>\n{text}<|end|>\n"
+                if part != "prompt" and role == "assistant":
+                    trained[part].append(f"{text}<|end|>")
+        assert {k: row[k] for k in said} == said
+        assert {k: [row[k][m["from"] : m["to"]] for m in row[f"{k}_mask"]] for k in trained} == trained
+
+
 NOTICES = {
     "bsd": "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that",
     "isc": "Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that",
