@@ -13,11 +13,6 @@ from jobmill.llm import mixing, ngram_join, quality, sentencepiece_ids, toxicity
 from jobmill.llm.common import written
 
 
-def looked_up(ids: DataFrame) -> DataFrame:
-    """A table of ids, broadcast up to LOOKUP rows (16 bytes each); beyond, joins with it are shuffled."""
-    return F.broadcast(ids) if ids.count() <= ngram_join.LOOKUP else ids
-
-
 def told_apart(docs: DataFrame) -> DataFrame:
     """docs with `row`, a number of each row's own in the order of doc_id, null last: doc_id itself unless it is null or repeats somewhere."""
     ids = docs.select(F.col("doc_id").cast("long").alias("row"))
@@ -45,24 +40,23 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """
     rows = told_apart(docs)
     groups = ngram_join.ngram_links(rows.select(F.col("row").alias("doc_id"), "text"), words=5, num=4, den=5)
-    firsts = written(groups.filter("doc_id = component_id").select(F.col("doc_id").alias("row")), "kept-rows")
-    kept = rows.filter("doc_id is not null").join(looked_up(firsts), "row", "left_semi").select(*docs.columns)
-    return kept.union(rows.filter("doc_id is null").select(*docs.columns))
+    copies = groups.filter("doc_id <> component_id").select(F.col("doc_id").alias("row"))
+    return rows.join(copies.hint("shuffle_hash"), "row", "left_anti").select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents as often as the mix takes them: rows taken twice or thrice repeat, rows not taken go."""
     rows = told_apart(docs)
     copies = written(mixing.mixed(rows, key="row").filter("copies > 0").select("row", "copies"), "mix-copies")
-    joined = rows.join(looked_up(copies), "row").select(*docs.columns, "copies")
+    joined = rows.join(copies.hint("shuffle_hash"), "row").select(*docs.columns, "copies")
     return joined.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, lang, source, n_tokens, ids, same): the token ids of each text and whether they decode to it."""
-    coded = sentencepiece_ids.sentencepiece_round_trip(docs.withColumn("original", F.col("text")), keep=("doc_id", "lang", "source", "original"))
+    coded = sentencepiece_ids.sentencepiece_round_trip(docs, keep=("doc_id", "lang", "source"), compare=True)
     n = F.expr("CAST(octet_length(ids) DIV 4 AS BIGINT)")
-    return coded.select("doc_id", "lang", "source", n.alias("n_tokens"), "ids", (F.coalesce("original", F.lit("")) == F.col("decoded")).alias("same"))
+    return coded.select("doc_id", "lang", "source", n.alias("n_tokens"), "ids", "same")
 
 
 STAGES = [
