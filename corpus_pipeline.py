@@ -41,7 +41,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     rows = told_apart(docs)
     groups = ngram_join.ngram_links(rows.select(F.col("row").alias("doc_id"), "text"), words=5, num=4, den=5)
     copies = groups.filter("doc_id <> component_id").select(F.col("doc_id").alias("row"))
-    return rows.join(copies.hint("shuffle_hash"), "row", "left_anti").select(*docs.columns)
+    kept = rows.filter("doc_id is not null").join(copies.hint("shuffle_hash"), "row", "left_anti").select(*docs.columns)
+    return kept.union(rows.filter("doc_id is null").select(*docs.columns))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
