@@ -1,13 +1,17 @@
 """Approximate nearest neighbours: a hierarchical navigable small-world graph per shard.
 
 Equal vectors are one point. Points are dealt by hash into shards of about SHARD; each shard holds its graph as flat
-arrays: a level for each point, and for each layer the points in it with up to `degree` neighbours each, padded with -1.
+arrays: the points of each layer, and up to 2 * `degree` neighbours of each, padded with -1.
 A layer's neighbours are chosen among the nearest points of the layer by the diversity rule (a neighbour must be nearer to the point than to any
 neighbour chosen before), with the nearest of the rest filling up, and links run both ways as far as room allows. As a shard is small, the nearest points
 come from blocks of matrix products rather than from searches, which builds the same kind of graph faster in numpy.
 
-A search descends greedily through the upper layers and keeps a beam on the lowest, for a block of queries at once. Every
-shard answers every block; the shards' results are merged. Distances of results are taken in double precision on the original vectors.
+Vectors in tight clusters leave a layer in islands that no link joins. So a layer's points go on to the next one up not only by
+chance: of each island at least one does, the one nearest to its middle. The highest layer is read whole. A search keeps a beam on every layer
+and starts on the next lower one from all the points it holds, so that it comes into every island that is near.
+
+Queries go in blocks, and each shard answers a block at once; the shards' results are merged. Distances of results are taken in double
+precision on the original vectors.
 """
 
 from __future__ import annotations
@@ -21,12 +25,17 @@ from pyspark.sql import functions as F
 
 from .common import written
 
-SHARD = 4096
+SHARD = 8192
 DEGREE = 16
 CANDIDATES = 64
 BEAM = 96
+#: The beam on upper layers, and the points of a layer that is read whole.
+UPPER_BEAM = 48
+TOP = 64
 K = 10
-QUERY_BLOCK = 512
+#: Queries that go to a shard together, and those that are searched side by side.
+QUERY_BLOCK = 16_384
+SIDE_BY_SIDE = 512
 
 
 def _nearest(x: np.ndarray, among: np.ndarray, k: int) -> np.ndarray:
@@ -43,40 +52,70 @@ def _nearest(x: np.ndarray, among: np.ndarray, k: int) -> np.ndarray:
     return out
 
 
+def _linked(x: np.ndarray, among: np.ndarray, degree: int, candidates: int) -> np.ndarray:
+    """The neighbours of each point of a layer, as places in `among`, padded with -1."""
+    table = np.full((len(among), 2 * degree), -1, dtype=np.int32)
+    if len(among) < 2:
+        return table
+    near = _nearest(x, among, candidates)
+    v = x[among]
+    width = min(degree, near.shape[1])
+    for lo in range(0, len(among), 512):  # all points of a block take their decisions side by side
+        block = near[lo : lo + 512]
+        w = v[block]
+        to_point = ((w - v[lo : lo + 512, None, :]) ** 2).sum(axis=2)
+        chosen = np.zeros(block.shape, dtype=bool)
+        for j in range(block.shape[1]):
+            gap = ((w[:, :j] - w[:, j : j + 1]) ** 2).sum(axis=2) if j else np.zeros((len(block), 0))
+            clash = (chosen[:, :j] & (gap < to_point[:, j : j + 1])).any(axis=1)
+            chosen[:, j] = ~clash & (chosen[:, :j].sum(axis=1) < degree)
+        order = np.argsort(~chosen, axis=1, kind="stable")  # the diverse ones first, then the nearest of the rest
+        table[lo : lo + 512, :width] = np.take_along_axis(block, order, axis=1)[:, :width]
+    used = np.full(len(among), width)
+    for a in range(len(among)):  # and back
+        for b in table[a, :width].tolist():
+            if used[b] < 2 * degree and a not in table[b, : used[b]]:
+                table[b, used[b]] = a
+                used[b] += 1
+    return table
+
+
+def _islands(table: np.ndarray) -> np.ndarray:
+    """The smallest place that links, taken either way, reach from each place."""
+    label = np.arange(len(table))
+    ends, other = np.nonzero(table >= 0)[0], table[table >= 0]
+    while True:
+        low = label.copy()
+        np.minimum.at(low, ends, label[other])
+        np.minimum.at(low, other, label[ends])
+        low = low[low]
+        if (low == label).all():
+            return label
+        label = low
+
+
 def build(x: np.ndarray, degree: int = DEGREE, candidates: int = CANDIDATES, seed: int = 7) -> dict[str, np.ndarray]:
     """The flat arrays of a graph over the rows of x: `members` (points of all layers, lowest layer first), `starts` and `links`."""
-    n = len(x)
-    rng = np.random.default_rng([seed, n])
-    level = np.minimum((-np.log(1 - rng.random(n)) / np.log(degree)).astype(int), 8)
-    layers = [np.flatnonzero(level >= h) for h in range(level.max() + 1)] if n else []
-    members, links, starts = [], [], [0]
-    for h, among in enumerate(layers):
-        room = 2 * degree if h == 0 else degree
-        table = np.full((len(among), room), -1, dtype=np.int32)
-        if len(among) > 1:
-            near = _nearest(x, among, candidates)
-            v = x[among]
-            chosen = np.zeros(near.shape, dtype=bool)
-            to_point = ((v[near] - v[:, None, :]) ** 2).sum(axis=2)
-            for lo in range(0, len(among), 1024):  # all points of a block take their decisions side by side
-                block = near[lo : lo + 1024]
-                w = v[block]
-                for j in range(block.shape[1]):
-                    gap = ((w[:, :j] - w[:, j : j + 1]) ** 2).sum(axis=2) if j else np.zeros((len(block), 0))
-                    clash = (chosen[lo : lo + 1024, :j] & (gap < to_point[lo : lo + 1024, j : j + 1])).any(axis=1)
-                    chosen[lo : lo + 1024, j] = ~clash & (chosen[lo : lo + 1024, :j].sum(axis=1) < degree)
-            order = np.argsort(~chosen, axis=1, kind="stable")  # the diverse ones first, then the nearest of the rest
-            own = np.take_along_axis(near, order, axis=1)[:, : min(degree, near.shape[1])]
-            table[:, : own.shape[1]] = own
-            used = np.full(len(among), own.shape[1])
-            for a in range(len(among)):  # and back
-                for b in own[a]:
-                    if used[b] < room and a not in table[b, : used[b]]:
-                        table[b, used[b]] = a
-                        used[b] += 1
+    rng = np.random.default_rng([seed, len(x)])
+    among, members, links, starts = np.arange(len(x)), [], [], [0]
+    while len(among):
+        table = _linked(x, among, degree, candidates)
         members.append(among.astype(np.int32))
         links.append(np.where(table >= 0, among[table], -1).astype(np.int32))
         starts.append(starts[-1] + len(among))
+        if len(among) <= TOP:
+            break
+        # Of each island its point nearest to the middle; others by chance.
+        island = np.unique(_islands(table), return_inverse=True)[1]
+        sizes = np.bincount(island)
+        middle = np.stack([np.bincount(island, weights=c) for c in x[among].T], axis=1) / sizes[:, None]
+        off = ((x[among] - middle[island]) ** 2).sum(axis=1)
+        order = np.lexsort((off, island))
+        up = rng.random(len(among)) < 1 / degree
+        up[order[np.cumsum(sizes) - sizes]] = True
+        if up.sum() > len(among) // 2:
+            break
+        among = among[up]
     empty = np.zeros(0, np.int32)
     return {
         "members": np.concatenate(members) if members else empty,
@@ -85,59 +124,35 @@ def build(x: np.ndarray, degree: int = DEGREE, candidates: int = CANDIDATES, see
     }
 
 
-def search(x: np.ndarray, graph: dict[str, np.ndarray], queries: np.ndarray, k: int, beam: int = BEAM, degree: int = DEGREE) -> np.ndarray:
-    """The places of the k points nearest to each query that the graph finds, nearest first; -1 where there are fewer."""
-    n, starts = len(x), graph["starts"]
-    height = len(starts) - 1
-    if not n or not len(queries):
-        return np.full((len(queries), k), -1, dtype=np.int64)
-    norms = (x * x).sum(axis=1)
-    q = np.arange(len(queries))
-
-    def distance(rows: np.ndarray) -> np.ndarray:
-        return np.where(rows >= 0, norms[rows] - 2 * np.einsum("qmd,qd->qm", x[rows], queries, optimize=True), np.inf)
-
-    at_link, tables = 0, []
-    for h in range(height):
-        width = 2 * degree if h == 0 else degree
-        size = starts[h + 1] - starts[h]
-        tables.append(graph["links"][at_link : at_link + size * width].reshape(size, width))
-        at_link += size * width
-    now = np.full(len(queries), graph["members"][starts[height - 1]], dtype=np.int64)
-    best = distance(now[:, None])[:, 0]
-    for h in range(height - 1, 0, -1):
-        place = np.full(n, -1)
-        among = graph["members"][starts[h] : starts[h + 1]]
-        place[among] = np.arange(len(among))
-        while True:
-            near = tables[h][place[now]]
-            d = distance(near)
-            j = d.argmin(axis=1)
-            better = d[q, j] < best
-            if not better.any():
-                break
-            now = np.where(better, near[q, j], now)
-            best = np.where(better, d[q, j], best)
+def _beam(x: np.ndarray, norms: np.ndarray, queries: np.ndarray, table: np.ndarray, place: np.ndarray, ids: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
+    """The `beam` points of a layer nearest to each query that links reach from the points `ids`, and their distances less the query's own square."""
+    n = len(x)
+
+    def distance(rows: np.ndarray, q: np.ndarray) -> np.ndarray:
+        return np.where(rows >= 0, norms[rows] - 2 * np.einsum("qmd,qd->qm", x[rows], q, optimize=True), np.inf)
+
+    every = np.arange(len(queries))[:, None]
     seen = np.zeros((len(queries), n + 1), dtype=bool)
     seen[:, n] = True  # the place of the padding
-    seen[q, now] = True
-    ids = np.full((len(queries), beam), -1, dtype=np.int64)
-    dist = np.full((len(queries), beam), np.inf)
-    done = np.ones((len(queries), beam), dtype=bool)
-    ids[:, 0], dist[:, 0], done[:, 0] = now, best, False
+    seen[every, np.where(ids >= 0, ids, n)] = True
+    dist = distance(ids, queries)
+    done = ~np.isfinite(dist)
+    if ids.shape[1] < beam:
+        more = ((0, 0), (0, beam - ids.shape[1]))
+        ids, dist, done = np.pad(ids, more, constant_values=-1), np.pad(dist, more, constant_values=np.inf), np.pad(done, more, constant_values=True)
     while True:
         waiting = np.where(done, np.inf, dist)
         j = waiting.argmin(axis=1)
-        live = np.flatnonzero(np.isfinite(waiting[q, j]))
+        live = np.flatnonzero(np.isfinite(waiting[every[:, 0], j]))
         if not len(live):
-            break
+            return ids, dist
         point = ids[live, j[live]]
         done[live, j[live]] = True
-        near = tables[0][point].astype(np.int64)  # every point is on the lowest layer, at its own place
+        near = table[place[point]].astype(np.int64)
         new = ~seen[live[:, None], near]
         seen[live[:, None], np.where(near >= 0, near, n)] = True
         near = np.where(new & (near >= 0), near, -1)
-        d = np.where(near >= 0, norms[near] - 2 * np.einsum("qmd,qd->qm", x[near], queries[live], optimize=True), np.inf)
+        d = distance(near, queries[live])
         all_ids = np.concatenate([ids[live], near], axis=1)
         all_d = np.concatenate([dist[live], d], axis=1)
         all_done = np.concatenate([done[live], ~np.isfinite(d)], axis=1)
@@ -145,10 +160,27 @@ def search(x: np.ndarray, graph: dict[str, np.ndarray], queries: np.ndarray, k:
         ids[live] = np.take_along_axis(all_ids, keep, axis=1)
         dist[live] = np.take_along_axis(all_d, keep, axis=1)
         done[live] = np.take_along_axis(all_done, keep, axis=1)
-    order = np.argsort(dist, axis=1, kind="stable")[:, :k]
-    out = np.take_along_axis(ids, order, axis=1)
-    if out.shape[1] < k:
-        out = np.concatenate([out, np.full((len(queries), k - out.shape[1]), -1)], axis=1)
+
+
+def search(x: np.ndarray, graph: dict[str, np.ndarray], queries: np.ndarray, k: int, beam: int = BEAM, degree: int = DEGREE) -> np.ndarray:
+    """The places of the k points nearest to each query that the graph finds, nearest first; -1 where there are fewer."""
+    n, starts, members = len(x), graph["starts"], graph["members"]
+    out = np.full((len(queries), k), -1, dtype=np.int64)
+    if not n or not len(queries):
+        return out
+    norms = (x * x).sum(axis=1)
+    links = graph["links"].reshape(-1, 2 * degree)
+    top = members[starts[-2] : starts[-1]].astype(np.int64)
+    for lo in range(0, len(queries), SIDE_BY_SIDE):
+        q = queries[lo : lo + SIDE_BY_SIDE]
+        d = norms[top][None, :] - 2 * (q @ x[top].T)
+        ids = top[np.argsort(d, axis=1, kind="stable")[:, :UPPER_BEAM]]
+        for h in range(len(starts) - 2, -1, -1):
+            place = np.full(n, -1)
+            place[members[starts[h] : starts[h + 1]]] = np.arange(starts[h + 1] - starts[h])
+            ids, dist = _beam(x, norms, q, links[starts[h] : starts[h + 1]], place, ids, max(k, beam) if h == 0 else UPPER_BEAM)
+        order = np.argsort(dist, axis=1, kind="stable")[:, :k]
+        out[lo : lo + SIDE_BY_SIDE, : order.shape[1]] = np.take_along_axis(ids, order, axis=1)
     return out
 
 
@@ -159,6 +191,13 @@ def usable(vectors: DataFrame) -> DataFrame:
     return rows.filter("vec_id is not null and v is not null").filter(F.forall("v", sound) & F.exists("v", lambda c: c != 0))
 
 
+def _single(x: np.ndarray, *others: np.ndarray) -> tuple[np.ndarray, ...]:
+    """x and others in single precision, moved to x's middle and scaled to its extent, so that far-off or large vectors lose no more digits than others."""
+    middle = x.mean(axis=0) if len(x) else 0.0
+    extent = float(np.abs(x - middle).max(initial=0.0)) or 1.0
+    return tuple(((a - middle) / extent).astype(np.float32) for a in (x, *others))
+
+
 def build_index(rows: DataFrame, k: int = K, shard: int = SHARD) -> DataFrame:
     """Shards of the index over rows (vec_id, v): dim, shard, the points' vectors, their smallest k + 1 ids, and the graph's arrays.
 
@@ -175,7 +214,7 @@ def build_index(rows: DataFrame, k: int = K, shard: int = SHARD) -> DataFrame:
         n, dim = table.num_rows, key[0].as_py()
         x = table.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(n, dim)
         ids = table.column("ids").combine_chunks()
-        graph = build(x.astype(np.float32))
+        graph = build(*_single(x))
         row = {"dim": dim, "shard": key[1].as_py(), "n": n, "v": x.astype("<f8").tobytes(), "ids": ids.flatten().to_numpy().astype("<i8").tobytes(), "id_counts": np.diff(ids.offsets.to_numpy()).astype("<i4").tobytes()}
         row |= {name: a.astype("<i4").tobytes() for name, a in graph.items()}
         return pa.Table.from_pylist([row])
@@ -214,7 +253,8 @@ def search_index(index: DataFrame, queries: DataFrame, k: int = K, block: int =
                 held = batch.column("queries")[i].values
                 names = held.field("vec_id").to_numpy()
                 q = held.field("v").flatten().to_numpy(zero_copy_only=False).reshape(len(names), dim)
-                found = search(x.astype(np.float32), graph, q.astype(np.float32), k + 1)
+                single, asked = _single(x, q)
+                found = search(single, graph, asked, k + 1)
                 out = []
                 for j, query in enumerate(names.tolist()):
                     near = found[j][found[j] >= 0]

@@ -162,6 +162,27 @@ def test_nearest_neighbours(spark):
     assert hnsw.nearest(data.filter("false"), 100).count() == 0
 
 
+def clusters(r, sizes, spread):
+    return np.concatenate([r.normal(size=64) * spread + r.normal(size=(n, 64)) * 0.05 for n in sizes])
+
+
+@pytest.mark.parametrize(
+    "sizes,spread,asked",
+    [([1848, *[20] * 10], 1.0, slice(1848, None)), ([1848, *[20] * 10], 0.05, slice(1848, None)), ([256] * 8, 1.0, slice(0, None, 16)), ([32] * 64, 1.0, slice(0, None, 16)), ([2000], 0.0, slice(0, None, 16))],
+)
+def test_search_finds_points_of_tight_clusters(sizes, spread, asked):
+    """Also of small clusters beside a large one: recall against brute force, of all queries and of the worst."""
+    x = clusters(np.random.default_rng(len(sizes)), sizes, spread) + 1000.0
+    single, queries = hnsw._single(x, x[asked])
+    found = hnsw.search(single, hnsw.build(single), queries, 11)
+    hits = []
+    for row, q in zip(found.tolist(), np.arange(len(x))[asked], strict=True):
+        d = ((x - x[q]) ** 2).sum(axis=1)
+        d[q] = np.inf
+        hits.append(len(set(np.argsort(d, kind="stable")[:10].tolist()) & {v for v in row if v != q}) / 10)
+    assert np.mean(hits) >= 0.95 and min(hits) >= 0.5
+
+
 def toxic_rows(n: int):
     r = random.Random(8)
     bad = {"en": ["vilest", "rotter"], "de": ["lumpix", "lumpox", "lumpum", "lumpar"]}
