@@ -3,7 +3,7 @@
 Heuristic labellers vote good, bad or nothing on each whole text. Expectation-maximisation over the counts of vote
 patterns, which are few whatever the input, estimates how often each labeller is right on good texts and on each kind of
 bad ones, and so the probability that a text with these votes is good. Those posterior labels train a linear scorer on hashed
-byte trigrams and the measures that the labellers go by, which then scores every text by itself.
+features alone, byte trigrams and how words come again, which then scores every text by itself.
 """
 
 from __future__ import annotations
@@ -25,8 +25,8 @@ SAMPLE = 3000
 ROUNDS = 200
 LABELLERS = ("symbols", "capitals", "repeats", "bars", "words", "sentences", "variety", "shouting", "stutter")
 
-#: What the scorer sees beside trigrams: shortness and the shares that the labellers cut.
-MEASURES = 9
+#: Hashed features of how words come again.
+AGAIN = 256
 
 _SYMBOL = np.zeros(256, dtype=bool)
 _SYMBOL[[ord(c) for c in "#$%&*+<=>@^_`{|}~\\"]] = True
@@ -40,8 +40,8 @@ def _sums(mask: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.diff(np.concatenate(([0], np.cumsum(mask)))[offsets])
 
 
-def votes(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Arrays (texts, labellers) of votes and (texts, MEASURES) of what they go by for each slice of texts. Null and empty texts get no vote."""
+def votes(texts: pa.Array) -> Iterator[np.ndarray]:
+    """An array (texts, labellers) of votes for each slice of texts. Null and empty texts get no vote."""
     for first, end, data, offsets in text_slices(texts):
         n = end - first
         size = np.maximum(np.diff(offsets), 1)
@@ -82,8 +82,7 @@ def votes(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         vote("variety", many & (distinct < 0.1 + 3 / words), many & (distinct > 0.3))
         vote("shouting", some & (shouts > 0.3), many & (shouts < 0.05))
         vote("stutter", (counts >= 12) & (stutters > 0.1), many & (stutters < 0.02))
-        measures = np.stack([64 / (size + 64), symbols, capitals, repeats, bars, stops, shouts, 1 - distinct, stutters], axis=1)
-        yield out, np.sqrt(np.clip(measures, 0, 1)).astype(np.float32)
+        yield out
 
 
 def estimate(patterns: np.ndarray, counts: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -130,6 +129,29 @@ def trigram_rows(texts: pa.Array) -> Iterator[np.ndarray]:
             yield np.sqrt(np.bincount(own, minlength=BUCKETS) / (len(own) + 64)).astype(np.float32)
 
 
+def again_rows(texts: pa.Array) -> Iterator[np.ndarray]:
+    """For each text the square roots of its words' shares of hashed (how often the word stood before, how far back it last did), both in powers of two."""
+    for first, end, data, offsets in text_slices(texts):
+        hashes, counts = word_hashes(data, offsets)
+        ends = np.cumsum(counts)
+        for k in range(end - first):
+            own = hashes[ends[k] - counts[k] : ends[k]]
+            n = len(own)
+            order = np.argsort(own, kind="stable")
+            new = np.ones(n, dtype=bool)
+            new[1:] = own[order][1:] != own[order][:-1]
+            place = np.arange(n)
+            before = place - np.maximum.accumulate(np.where(new, place, 0))
+            back = np.where(new, 0, np.diff(order, prepend=0))
+            code = np.frexp(before)[1].astype(np.uint64) * np.uint64(64) + np.frexp(back)[1].astype(np.uint64)
+            yield np.sqrt(np.bincount((mix(code + np.uint64(1)) % np.uint64(AGAIN)).astype(np.int64), minlength=AGAIN) / (n + 8)).astype(np.float32)
+
+
+def features(texts: pa.Array) -> Iterator[np.ndarray]:
+    for trigrams, again in zip(trigram_rows(texts), again_rows(texts), strict=True):
+        yield np.concatenate((trigrams, again))
+
+
 def train(x: np.ndarray, y: np.ndarray, weight: np.ndarray, steps: int = 400) -> tuple[np.ndarray, float]:
     """(weights, shift) of a logistic scorer on soft labels y, by Adam on all rows at once; zero without rows."""
     w, b = np.zeros(x.shape[1], dtype=np.float32), np.float32(0)
@@ -161,7 +183,7 @@ def labelled(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [bytes(row + 48).decode() for part, _ in votes(batch.column("__text")) for row in part]
+            made = [bytes(row + 48).decode() for part in votes(batch.column("__text")) for row in part]
             rest = batch.drop_columns(["__text"])
             yield pa.RecordBatch.from_arrays([*rest.columns, pa.array(made, pa.string())], names=[*rest.schema.names, "votes"])
 
@@ -173,27 +195,28 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Quality:
     """Labeller accuracies over all of docs and a scorer fitted on at most `sample` of them.
 
     Votes of all texts are counted; only the counts of patterns (3 ** labellers at most) reach the driver. The sample takes up to half of its
-    rows from patterns that are likely bad, in the order of a hash of doc_id, texts as a whole.
+    rows from patterns that are likely bad, in the order of a hash of doc_id, texts as a whole. Rows that repeat doc_id and text count once
+    in it, rows without a doc_id are in no sample.
     """
-    voted = written(labelled(docs), "quality-votes")
+    docs = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.xxhash64(F.col("text").cast("string")).alias("mark"))
+    voted = written(labelled(docs, ("doc_id", "mark")), "quality-votes")
     rows = voted.groupBy("votes").count().orderBy("votes").collect()
     patterns = np.array([[int(c) for c in r["votes"]] for r in rows], dtype=np.int8).reshape(-1, len(LABELLERS))
     posterior, chance, shares = estimate(patterns, np.array([r["count"] for r in rows], dtype=float))
     by = {r["votes"]: float(p) for r, p in zip(rows, posterior, strict=True)}
     bad = [v for v, p in by.items() if p < 0.5]
-    drawn = voted.filter("doc_id is not null").dropDuplicates(["doc_id"]).withColumn("draw", F.xxhash64("doc_id"))
-    halves = [drawn.filter(k).orderBy("draw", "doc_id").limit(sample // 2) for k in (F.col("votes").isin(bad), ~F.col("votes").isin(bad))] if by else [drawn]
+    drawn = voted.filter("doc_id is not null").dropDuplicates(["doc_id", "mark"]).withColumn("draw", F.xxhash64("doc_id", "mark"))
+    halves = [drawn.filter(k).orderBy("draw", "doc_id", "mark").limit(sample // 2) for k in (F.col("votes").isin(bad), ~F.col("votes").isin(bad))] if by else [drawn]
     chosen = halves[0] if len(halves) == 1 else halves[0].union(halves[1])
-    texts = docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])
+    texts = docs.join(F.broadcast(chosen), ["doc_id", "mark"]).dropDuplicates(["doc_id", "mark"])  # at most `sample` rows are broadcast
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            measures = [m for _, part in votes(batch.column("text")) for m in part]
-            made = [np.append(x, m).astype("<f2").tobytes() for x, m in zip(trigram_rows(batch.column("text")), measures, strict=True)]
+            made = [x.astype("<f2").tobytes() for x in features(batch.column("text"))]
             yield pa.RecordBatch.from_arrays([batch.column("draw"), batch.column("votes"), pa.array(made, pa.binary())], names=["draw", "votes", "x"])
 
     found = texts.select("draw", "votes", "text").mapInArrow(run, "draw long, votes string, x binary").orderBy("draw").collect()
-    x = np.array([np.frombuffer(r["x"], "<f2") for r in found], dtype=np.float32).reshape(-1, BUCKETS + MEASURES)
+    x = np.array([np.frombuffer(r["x"], "<f2") for r in found], dtype=np.float32).reshape(-1, BUCKETS + AGAIN)
     y = np.array([by[r["votes"]] for r in found], dtype=np.float32)
     # The halves weigh as their classes do in all of docs.
     is_bad = np.array([r["votes"] in bad for r in found], dtype=bool)
@@ -215,10 +238,8 @@ def scored(docs: DataFrame, model: Quality) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             text = batch.column("text")
-            parts = list(votes(text))
-            made = [bytes(row + 48).decode() for part, _ in parts for row in part]
-            hashed = np.array([float(x @ model.weights[:BUCKETS]) for x in trigram_rows(text)])
-            logits = hashed + np.concatenate([m for _, m in parts] or [np.zeros((0, MEASURES))]) @ model.weights[BUCKETS:] + model.shift
+            made = [bytes(row + 48).decode() for part in votes(text) for row in part]
+            logits = np.array([float(x @ model.weights) for x in features(text)]) + model.shift
             score = 1 / (1 + np.exp(-np.clip(logits, -30, 30)))
             columns = [pa.array(made, pa.string()), pa.array([model.posterior.get(v, 0.5) for v in made], pa.float64()), pa.array(score, pa.float64())]
             yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=[*batch.schema.names, "votes", "posterior", "score"])

@@ -220,12 +220,59 @@ def test_toxicity_of_hard_rows(hard, nothing, no_labels, spark):
 
 
 def test_gradients_are_those_of_the_loss():
+    """Against finite differences of the loss, which is worked out from scratch, in double precision."""
     rng = np.random.default_rng(0)
-    texts = [rng.integers(0, 50, (rng.integers(1, 9), 2)).astype(np.int32) for _ in range(40)]
-    y = np.array([float((t[:, 0] < 10).any()) for t in texts], np.float32)
-    model = toxicity.train(texts * 3, np.tile(y, 3), epochs=25)
-    p = [toxicity.probabilities(model.tables(), model, t, np.array([len(t)]))[0] for t in texts]
-    assert np.mean((np.array(p) > 0.5) == (y > 0.5)) > 0.9
+    texts = [rng.integers(0, 50, (int(n), 2)).astype(np.int32) for n in rng.integers(1, 9, 12)]
+    y = rng.integers(0, 2, 12).astype(float)
+    size = len(toxicity.WIDTHS) * toxicity.FILTERS
+    embedding = np.append(rng.normal(0, 0.5, (toxicity.BUCKETS, toxicity.DIM)), np.zeros((1, toxicity.DIM)), axis=0)
+    filters = [rng.normal(0, 0.5, (w, toxicity.DIM, toxicity.FILTERS)) for w in toxicity.WIDTHS]
+    model = toxicity.Model(embedding, filters, rng.normal(0, 0.2, size), rng.normal(0, 0.5, size), 0.3)
+
+    def loss() -> float:
+        total = 0.0
+        for t, label in zip(texts, y, strict=True):
+            words = [model.embedding[a] + model.embedding[b] for a, b in t] + [np.zeros(toxicity.DIM)] * (max(toxicity.WIDTHS) - 1)
+            pooled = [max(sum(words[i + o] @ w[o, :, f] for o in range(len(w))) for i in range(len(t))) for w in model.filters for f in range(toxicity.FILTERS)]
+            z = float(np.maximum(np.array(pooled) + model.bias, 0) @ model.out + model.shift)
+            total += np.log1p(np.exp(-z)) if label else np.log1p(np.exp(z))
+        return total / len(texts)
+
+    got = toxicity.gradients(model, texts, y)
+
+    def slope(array, at) -> float:
+        kept, out = array[at], []
+        for step in (1e-5, -1e-5):
+            array[at] = kept + step
+            out.append(loss())
+        array[at] = kept
+        return (out[0] - out[1]) / 2e-5
+
+    for k, w in enumerate(model.filters):
+        for at in [tuple(rng.integers(0, n) for n in w.shape) for _ in range(4)]:
+            assert abs(slope(w, at) - got.filters[k][at]) < 1e-6
+    for row in rng.choice(len(got.words), 6, replace=False):
+        if got.words[row] < toxicity.BUCKETS:
+            assert abs(slope(model.embedding, (got.words[row], 3)) - got.embedding[row, 3]) < 1e-6
+    for k in rng.integers(0, size, 5):
+        assert abs(slope(model.out, k) - got.out[k]) < 1e-6 and abs(slope(model.bias, k) - got.bias[k]) < 1e-6
+    model.shift += 1e-5
+    up = loss()
+    model.shift -= 2e-5
+    assert abs((up - loss()) / 2e-5 - got.shift[0]) < 1e-6
+
+
+def test_one_huge_text_takes_no_others_from_the_sample(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "LONGEST", 1000)
+    monkeypatch.setattr(toxicity, "SAMPLE_WORDS", 60_000)
+    rows, labels = toxic_rows(600)
+    rows += [(10_000 + k, "word " * 1500, "en", "s") for k in range(60)]
+    labels += [(10_000 + k, 1, 0) for k in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    model, thresholds = toxicity.fit(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    truth = {k: t for k, _, t in labels}
+    got = toxicity.scored(docs, model, thresholds).collect()
+    assert np.mean([(r.score >= 0.5) == bool(truth[r.doc_id]) for r in got]) > 0.9
 
 
 def junk(k: int):
@@ -257,3 +304,115 @@ def test_quality_of_hard_rows(hard, nothing):
     out = quality.scored(hard, quality.fit(hard)).collect()
     assert len(out) == len(hard_rows()) and not any(r.good for r in out if not (r.text or "").strip())
     assert quality.scored(nothing, quality.fit(nothing)).count() == 0
+
+
+def brute_votes(text: str | None) -> str:
+    """The labellers' votes on one text, in plain Python."""
+    raw = (text or "").encode()
+    words = re.findall(rb"[^\x20\x09-\x0D]+", re.sub(rb"[A-Z]", lambda m: m[0].lower(), raw))
+    n, size, count = max(len(words), 1), max(len(raw), 1), lambda chars: sum(raw.count(c.encode()) for c in chars)
+    upper, lower = (len(re.findall(p, raw)) for p in (rb"[A-Z]", rb"[a-z]"))
+    symbols, capitals = count("#$%&*+<=>@^_`{|}~\\") / size, upper / max(upper + lower, 1)
+    lines = [x for x in raw.split(b"\n") if x]
+    repeats = 1 - len(set(lines)) / len(lines) if lines else 0
+    bars, stops, shouts = count("|") / n, count(".") / n, count("!") / n
+    distinct, stutter, each = len(set(words)) / n, sum(a == b for a, b in zip(words, words[1:], strict=False)) / n, size / n
+    some, many = len(words) > 0, len(words) >= 30
+    rules = {
+        "symbols": (some and symbols > 0.08, many and symbols < 0.03),
+        "capitals": (some and capitals > 0.4, many and capitals < 0.15),
+        "repeats": (repeats > 0.4, many and repeats < 0.15),
+        "bars": (bars > 0.25, many and bars < 0.05),
+        "words": (some and (each > 30 or (many and each < 2.5)), many and 3.5 < each < 12),
+        "sentences": (many and stops > 0.6, many and 0.02 < stops < 0.3),
+        "variety": (many and distinct < 0.1 + 3 / n, many and distinct > 0.3),
+        "shouting": (some and shouts > 0.3, many and shouts < 0.05),
+        "stutter": (len(words) >= 12 and stutter > 0.1, many and stutter < 0.02),
+    }
+    return "".join("0" if rules[name][0] else "1" if rules[name][1] else "2" for name in quality.LABELLERS)
+
+
+def brute_em(votes: list[str], rounds: int) -> list[float]:
+    """The posterior of good of each text, by expectation-maximisation over texts one by one."""
+    kinds = range(len(quality.LABELLERS))
+    post = []
+    for v in votes:
+        bad = [k for k in kinds if v[k] == "0"]
+        post.append([0.02 if bad else 0.98] + [(0.98 / len(bad) if k in bad else 0.0) if bad else 0.02 / len(kinds) for k in kinds])
+    for _ in range(rounds):
+        shares = [max(sum(p[c] for p in post) / len(post), 1e-6) for c in range(len(kinds) + 1)]
+        shares = [s / sum(shares) for s in shares]
+        chance = []
+        for c in range(len(kinds) + 1):
+            row = []
+            for k in kinds:
+                hits = sum(p[c] for p, v in zip(post, votes, strict=True) if v[k] == "0") / len(post)
+                seen = sum(p[c] for p, v in zip(post, votes, strict=True) if v[k] != "2") / len(post)
+                row.append(min(max((hits + 0.002 * (0.1 if c else 0.002)) / (seen + 0.002), 1e-4), 1 - 1e-4))
+            chance.append(row)
+        new = []
+        for v in votes:
+            like = [s * np.prod([{"0": q, "1": 1 - q, "2": 1.0}[x] for x, q in zip(v, row, strict=True)]) for s, row in zip(shares, chance, strict=True)]
+            new.append([x / sum(like) for x in like])
+        post = new
+    return [p[0] for p in post]
+
+
+def test_quality_query_against_brute_force(spark, tmp_path, monkeypatch):
+    """The registered query on a small table: votes and posteriors by plain Python, scores by training on plain rows."""
+    monkeypatch.setattr(quality, "ROUNDS", 30)
+    monkeypatch.setattr(quality.estimate, "__defaults__", (30,))
+    rows = [(100 + k, junk(k) if k % 4 == 0 else prose(k, 90).replace(" ka ", ". ")) for k in range(120)] + [r[:2] for r in hard_rows()]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = quality.op2_quality_classifier(spark, str(tmp_path)).collect()
+    wanted = [brute_votes(t) for _, t in rows]
+    posterior = dict(zip(wanted, brute_em(wanted, 30), strict=True))
+    assert Counter((r.doc_id, r.votes) for r in got) == Counter((i, v) for (i, _), v in zip(rows, wanted, strict=True))
+    assert max(abs(r.posterior - posterior[r.votes]) for r in got) < 1e-6
+
+    def plain(text: str | None) -> np.ndarray:
+        return next(quality.features(quality.pa.array([text or ""])))
+
+    # Every distinct row with an id is in the sample here; classes weigh as in the table.
+    sample = list({r: None for r in rows if r[0] is not None})
+    x = np.array([plain(t).astype(np.float16) for _, t in sample], dtype=np.float64)
+    y = np.array([posterior[brute_votes(t)] for _, t in sample])
+    bad = y < 0.5
+    share = np.mean([posterior[v] < 0.5 for v in wanted])
+    weight = np.where(bad, share / bad.mean(), (1 - share) / (1 - bad.mean()))
+    w, b, m, v = np.zeros(x.shape[1]), 0.0, np.zeros(x.shape[1] + 1), np.zeros(x.shape[1] + 1)
+    for t in range(1, 401):
+        d = (1 / (1 + np.exp(-(x @ w + b))) - y) * weight / weight.sum()
+        g = np.append(sum(row * e for row, e in zip(x, d, strict=True)) + 1e-4 * w, d.sum())
+        m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
+        step = 0.2 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
+        w, b = w - step[:-1], b - step[-1]
+    texts = {i: t for i, t in rows if i is not None}
+    close = [abs(r.score - 1 / (1 + np.exp(-(plain(texts[r.doc_id]) @ w + b)))) for r in got if r.doc_id is not None]
+    assert np.mean(close) < 0.01 and max(close) < 0.1
+    assert np.mean([r.good == (r.doc_id % 4 != 0) for r in got if r.doc_id is not None and r.doc_id >= 100]) > 0.95
+
+
+def test_repeats_are_counted_as_by_hand():
+    text = "a b a a c b"
+    codes = [(0, 0), (0, 0), (1, 2), (2, 1), (0, 0), (1, 4)]  # times before, places back
+    wanted = np.zeros(quality.AGAIN)
+    for before, back in codes:
+        code = np.array([before.bit_length() * 64 + back.bit_length() + 1], np.uint64)
+        wanted[int(quality.mix(code)[0] % np.uint64(quality.AGAIN))] += 1
+    assert np.allclose(next(quality.again_rows(quality.pa.array([text]))), np.sqrt(wanted / (len(codes) + 8)))
+
+
+def test_quality_and_toxicity_against_labels(spark):
+    """Precision and recall of the registered queries against the table of labels; toxicity on held-out rows only."""
+    sf = "/root/testdata/sf0.1"  # smaller ones have few labels
+    labels = {r.doc_id: r for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+
+    def rates(pairs):
+        hits = sum(a and b for a, b in pairs)
+        return hits / max(1, sum(a for a, _ in pairs)), hits / max(1, sum(b for _, b in pairs))
+
+    good = [(r.good, labels[r.doc_id].quality == 1) for r in quality.op2_quality_classifier(spark, sf).collect() if r.doc_id in labels]
+    assert min(rates(good)) > 0.95 and min(rates([(not a, not b) for a, b in good])) > 0.9
+    toxic = [(r.predicted == 1, labels[r.doc_id].toxic == 1) for r in toxicity.op8_toxicity(spark, sf).collect() if r.held_out and r.doc_id in labels]
+    assert np.mean([a == b for a, b in toxic]) > 0.93  # 0.945 of 825 rows
