@@ -176,3 +176,99 @@ FEATURES = (
     "deterministic", "title", "keywords", "location", "seniority", "recency", "salary", "profileSkills", "profileTitle",
     "remote", "otherCity", "salaryListed", "descriptionLength", "embedding",
 )
+
+#: Fixed values of message checks and message shaping. Patterns are read without regard to case, unless said otherwise.
+BANNED_PHRASES = (
+    r"rád bych se uch[aá]zel",
+    r"t[ií]mto se uch[aá]z[ií]m",
+    r"t[ií]mto se hl[aá]s[ií]m",
+    r"dovoluji si",
+    r"v p[rř][ií]loze zas[ií]l[aá]m",
+    r"bohat[ée] zku[sš]enosti",
+    r"t[ěe][sš][ií]m se na",
+    r"\bi am writing to\b",
+    r"\bi would like to (apply|express)\b",
+    r"\b(great|perfect) fit\b",
+    r"\bi believe\b",
+    r"\bi look forward\b",
+    r"\bopportunity\b",
+    r"\bstrong background\b",
+    r"\bproven\b",
+    r"\btrack record\b",
+    r"\bskill ?set\b",
+    r"\bexcited\b",
+    r"nadšen[ýáéí]|nadšení",
+    r"vášn|vášeň",
+    r"přesvědčen",
+    r"prospěšn",
+    r"inovativn",
+    r"unikátn",
+    r"výzv[ao]u?\b",
+    r"synergi",
+    r"mindset",
+    r"šikovn",
+    r"skvěl",
+    r"dynamick",
+    r"ideáln[ií] kandidát",
+    r"rád bych se podílel",
+    r"mohl bych přispět",
+    r"jsem si jist",
+    r"cenn[ýé]m? aktiv",
+    r"\bi am (excited|thrilled|passionate)\b",
+    r"\bpassion(ate)?\b",
+    r"\bleverage\b",
+    r"\bsynerg",
+    r"\bideal candidate\b",
+    r"\bvaluable asset\b",
+    r"\bi am confident\b",
+    r"\bcutting[- ]edge\b",
+    r"\binnovative\b",
+    r"\bdynamic\b",
+)
+GREETING_LINE = r"^(dobr[ýyéá] (den|r[áa]no|ve[čc]er|odpoledne)|ahoj|zdrav[íi]m( v[áa]s)?|v[áa][žz]en[ýíé].{0,40}|hello|hi|dear .{0,40}|good (morning|afternoon|evening))[,!.]?$"
+#: Closings that may stay above a signature, and those that become a relaxed one.
+KEPT_CLOSING = r"^(s (pozdravem|úctou|přáním hezkého dne)|best regards|kind regards|regards|sincerely|yours sincerely)[,.]?$"
+FORMAL_CLOSING = r"^(s (pozdravem|úctou|přáním (hezkého|pěkného) dne)|best regards|kind regards|warm regards|regards|sincerely|yours sincerely|yours faithfully)[,.]?$"
+GREETINGS = {True: "Dobrý den,", False: "Hi,"}
+CLOSINGS = {True: "Díky,", False: "Thanks,"}
+#: Sentences that speak of experience, where they part into clauses, and clauses that only wish.
+EXPERIENCE = (
+    r"(zkušenost|praxi|praxe|pracoval|pracuji|mám za sebou|dělám|dělal|umím|znám|ovládám|používám|používal|využíval|využívám|vyvíjel|vyvíjím|vyvinul|postavil|stavím|stavěl|vytvořil|tvořil"
+    r"|navrhl|navrhoval|implementoval|spolupracoval|podílel|vedl|řídil|věnuji|věnoval|\d+\s*(let|rok)|(let|rok)[yůu]?\b.*prax|experience|worked|working|i know|i use|i used|familiar|proficient|skilled"
+    r"|i built|i develop|i have been|i led|i designed|i implemented|i delivered|i shipped|contributed|years)"
+)
+CLAUSE_BREAK = r"[,;]|\s+a\s+(?=r[áa]d|cht[ěe]l|chci|zaj[ií]m)|\s+and\s+(?=i(?:'d| would| want| am interested)|which)"
+WISH = r"(r[áa]d(a)? bych|cht[ěe]l(a)? bych|chci|zaj[ií]m[áa] m[ěe]|zaj[ií]malo by|nau[čc]il|roz[sš][ií][rř]il|posunout|would like|want to|interested in|learn|keen to|looking to|hope to)"
+#: Names of things, by case; words that look like such names and are none.
+NAME_TOKEN = r"\b[A-Z][A-Za-z0-9+#]*(?:\.[A-Za-z]+)?\b|\.NET\b"
+CAPITALISED_WORD = "^[A-ZÁČĎÉĚÍŇÓŘŠŤÚŮÝŽ][a-záčďéěíňóřšťúůýž]+$"
+NAME_STOPWORDS = ("dobrý", "den", "hello", "dear", "s", "best", "kind", "regards", "cv", "ai", "it")
+STEM_LENGTH = 5
+COMMON_STEMS = (
+    "pozic", "praci", "prace", "firma", "firmy", "firme", "vyvoj", "zkuse", "proje", "aplik", "softw", "techn", "nabid", "spole", "zivot", "pracu", "praxe", "praxi", "zajim",
+    "roky", "rokyp", "tymu", "tymem", "nastr", "reseni", "resen", "pozad", "znalo", "dovedn", "doved", "kodu", "kod", "vyvoja", "vyvij", "pracov", "work", "exper", "posit", "compa",
+    "team", "devel", "skill", "years", "role", "job", "appli", "build", "using", "with", "tools", "produ", "servi",
+)
+YEARS_CLAIM = (
+    r"(?<![\p{L}\d])(\d{1,2}|jeden|jednoho|dva|dvou|tři|tří|čtyři|čtyř|pět|pěti|šest|šesti|sedm|sedmi|osm|osmi|devět|devíti|deset|deseti|one|two|three|four|five|six|seven|eight|nine|ten)"
+    r"\s*(\+|a více|or more)?\s*-?(let|roky|rok|roků|years?)(?:[ouáéý]\p{L}*)?"
+)
+#: Numbers by the first three letters of the folded word.
+NUMBER_STEMS = {
+    "jed": "1", "dva": "2", "dvo": "2", "tri": "3", "cty": "4", "pet": "5", "ses": "6", "sed": "7", "osm": "8", "dev": "9", "des": "10",
+    "one": "1", "two": "2", "thr": "3", "fou": "4", "fiv": "5", "six": "6", "sev": "7", "eig": "8", "nin": "9", "ten": "10",
+}
+
+#: Names of countries in forms, folded; the first of each is the one that is written out.
+COUNTRIES = (
+    ("CZ", ("ceska republika", "cesko", "czech republic", "czechia", "czech", "cz")),
+    ("SK", ("slovensko", "slovenska republika", "slovakia", "slovak republic", "sk")),
+    ("PL", ("polsko", "poland", "polska", "pl")),
+    ("DE", ("nemecko", "germany", "deutschland", "de")),
+    ("AT", ("rakousko", "austria", "osterreich", "at")),
+    ("GB", ("velka britanie", "spojene kralovstvi", "united kingdom", "great britain", "uk", "gb")),
+    ("US", ("spojene staty", "united states", "usa", "us")),
+    ("NL", ("nizozemsko", "netherlands", "nederland", "nl")),
+)
+#: Labels that ask for a personal site.
+PERSONAL_SITE = r"\b(web|website|webova|webove|stranka|stranky|site|homepage|portfolio|blog)\b"

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.dictionaries import BANNED_PHRASES
 from ..functions.text import js_trim, text_or_empty
 
-#: Turns of phrase that give a template away.
-BANNED = (r"rád bych se uch[aá]zel", r"t[ií]mto se uch[aá]z[ií]m", r"t[ií]mto se hl[aá]s[ií]m", r"dovoluji si")
+#: Patterns of style, placeholders and letters.
 GENDER_SLASH = r"(?<![\p{L}\p{N}_])[\p{L}\p{N}_]*\p{L}/[aá](?![\p{L}\p{N}_])"
 SKILL_LIST = r"(\b[A-Z][\w.+#-]*\b\s*,\s*){2,}\b[A-Z][\w.+#-]*\b"
 PLACEHOLDER = r"(?iu)[\[\]{}<>]|your name|jméno a příjmení|\(name\)|lorem ipsum|\*\*"
@@ -55,7 +57,7 @@ def copied_phrases(drafts: DataFrame, sources: DataFrame, size: int = 5, allowed
 def banned_phrases(draft: Column | str, never: tuple[str, ...] = ()) -> Column:
     """The banned phrases as they stand in a draft, then the configured ones that it holds."""
     text = text_or_empty(draft)
-    found = [F.nullif(F.regexp_extract(text, f"(?iu){p}", 0), F.lit("")) for p in BANNED]
+    found = [F.nullif(F.regexp_extract(text, f"(?iu){p}", 0), F.lit("")) for p in BANNED_PHRASES]
     configured = [F.when(F.contains(F.lower(text), F.lit(p.strip().lower())), F.lit(p.strip())) for p in never if p.strip()]
     return F.array_distinct(F.array_compact(F.array(*found, *configured)))
 
@@ -67,15 +69,21 @@ def style_problems(draft: Column | str) -> Column:
     return F.array_compact(F.array(F.when(slash.isNotNull(), F.concat(F.lit("gender slash: "), slash)), F.when(F.rlike(text, F.lit(SKILL_LIST)), F.lit("skill list"))))
 
 
+#: What a draft is rid of, in this order.
+CLEANING = (
+    (PICTOGRAPHS, ""),
+    ("^```[a-z]*\n?|```$", ""),
+    (r"(?iu)(?m)^(subject|předmět)\s*:.*$", ""),
+    ("^[\"“„']+|[\"”“']+$", ""),
+    ("!+", "."),
+    ("[ \t]+\n", "\n"),
+    ("\n{3,}", "\n\n"),
+)
+
+
 def clean_draft(c: Column | str) -> Column:
     """A draft without pictographs, fences, subject lines, outer quotes and shouting."""
-    c = F.regexp_replace(text_or_empty(c), PICTOGRAPHS, "")
-    c = F.regexp_replace(c, "^```[a-z]*\n?|```$", "")
-    c = F.regexp_replace(c, r"(?iu)(?m)^(subject|předmět)\s*:.*$", "")
-    c = F.regexp_replace(c, "^[\"“„']+|[\"”“']+$", "")
-    c = F.regexp_replace(c, "!+", ".")
-    c = F.regexp_replace(c, "[ \t]+\n", "\n")
-    return js_trim(F.regexp_replace(c, "\n{3,}", "\n\n"))
+    return js_trim(reduce(lambda text, rule: F.regexp_replace(text, *rule), CLEANING, text_or_empty(c)))
 
 
 def usable(c: Column | str) -> Column:

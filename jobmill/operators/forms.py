@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.dictionaries import COUNTRIES, PERSONAL_SITE
 from ..functions.text import normalize_text, text_or_empty
 
 KEYS = ("fullName", "firstName", "lastName", "email", "phone", "linkedInUrl", "githubUrl", "website", "city", "country", "cv", "coverLetter", "message", "salary", "startDate", "consent", "marketing")
@@ -24,18 +25,18 @@ RULES: dict[str, dict[str, tuple[str, ...]]] = {
     "lastName": {"phrase": ("prijmeni", "last name", "lastname", "surname", "family name"), "autocomplete": ("family-name",)},
     "email": {"phrase": ("e mail", "email", "mail", "kontaktni e mail", "emailova adresa", "e mailova adresa"), "autocomplete": ("email",)},
     "phone": {"phrase": ("telefon", "telefonni cislo", "phone", "phone number", "mobile", "mobil", "tel", "cislo"), "exclude": ("cislo uctu", "account number", "id number", "ico"), "autocomplete": ("tel", "tel-national")},
-    "linkedInUrl": {"phrase": ("linkedin", "linked in")},
-    "githubUrl": {"phrase": ("github", "git hub")},
-    "website": {"phrase": ("website", "web", "webova stranka", "portfolio", "osobni web", "personal site", "url", "odkaz", "profil"), "exclude": ("linkedin", "github"), "autocomplete": ("url",)},
-    "city": {"phrase": ("mesto", "city", "obec", "bydliste", "town", "lokalita", "location"), "autocomplete": ("address-level2",)},
-    "country": {"phrase": ("zeme", "stat", "country", "nationality"), "autocomplete": ("country", "country-name")},
-    "cv": {"phrase": ("cv", "zivotopis", "resume", "curriculum vitae"), "weak": ("attachment", "priloha", "prilohy", "soubor", "nahrat", "upload", "file"), "exclude": ("motivacni", "cover", "pruvodni", "foto", "photo", "portfolio")},
-    "coverLetter": {"phrase": ("motivacni dopis", "cover letter", "pruvodni dopis", "motivation letter", "motivacni")},
-    "message": {"phrase": ("zprava", "message", "poznamka", "note", "comment", "komentar", "vzkaz", "proc", "why", "tell us", "about you", "o vas", "posunout", "motivace", "motivation", "o sobe", "text")},
-    "salary": {"phrase": ("mzda", "plat", "salary", "mzdove ocekavani", "expected salary")},
-    "startDate": {"phrase": ("nastup", "datum nastupu", "start date", "available from", "availability")},
-    "consent": {"strong": ("zpracovani osobnich udaju", "osobni udaje", "osobnich udaju", "gdpr", "privacy", "privacy policy", "terms", "podminky"), "phrase": ("souhlas", "souhlasim", "agree", "consent", "i agree", "i accept")},
-    "marketing": {"phrase": ("newsletter", "marketing", "obchodni sdeleni", "novinky", "nabidky prace", "job alerts", "subscribe", "podobne nabidky", "talent pool", "databaze uchazecu", "future positions")},
+    "linkedInUrl": {"phrase": ("linkedin", "linked in", "odkaz na linkedin", "linkedin profil", "linkedin profile", "linkedin url")},
+    "githubUrl": {"phrase": ("github", "git hub", "github profil", "github profile", "github url")},
+    "website": {"phrase": ("website", "web", "webova stranka", "portfolio", "osobni web", "personal site", "url", "odkaz", "profil", "profile link"), "exclude": ("linkedin", "github"), "autocomplete": ("url",)},
+    "city": {"phrase": ("mesto", "city", "obec", "bydliste", "town", "misto bydliste", "lokalita", "location"), "autocomplete": ("address-level2",)},
+    "country": {"phrase": ("zeme", "stat", "country", "statni prislusnost", "nationality"), "autocomplete": ("country", "country-name")},
+    "cv": {"phrase": ("cv", "zivotopis", "resume", "resume cv", "curriculum vitae", "prilozit zivotopis", "upload cv", "attach cv", "nahrat zivotopis"), "weak": ("attachment", "priloha", "prilohy", "soubor", "nahrat", "upload", "file"), "exclude": ("motivacni", "cover", "pruvodni", "foto", "photo", "portfolio")},
+    "coverLetter": {"phrase": ("motivacni dopis", "cover letter", "pruvodni dopis", "motivation letter", "letter of motivation", "motivacni")},
+    "message": {"phrase": ("zprava", "message", "poznamka", "note", "comment", "komentar", "vzkaz", "proc", "why", "tell us", "about you", "o vas", "neco o sobe", "dalsi informace", "additional information", "posunout", "proc prave vy", "proc vas", "co muzete nabidnout", "what can you", "pruvodni text", "vzkaz pro firmu", "zprava pro", "dejte firme vedet", "napiste nam", "tell us why", "motivace", "motivation", "o sobe", "about yourself", "text", "doplnujici")},
+    "salary": {"phrase": ("mzda", "plat", "salary", "mzdove ocekavani", "salary expectation", "expected salary", "ocekavana mzda", "financni ocekavani")},
+    "startDate": {"phrase": ("nastup", "datum nastupu", "start date", "available from", "moznost nastupu", "availability", "dostupnost")},
+    "consent": {"strong": ("zpracovani osobnich udaju", "zpracovanim osobnich udaju", "osobni udaje", "osobnich udaju", "gdpr", "privacy", "privacy policy", "ochrana osobnich udaju", "ochranou osobnich udaju", "terms", "terms and conditions", "podminky", "podminkami", "zasady", "zasadami"), "phrase": ("souhlas", "souhlasim", "agree", "consent", "i agree", "i accept", "accept")},
+    "marketing": {"phrase": ("newsletter", "marketing", "marketingove", "obchodni sdeleni", "obchodnich sdeleni", "novinky", "zasilani", "nabidky prace", "job alerts", "job offers", "subscribe", "odber", "informovat", "podobne nabidky", "similar offers", "talent pool", "databaze uchazecu", "evidovat", "budouci", "future", "another suitable position", "other positions", "other vacancies", "suitable position", "let me know", "dalsi vhodnou", "dalsi vhodne", "vhodnou pozici", "vhodne pozice", "jine pozice", "jinou pozici", "jinych pozic", "dalsich pozic", "dalsi pozice", "dalsi nabidky", "jine nabidky", "evidenci", "evidence", "nabidnout", "v budoucnu", "future positions", "keep my", "retain my", "store my", "uchovat", "uchovavat", "po dobu", "contact me", "kontaktovat", "oslovit", "vytvorit profil", "vytvorit ucet", "vytvorit", "profesni profil", "create profile", "create account", "create an account", "registrovat", "zaregistrovat", "sign me up", "remember me")},
 }
 SIGNALS = (("label", 0.95), ("aria_label", 0.9), ("placeholder", 0.8), ("name", 0.75), ("id", 0.5))
 TYPES = {"email": ("email", 0.95), "tel": ("phone", 0.95), "url": ("website", 0.5), "file": ("cv", 0.6), "textarea": ("message", 0.5)}
@@ -117,18 +118,6 @@ def classified(fields: DataFrame, rules: DataFrame) -> DataFrame:
     return out.withColumn("chosen", chosen).select(*fields.columns, F.col("chosen.key").alias("key"), F.col("chosen.score").alias("score"))
 
 
-COUNTRIES = (
-    ("CZ", ("ceska republika", "cesko", "czech republic", "czechia", "czech", "cz")),
-    ("SK", ("slovensko", "slovenska republika", "slovakia", "slovak republic", "sk")),
-    ("PL", ("polsko", "poland", "polska", "pl")),
-    ("DE", ("nemecko", "germany", "deutschland", "de")),
-    ("AT", ("rakousko", "austria", "osterreich", "at")),
-    ("GB", ("velka britanie", "spojene kralovstvi", "united kingdom", "great britain", "uk", "gb")),
-    ("US", ("spojene staty", "united states", "usa", "us")),
-    ("NL", ("nizozemsko", "netherlands", "nederland", "nl")),
-)
-
-
 def _same(name: str, *read):
     return lambda o: F.greatest(*(r(o) == name for r in read))
 
@@ -158,9 +147,16 @@ def plan(fields: DataFrame, profile: dict[str, str]) -> tuple[DataFrame, DataFra
     whole = F.rlike(every, F.lit("cele jmeno|jmeno a prijmeni|full name|fullname|name and surname"))
     seen = seen.join(surnames, "form", "left").withColumn("key", F.when((F.col("key") == "fullName") & F.col("split") & ~whole, "firstName").otherwise(F.col("key")))
     values = F.create_map(*(F.lit(x) for pair in profile.items() for x in pair))
-    known = F.nullif(F.try_element_at(values, "key"), F.lit(""))
+    of = lambda key: F.nullif(F.try_element_at(values, F.lit(key)), F.lit(""))
+    code = profile.get("country", "")
+    names = dict(COUNTRIES).get(code.upper())
+    known = (
+        F.when(F.col("key") == "website", F.when(F.rlike(every, F.lit(PERSONAL_SITE)), of("githubUrl")).otherwise(F.coalesce(of("linkedInUrl"), of("githubUrl"))))
+        .when(F.col("key") == "country", F.nullif(F.lit(names[0].title() if names else code), F.lit("")))
+        .otherwise(F.nullif(F.try_element_at(values, "key"), F.lit("")))
+    )
     value = (
-        F.when(F.col("tag") == "select", F.when(F.col("key") == "country", country_option(F.col("options"), profile.get("country", ""))))
+        F.when(F.col("tag") == "select", F.when(F.col("key") == "country", country_option(F.col("options"), code)))
         .when(F.col("key").isin("message", "coverLetter", "salary", "startDate"), None)
         .when(F.col("key") == "consent", "true")
         .when(F.col("key") == "marketing", "false")

@@ -139,10 +139,10 @@ def t15(spark: SparkSession, sf: str) -> DataFrame:
 
 
 SHAPES = [
-    (1, "Dobré ráno,\n\nHlásím se na pozici.\n\nS pozdravem,\nDaniel Hurník", True, "Daniel Hurník", "Dobrý den,\n\nhlásím se na pozici.\n\nDíky,\nDaniel Hurník"),
-    (2, "Hlásím se na pozici a rád se dozvím více.", True, "Daniel Hurník", "Dobrý den,\n\nhlásím se na pozici a rád se dozvím více.\n\nDaniel Hurník"),
-    (3, "Hello,\n\nI am applying for the role.\n\nBest regards, Daniel Hurník.", False, "Daniel Hurník", "Hi,\n\nI am applying for the role.\n\nThanks,\nDaniel Hurník"),
-    (4, "Dobrý den,\n\nHLÁSÍM SE na pozici.\n\nDaniel Hurník\nIntegra", True, "Daniel Hurník", "Dobrý den,\n\nhlásím se na pozici.\n\nDaniel Hurník"),
+    (1, "Dobré ráno,\n\nHlásím se na pozici.\n\nS pozdravem,\nPetra Veselá", True, "Petra Veselá", "Dobrý den,\n\nhlásím se na pozici.\n\nDíky,\nPetra Veselá"),
+    (2, "Hlásím se na pozici a rád se dozvím více.", True, "Petra Veselá", "Dobrý den,\n\nhlásím se na pozici a rád se dozvím více.\n\nPetra Veselá"),
+    (3, "Hello,\n\nI am applying for the role.\n\nBest regards, Petra Veselá.", False, "Petra Veselá", "Hi,\n\nI am applying for the role.\n\nThanks,\nPetra Veselá"),
+    (4, "Dobrý den,\n\nHLÁSÍM SE na pozici.\n\nPetra Veselá\nVzorová firma", True, "Petra Veselá", "Dobrý den,\n\nhlásím se na pozici.\n\nPetra Veselá"),
 ]
 
 
@@ -155,11 +155,11 @@ def t8(spark: SparkSession, sf: str) -> DataFrame:
 
 
 CLAIMS = [
-    (1, "Dobrý den,\n\nmám zkušenosti s Kotlin.\n\nDaniel", "React, TypeScript.", "Požadujeme Kotlin a Esri.", [], "Kotlin"),
-    (2, "Dobrý den,\n\nrád bych se naučil Kotlin.\n\nDaniel", "React, TypeScript.", "Požadujeme Kotlin a Esri.", [], ""),
-    (3, "Dobrý den,\n\nPracuji s React a TypeScript. Praha je moje město.\n\nDaniel", "Frontend developer. React, TypeScript. Praha.", "Hledáme vývojáře React + GIS, Kotlin.", [], ""),
-    (4, "Dobrý den,\n\nmám za sebou čtyři roky práce s React.\n\nDaniel", "React, tři roky praxe.", "Požadujeme čtyři roky praxe.", [], "čtyři roky"),
-    (5, "Dobrý den,\n\nvyužíval jsem mapová data.\n\nDaniel", "React.", "Budete pracovat s daty.", ["mapová data"], "mapova"),
+    (1, "Dobrý den,\n\nmám zkušenosti s Kotlin.\n\nPetra", "React, TypeScript.", "Požadujeme Kotlin a Esri.", [], "Kotlin"),
+    (2, "Dobrý den,\n\nrád bych se naučil Kotlin.\n\nPetra", "React, TypeScript.", "Požadujeme Kotlin a Esri.", [], ""),
+    (3, "Dobrý den,\n\nPracuji s React a TypeScript. Praha je moje město.\n\nPetra", "Frontend developer. React, TypeScript. Praha.", "Hledáme vývojáře React + GIS, Kotlin.", [], ""),
+    (4, "Dobrý den,\n\nmám za sebou čtyři roky práce s React.\n\nPetra", "React, tři roky praxe.", "Požadujeme čtyři roky praxe.", [], "čtyři roky"),
+    (5, "Dobrý den,\n\nvyužíval jsem mapová data.\n\nPetra", "React.", "Budete pracovat s daty.", ["mapová data"], "mapova"),
 ]
 
 
@@ -168,7 +168,7 @@ def t6(spark: SparkSession, sf: str) -> DataFrame:
     from ..operators import messages
 
     rows = literal(spark, "id int, draft string, cv string, job string, skills array<string>", [c[:5] for c in CLAIMS])
-    allow = F.array(F.lit("Daniel Hurník"))
+    allow = F.array(F.lit("Petra Veselá"))
     return rows.select("id", F.array_join(messages.unsupported_claims("draft", "cv", "job", allow, "skills"), ",").alias("flagged"))
 
 

@@ -216,11 +216,11 @@ def f19(spark: SparkSession, sf: str) -> DataFrame:
     "f24_f25_names_and_phones",
     values(
         "company VARCHAR, short VARCHAR, first VARCHAR, last VARCHAR, phone VARCHAR",
-        [("Integra Czech Republic, s.r.o.", "Integra Czech Republic", "Jana", "Marie Nováková", "601123456"), ("Dawiso a.s.", "Dawiso", "Jan", "", "123"), ("s.r.o.", "s.r.o.", "", "", "")],
+        [("Vzorová Czech Republic, s.r.o.", "Vzorová Czech Republic", "Jana", "Marie Nováková", "601123456"), ("Ukázka a.s.", "Ukázka", "Jan", "", "123"), ("s.r.o.", "s.r.o.", "", "", "")],
     ),
 )
 def f24(spark: SparkSession, sf: str) -> DataFrame:
-    rows = literal(spark, "company string, name string, phone string", [("Integra Czech Republic, s.r.o.", " Jana  Marie Nováková", "+420 601 123 456"), ("Dawiso a.s.", "Jan", "123"), ("s.r.o.", None, None)])
+    rows = literal(spark, "company string, name string, phone string", [("Vzorová Czech Republic, s.r.o.", " Jana  Marie Nováková", "+420 601 123 456"), ("Ukázka a.s.", "Jan", "123"), ("s.r.o.", None, None)])
     return rows.select("company", t.short_company("company").alias("short"), t.split_name("name")["first"].alias("first"), t.split_name("name")["last"].alias("last"), t.national_phone("phone").alias("phone"))
 
 
