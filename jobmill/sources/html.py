@@ -164,49 +164,83 @@ def _fold(text: str) -> str:
     return re.sub("[^a-z0-9]+", " ", bare.lower()).strip()
 
 
-_PAY = re.compile(r"\d.*(kč|czk|eur|€|usd)|(kč|czk|eur|€|usd).*\d", re.I)
-_MODE = re.compile(r"remote|hybrid|onsite|on-site|vzdálen", re.I)
-_HOURS = re.compile(r"full-time|part-time|contract|intern|freelance|plný|zkrácený|brigád", re.I)
+#: What the parts of two boards' cards look like. A selector is a tag, `.part of a class` or `tag[part of href]`; several are tried in turn.
+CARD_RULES = {
+    "startupjobs": {
+        "card": "a[/nabidka/]",
+        "title": (".font-semibold", "h2", "h3"),
+        "company": (".line-clamp",),
+        "facts": ("li",),
+        "kinds": {
+            "salary": r"\d.*(kč|czk|eur|€|usd)|(kč|czk|eur|€|usd).*\d",
+            "mode": r"remote|hybrid|onsite|on-site|vzdálen",
+            "hours": r"full-time|part-time|contract|intern|freelance|plný|zkrácený|brigád",
+        },
+    },
+    "jobstack": {
+        "card": "a.jobpost-mainlink",
+        "only": "/it-job/",
+        "title": ("h3",),
+        "salary": (".jobposts-item_salary",),
+        "facts": (".custom-profile-label--secondary",),
+        "kinds": {"location": r"\d{3} ?\d{2}\b|\d+/\d+"},
+        "modes": (".custom-profile-label",),
+        "mode": r"remote|hybrid|home ?office|on-?site",
+    },
+}
 
 
-def card_facts(items: list[str]) -> dict:
-    """startupjobs.cz: pay, mode, hours and, of what is left, the place."""
-    pick = lambda p: next((i for i in items if p.search(i)), None)
-    pay, mode, hours = pick(_PAY), pick(_MODE), pick(_HOURS)
-    place = next((i for i in items if i not in (pay, mode, hours)), None)
-    return {"salary": pay, "work_type": ", ".join(x for x in (mode, hours) if x) or None, "location": place}
+def _selected(node: Node, selector: str) -> list[Node]:
+    tag, _, href = selector.partition("[")
+    tag, _, part = tag.partition(".")
+    fits = lambda n: (not tag or n.tag == tag) and (not part or n.has_class(part)) and (not href or href.rstrip("]") in n.attrs.get("href", ""))
+    return list(node.find(fits))
 
 
-def _offer_cards(root: Node, base: str) -> list[dict]:
-    out = []
-    for card in root.find(lambda n: n.tag == "a" and "/nabidka/" in n.attrs.get("href", "")):
-        head = card.first(lambda n: n.has_class("font-semibold"))
-        title = collapse(head.text(lambda n: n.tag == "span")) if head else ""
-        title = title or _text_of(card.first(lambda n: n.tag in ("h2", "h3"))) or _text_of(card)
-        items = [_text_of(li) for ul in card.find(lambda n: n.tag == "ul") for li in ul.find(lambda n: n.tag == "li")]
-        company = _text_of(card.first(lambda n: n.has_class("line-clamp"))) or None
-        out.append({"url": urljoin(base, card.attrs["href"]), "title": title[:200], "company": company, **card_facts(items)})
-    return out
+def _texts(node: Node, selectors: tuple[str, ...]) -> list[str]:
+    return [_text_of(n) for s in selectors for n in _selected(node, s)]
 
 
-_ADDRESS = re.compile(r"\d{3} ?\d{2}\b|\d+/\d+")
-_LABEL = re.compile(r"remote|hybrid|home ?office|on-?site", re.I)
+def by_kind(texts: list[str], kinds: dict[str, str]) -> tuple[dict[str, str], list[str]]:
+    """(the first text of each kind, the texts that are none of these) for kinds given by patterns."""
+    found: dict[str, str] = {}
+    for text in texts:
+        for kind, pattern in kinds.items():
+            if re.search(pattern, text, re.I):
+                found.setdefault(kind, text)
+    return found, [t for t in texts if t not in found.values()]
 
 
-def _label_cards(root: Node, base: str) -> list[dict]:
-    """jobstack.it: the label with an address is the place, the other one the company."""
-    out = []
-    for link in root.find(lambda n: n.tag == "a" and n.has_class("jobpost-mainlink")):
-        url = urljoin(base, link.attrs.get("href", ""))
-        labels = [_text_of(n) for n in link.find(lambda n: n.has_class("custom-profile-label--secondary"))]
-        place = next((x for x in labels if _ADDRESS.search(x)), labels[1] if len(labels) > 1 else None)
-        modes = (_text_of(n) for n in link.find(lambda n: n.has_class("custom-profile-label")))
-        if "/it-job/" in url:
-            out.append({
-                "url": url, "title": _text_of(link.first(lambda n: n.tag == "h3")), "company": next((x for x in labels if x != place), None), "location": place or None,
-                "salary": _text_of(link.first(lambda n: n.has_class("jobposts-item_salary"))) or None, "work_type": next((m for m in modes if _LABEL.search(m)), None),
-            })
-    return out
+def _ruled_cards(board: str):
+    """Cards read by the board's rules: facts without a place of their own are told apart by kind, and the rest goes by position."""
+    rule = CARD_RULES[board]
+
+    def read(root: Node, base: str) -> list[dict]:
+        out = []
+        for card in _selected(root, rule["card"]):
+            url = urljoin(base, card.attrs.get("href", ""))
+            if rule.get("only", "") not in url:
+                continue
+            facts = _texts(card, rule["facts"])
+            found, rest = by_kind(facts, rule["kinds"])
+            row = {"url": url, "title": _card_title(card, rule["title"]), "salary": found.get("salary") or next(iter(_texts(card, rule.get("salary", ()))), None) or None}
+            if "company" in rule:  # what is left over is the place
+                row |= {"company": next(iter(_texts(card, rule["company"])), None) or None, "location": next(iter(rest), None), "work_type": ", ".join(found[k] for k in ("mode", "hours") if k in found) or None}
+            else:  # company first, place second, unless the place shows
+                place = found.get("location") or next(iter(facts[1:2]), None)
+                modes = [m for m in _texts(card, rule["modes"]) if re.search(rule["mode"], m, re.I)]
+                row |= {"company": next((f for f in facts if f != place), None), "location": place or None, "work_type": next(iter(modes), None)}
+            out.append(row)
+        return out
+
+    return read
+
+
+def _card_title(card: Node, selectors: tuple[str, ...]) -> str:
+    """The first of the selected nodes with words, badges in it left out; else all the card says, where more than one selector was tried."""
+    heads = [n for s in selectors for n in _selected(card, s)[:1]]
+    said = (collapse(n.text(lambda x: x.tag == "span")) or (_text_of(n) if n.tag.startswith("h") else "") for n in heads)
+    return (next((t for t in said if t), "") or (_text_of(card) if len(selectors) > 1 else ""))[:200]
 
 
 _PLACE_HINT = re.compile(r"praha|brno|ostrava|plzeň|olomouc|liberec|remote|home\s?office|,", re.I)
@@ -262,8 +296,8 @@ BOARDS = {
     "jobscz": ("https://www.jobs.cz", _result_cards),
     "cocuma": ("https://www.cocuma.cz", _thumbnail_cards),
     "pracecz": ("https://www.prace.cz", _labelled_cards),
-    "startupjobs": ("https://www.startupjobs.cz", _offer_cards),
-    "jobstack": ("https://www.jobstack.it", _label_cards),
+    "startupjobs": ("https://www.startupjobs.cz", _ruled_cards("startupjobs")),
+    "jobstack": ("https://www.jobstack.it", _ruled_cards("jobstack")),
     "skilleto": ("https://www.skilleto.cz", _position_cards),
 }
 _NAMES = ("url", "title", "company", "location", "salary", "work_type", "posted")
