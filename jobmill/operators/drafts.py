@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.dictionaries import BANNED_PHRASES
+from ..functions.fields import let
 from ..functions.text import js_trim, text_or_empty
 
 #: Patterns of style, placeholders and letters.
@@ -26,17 +27,23 @@ def words(c: Column | str) -> Column:
 
 def grams(c: Column, size: int) -> Column:
     """The distinct runs of `size` words of an array of words."""
-    n = F.size(c) - size + 1
-    return F.when(n <= 0, F.array().cast("array<string>")).otherwise(
-        F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.array_join(F.slice(c, i, size), " ")))
-    )
+
+    def runs(w: Column) -> Column:
+        n = F.size(w) - size + 1
+        all_runs = F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.array_join(F.slice(w, i, size), " "))
+        return F.when(n <= 0, F.array().cast("array<string>")).otherwise(F.array_distinct(all_runs))
+
+    return let(c, runs)
 
 
 def similarity(a: Column | str, b: Column | str) -> Column:
     """The Dice coefficient of the texts' pairs of neighbouring words; 1 for two texts without any."""
-    x, y = grams(words(a), 2), grams(words(b), 2)
-    total = F.size(x) + F.size(y)
-    return F.when(total == 0, 1.0).otherwise(2 * F.size(F.array_intersect(x, y)) / total)
+
+    def dice(p: Column) -> Column:
+        total = F.size(p["x"]) + F.size(p["y"])
+        return F.when(total == 0, 1.0).otherwise(2 * F.size(F.array_intersect(p["x"], p["y"])) / total)
+
+    return let(F.struct(grams(words(a), 2).alias("x"), grams(words(b), 2).alias("y")), dice)
 
 
 def meaningfully_edited(draft: Column | str, final: Column | str) -> Column:

@@ -21,14 +21,14 @@ def grams(x: str, n: int) -> str:
     return f"list_distinct(list_transform(range(1, greatest(1, len({w}) - {n - 2})), lambda i: array_to_string(({w})[i : i + {n - 1}], ' ')))"
 
 
-PAIRS = "pairs AS (SELECT a.conv_id, a.turn, substring(a.text, 1, 400) AS draft, substring(CASE WHEN a.turn % 2 = 0 THEN a.text || ' and some more words' ELSE b.text END, 1, 400) AS final FROM conversations a JOIN conversations b ON b.conv_id = a.conv_id AND b.turn = a.turn + 1)"
+PAIRS = "pairs AS (SELECT a.conv_id, a.turn, a.text AS draft, CASE WHEN a.turn % 2 = 0 THEN a.text || ' and some more words' ELSE b.text END AS final FROM conversations a JOIN conversations b ON b.conv_id = a.conv_id AND b.turn = a.turn + 1)"
 
 
 def _pairs(spark: SparkSession, sf: str) -> DataFrame:
     c = domain.read(spark, sf, "conversations")
     after = c.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("next"))
     final = F.when(F.col("turn") % 2 == 0, F.concat("text", F.lit(" and some more words"))).otherwise(F.col("next"))
-    return c.join(after, ["conv_id", "turn"]).select("conv_id", "turn", F.substring("text", 1, 400).alias("draft"), F.substring(final, 1, 400).alias("final"))
+    return c.join(after, ["conv_id", "turn"]).select("conv_id", "turn", F.col("text").alias("draft"), final.alias("final"))
 
 
 @query(
@@ -98,7 +98,7 @@ def t11(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "t17_accepted_mappings",
-    """WITH m AS (SELECT user_id AS form, event_id % 12 AS field, ['email', 'none', 'consent', 'phone', 'cv'][event_id % 5 + 1] AS key, least(1.0, value / 100) AS confidence, event_id AS seq FROM events WHERE user_id < 30)
+    """WITH m AS (SELECT user_id AS form, event_id % 12 AS field, ['email', 'none', 'consent', 'phone', 'cv'][event_id % 5 + 1] AS key, least(1.0, value / 100) AS confidence, event_id AS seq FROM events)
 SELECT form, field, key, least(0.7, confidence) AS score FROM (SELECT *, row_number() OVER (PARTITION BY form, field ORDER BY seq) AS r FROM m WHERE key NOT IN ('none', 'consent', 'marketing') AND confidence >= 0.6) WHERE r = 1""",
 )
 def t17(spark: SparkSession, sf: str) -> DataFrame:
@@ -106,7 +106,7 @@ def t17(spark: SparkSession, sf: str) -> DataFrame:
     from ..operators.reports import earliest
 
     keys = F.array(*map(F.lit, ("email", "none", "consent", "phone", "cv")))
-    m = domain.read(spark, sf, "events").filter("user_id < 30").select(
+    m = domain.read(spark, sf, "events").select(
         F.col("user_id").alias("form"), (F.col("event_id") % 12).alias("field"), F.element_at(keys, (F.col("event_id") % 5 + 1).cast("int")).alias("key"), F.least(F.lit(1.0), F.col("value") / 100).alias("confidence"), F.col("event_id").alias("seq")
     )
     good = m.filter(~F.col("key").isin("none", "consent", "marketing") & (F.col("confidence") >= 0.6))

@@ -25,7 +25,7 @@ def _signals(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFr
     ev = domain.feedback_events(spark, sf)
     judged = F.when(F.col("kind") == "view", F.when(F.col("event_id") % 10 != 0, F.least(F.lit(1.0), F.col("value") / 100)))
     feedback = ev.filter("kind in ('error', 'view')").select("user_id", "job_id", F.when(F.col("kind") == "error", "DISMISSED").otherwise("MODEL_JUDGED").alias("signal"), judged.alias("score"))
-    return domain.favourites(spark, sf), domain.applications(spark, sf).filter("user_id < 150"), feedback
+    return domain.favourites(spark, sf), domain.applications(spark, sf), feedback
 
 
 _WEIGHT = "CASE status " + " ".join(f"WHEN '{s}' THEN {w}" for s, w in STATUS_WEIGHTS.items()) + " ELSE 1.0 END"
@@ -33,7 +33,7 @@ LABELS = (
     with_(EVENT, FAVOURITE, APPLICATION)
     + f""", signals AS (
   SELECT user_id, job_id, 1.0::DOUBLE AS label, 1.0::DOUBLE AS weight, 0 AS kind FROM fav
-  UNION ALL SELECT user_id, job_id, 1.0, {_WEIGHT}, 1 FROM app WHERE user_id < 150 AND job_id IS NOT NULL
+  UNION ALL SELECT user_id, job_id, 1.0, {_WEIGHT}, 1 FROM app WHERE job_id IS NOT NULL
   UNION ALL SELECT user_id, job_id, 0.0, 1.5, 2 FROM ev WHERE kind = 'error'
   UNION ALL SELECT user_id, job_id, least(1.0, value / 100), 0.5, 2 FROM ev WHERE kind = 'view' AND event_id % 10 <> 0),
 labels AS (SELECT user_id, job_id, label, weight FROM signals QUALIFY row_number() OVER (PARTITION BY user_id, job_id ORDER BY weight DESC, kind, label DESC) = 1)
@@ -70,10 +70,10 @@ def r14(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "a10_feature_statistics",
-    f"SELECT CAST(i AS INT) AS place, {six('avg(v)')} AS mean, {six('greatest(1e-6, stddev_pop(v))')} AS std FROM (SELECT unnest(embedding)::DOUBLE AS v, unnest(range(0, len(embedding))) AS i FROM embeddings) WHERE i < 14 GROUP BY i",
+    f"SELECT CAST(i AS INT) AS place, {six('avg(v)')} AS mean, {six('greatest(1e-6, stddev_pop(v))')} AS std FROM (SELECT unnest(embedding)::DOUBLE AS v, unnest(range(0, len(embedding))) AS i FROM embeddings) GROUP BY i",
 )
 def a10(spark: SparkSession, sf: str) -> DataFrame:
-    out = learning.feature_stats(domain.read(spark, sf, "embeddings").select(F.col("embedding").cast("array<double>").alias("features")), 14)
+    out = learning.feature_stats(domain.read(spark, sf, "embeddings").select(F.col("embedding").cast("array<double>").alias("features")), 64)
     return out.select("place", rounded(F.col("mean")).alias("mean"), rounded(F.col("std")).alias("std"))
 
 

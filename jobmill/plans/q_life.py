@@ -182,9 +182,9 @@ def w5(spark: SparkSession, sf: str) -> DataFrame:
     return stateful.in_batch(_outcomes(spark, sf).drop("failed"), stateful.limit_step, stateful.ACCEPTED)
 
 
-@query("o4_unjudged_first_ten", with_(JOB, EVENT) + "SELECT id FROM job WHERE id NOT IN (SELECT job_id FROM ev WHERE kind = 'view' AND user_id < 3) ORDER BY id LIMIT 10")
+@query("o4_unjudged_first_ten", with_(JOB, EVENT) + "SELECT id FROM job WHERE id NOT IN (SELECT job_id FROM ev WHERE kind = 'view' AND user_id = " + str(domain.USER) + ") ORDER BY id LIMIT 10")
 def o4(spark: SparkSession, sf: str) -> DataFrame:
-    judged = domain.feedback_events(spark, sf).filter("kind = 'view' and user_id < 3").select(F.col("job_id").alias("id"))
+    judged = domain.feedback_events(spark, sf).filter((F.col("kind") == "view") & (F.col("user_id") == domain.USER)).select(F.col("job_id").alias("id"))
     return domain.job_postings(spark, sf).join(judged, "id", "left_anti").orderBy("id").limit(10).select("id")
 
 
@@ -271,11 +271,11 @@ def w12(spark: SparkSession, sf: str) -> DataFrame:
     return now.select("user_id", "job_id", F.when(late, "NEEDS_MANUAL").otherwise(F.col("status")).alias("status"))
 
 
-@query("k15_new_samples", "SELECT min(conv_id * 100 + turn) AS first, text FROM (SELECT conv_id, turn, substring(text, 1, 12) AS text FROM conversations) GROUP BY text")
+@query("k15_new_samples", "SELECT min(conv_id * 100 + turn) AS first, md5(text) AS text FROM conversations GROUP BY text")
 def k15(spark: SparkSession, sf: str) -> DataFrame:
     """Samples are kept once a text, the first one."""
-    rows = domain.read(spark, sf, "conversations").select((F.col("conv_id") * 100 + F.col("turn")).alias("first"), F.substring("text", 1, 12).alias("text"))
-    return rows.groupBy("text").agg(F.min("first").alias("first"))
+    rows = domain.read(spark, sf, "conversations").select((F.col("conv_id") * 100 + F.col("turn")).alias("first"), "text")
+    return rows.groupBy("text").agg(F.min("first").alias("first")).select("first", F.md5("text").alias("text"))
 
 
 @query("p18_evidence_files", "SELECT page_id, regexp_extract(url, '[^/]*$') AS name FROM pages WHERE regexp_matches(regexp_extract(url, '[^/]*$'), '^[A-Za-z0-9_.-]+$')")

@@ -53,10 +53,10 @@ def a5(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "a6_sources_in_order",
-    with_(APPLICATION, JOB) + f"SELECT source, CAST(ordinal AS INT) AS ordinal FROM {SOURCE_ROWS} s WHERE source IN (SELECT source FROM job JOIN app ON app.job_id = job.id WHERE app.user_id < 50)",
+    with_(APPLICATION, JOB) + f"SELECT source, CAST(ordinal AS INT) AS ordinal FROM {SOURCE_ROWS} s WHERE source IN (SELECT source FROM job JOIN app ON app.job_id = job.id)",
 )
 def a6(spark: SparkSession, sf: str) -> DataFrame:
-    mine = domain.applications(spark, sf).filter("user_id < 50").select(F.col("job_id").alias("id"))
+    mine = domain.applications(spark, sf).select(F.col("job_id").alias("id"))
     return reports.sources_in_order(domain.job_postings(spark, sf).join(mine, "id", "left_semi"))
 
 
@@ -158,9 +158,9 @@ def j2(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("id", "user_id", "title", "company", "source", "status", moment("created_at"), moment("scheduled_at"))
 
 
-@query("j3_favourited_postings", with_(EVENT, FAVOURITE, JOB) + "SELECT id, title FROM job WHERE id IN (SELECT job_id FROM fav WHERE user_id < 20)")
+@query("j3_favourited_postings", with_(EVENT, FAVOURITE, JOB) + "SELECT id, title FROM job WHERE id IN (SELECT job_id FROM fav)")
 def j3(spark: SparkSession, sf: str) -> DataFrame:
-    return joins.favourited(domain.job_postings(spark, sf), domain.favourites(spark, sf).filter("user_id < 20")).select("id", "title")
+    return joins.favourited(domain.job_postings(spark, sf), domain.favourites(spark, sf)).select("id", "title")
 
 
 @query("j4_unreferenced_postings", with_(EVENT, FAVOURITE, JOB, APPLICATION) + "SELECT id, title FROM job WHERE id NOT IN (SELECT job_id FROM fav) AND id NOT IN (SELECT job_id FROM app WHERE job_id IS NOT NULL)")
@@ -171,7 +171,7 @@ def j4(spark: SparkSession, sf: str) -> DataFrame:
 EARLIER = (
     with_(APPLICATION, JOB)
     + f""", made AS (SELECT a.*, j.group_key FROM app a JOIN job j ON j.id = a.job_id WHERE j.group_key IS NOT NULL AND a.status NOT IN ('REJECTED', 'FAILED') AND a.created_at >= TIMESTAMP '{ORDERS_AS_OF}' - INTERVAL 2000 DAY),
-cand AS (SELECT DISTINCT m.user_id, j.id AS job_id, j.group_key FROM made m JOIN job j ON j.group_key = m.group_key WHERE m.id % 5 = 0 AND j.id % 3 = 0),
+cand AS (SELECT DISTINCT m.user_id, j.id AS job_id, j.group_key FROM made m JOIN job j ON j.group_key = m.group_key),
 ranked AS (SELECT c.user_id, c.job_id, m.id AS application_id, m.status, m.created_at, row_number() OVER (PARTITION BY c.user_id, c.job_id ORDER BY m.created_at, m.id) AS r FROM cand c JOIN made m ON m.user_id = c.user_id AND m.group_key = c.group_key AND m.job_id <> c.job_id),
 earlier AS (SELECT * FROM ranked WHERE r = 1)
 """
@@ -182,8 +182,8 @@ def _candidates(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, Dat
     a, p = domain.applications(spark, sf), domain.job_postings(spark, sf)
     keyed = p.filter("group_key is not null").select("id", "group_key")
     recent = a.filter(~F.col("status").isin("REJECTED", "FAILED") & (F.col("created_at") >= at(ORDERS_AS_OF) - F.make_dt_interval(F.lit(2000))))
-    made = recent.filter("id % 5 = 0").join(keyed.withColumnRenamed("id", "job_id"), "job_id").select("user_id", "group_key")
-    return made.join(keyed.filter("id % 3 = 0"), "group_key").select("user_id", F.col("id").alias("job_id")).distinct(), a, p
+    made = recent.join(keyed.withColumnRenamed("id", "job_id"), "job_id").select("user_id", "group_key")
+    return made.join(keyed, "group_key").select("user_id", F.col("id").alias("job_id")).distinct(), a, p
 
 
 @query("j6_earlier_application_in_group", EARLIER + f"SELECT user_id, job_id, application_id, status, {stamp('created_at')} AS created_at FROM earlier")
@@ -208,12 +208,12 @@ def k7(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "j7_interviews_of_user",
-    with_(APPLICATION, JOB, INTERVIEW) + f"SELECT iv.application_id, job.title, {stamp('iv.scheduled_at')} AS scheduled_at FROM iv JOIN app ON app.id = iv.application_id JOIN job ON job.id = app.job_id WHERE app.user_id < 40",
+    with_(APPLICATION, JOB, INTERVIEW) + f"SELECT app.user_id, iv.application_id, job.title, {stamp('iv.scheduled_at')} AS scheduled_at FROM iv JOIN app ON app.id = iv.application_id JOIN job ON job.id = app.job_id",
 )
 def j7(spark: SparkSession, sf: str) -> DataFrame:
-    mine = domain.applications(spark, sf).filter("user_id < 40").select(F.col("id").alias("application_id"), "job_id")
+    mine = domain.applications(spark, sf).select("user_id", F.col("id").alias("application_id"), "job_id")
     jobs = domain.job_postings(spark, sf).select(F.col("id").alias("job_id"), "title")
-    return domain.interviews(spark, sf).join(mine, "application_id").join(jobs, "job_id").select("application_id", "title", moment("scheduled_at"))
+    return domain.interviews(spark, sf).join(mine, "application_id").join(jobs, "job_id").select("user_id", "application_id", "title", moment("scheduled_at"))
 
 
 LABELS = {"JOBSCZ": "Jobs.cz", "WEB": "Web search", "ATS": "Company careers"}
@@ -241,14 +241,14 @@ def f22(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "j10_obstacles_of_host",
     with_(APPLICATION, JOB)
-    + "SELECT job.source AS host, count(DISTINCT app.id) AS attempts, count(DISTINCT app.id) FILTER (app.id % 4 = 0) AS captchas, count(DISTINCT app.id) FILTER (app.id % 4 = 1) AS logins FROM app JOIN job ON job.id = app.job_id WHERE app.user_id < 100 GROUP BY job.source",
+    + "SELECT job.source AS host, count(DISTINCT app.id) AS attempts, count(DISTINCT app.id) FILTER (app.id % 4 = 0) AS captchas, count(DISTINCT app.id) FILTER (app.id % 4 = 1) AS logins FROM app JOIN job ON job.id = app.job_id GROUP BY job.source",
 )
 def j10(spark: SparkSession, sf: str) -> DataFrame:
     """Attempts by the host of their posting, with obstacles made of the applications' numbers."""
     from ..functions.text import host_of
 
     jobs = domain.job_postings(spark, sf).select(F.col("id").alias("job_id"), host_of("source_url").alias("host"))
-    ran = domain.applications(spark, sf).filter("user_id < 100").join(jobs, "job_id").select("host", F.col("id").alias("application_id"))
+    ran = domain.applications(spark, sf).join(jobs, "job_id").select("host", F.col("id").alias("application_id"))
     met = ran.filter("application_id % 4 < 2").select("application_id", F.when(F.col("application_id") % 4 == 0, "CAPTCHA").otherwise("LOGIN").alias("kind"), "host", F.col("application_id").alias("seq"))
     out = reports.obstacle_summary(ran, met)
     return out.select(F.upper(F.substring_index("host", ".", 1)).alias("host"), "attempts", "captchas", "logins")

@@ -32,12 +32,11 @@ def f3(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "f4_dedupe_half",
-    "SELECT doc_id, CASE WHEN length(x) > 0 AND length(x) % 2 = 0 AND left(x, length(x) // 2) = right(x, length(x) // 2) THEN left(x, length(x) // 2) ELSE x END AS halved FROM (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN left(text, 20) || left(text, 20) WHEN doc_id % 3 = 0 THEN '' ELSE left(text, 31) END AS x FROM documents)",
+    "SELECT doc_id, md5(CASE WHEN length(x) > 0 AND length(x) % 2 = 0 AND left(x, length(x) // 2) = right(x, length(x) // 2) THEN left(x, length(x) // 2) ELSE x END) AS halved FROM (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN text || text WHEN doc_id % 3 = 0 THEN '' ELSE text END AS x FROM documents)",
 )
 def f4(spark: SparkSession, sf: str) -> DataFrame:
-    head = F.substring("text", 1, 20)
-    x = F.when(F.col("doc_id") % 2 == 0, F.concat(head, head)).when(F.col("doc_id") % 3 != 0, F.substring("text", 1, 31))
-    return docs(spark, sf).select("doc_id", t.dedupe_half(x).alias("halved"))
+    x = F.when(F.col("doc_id") % 2 == 0, F.concat("text", "text")).when(F.col("doc_id") % 3 != 0, F.col("text"))
+    return docs(spark, sf).select("doc_id", F.md5(t.dedupe_half(x)).alias("halved"))
 
 
 URLS = [
