@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .dictionaries import CITIES, CURRENCIES, CURRENCY_TOKENS, HYBRID, MONTHS, ONSITE, PERIODS, REMOTE, SENIORITY, SKILLS
-from .text import canonical_url, clean_text, col, contact_email, dedupe_half, emails_in_text, js_trim, normalize_text, text_or_empty
+from .text import canonical_url, clean_text, col, contact_email, dedupe_half, emails_in_text, js_trim, normalize_text, normalized, text_or_empty
 
 
 def first_rule(c: Column, rules: tuple[tuple[str, str], ...], wrap: str = "{}") -> Column:
@@ -85,6 +85,12 @@ def detect_city(c: Column | str) -> Column:
     return F.get(names_in(text_or_empty(c), CITIES), F.lit(0))
 
 
+def city_in(text: str) -> str | None:
+    """detect_city of a value that is known before a plan is made."""
+    padded = f" {normalized(text)} "
+    return next((name for name, spellings in CITIES if any(f" {s} " in padded for s in spellings)), None)
+
+
 def work_type(declared: Column | str, title: Column | str, location: Column | str) -> Column:
     """Remote, Hybrid or Onsite as declared, else Hybrid or Remote as location and title hint; null if neither says."""
     said = normalize_text(text_or_empty(declared))

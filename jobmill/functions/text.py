@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 from pyspark.sql import Column
@@ -99,6 +100,21 @@ def job_key(company: Column | str, title: Column | str, city: Column | str) -> C
     return F.concat_ws("|", *(normalize_text(text_or_empty(c)) for c in (company, title, city)))
 
 
+def normalized(text: str) -> str:
+    """normalize_text of a value that is known before a plan is made."""
+    folded = re.sub("[\u0300-\u036f]", "", text.translate(str.maketrans(_MARKED, _BARE))).lower()
+    return re.sub("[^a-z0-9]+", " ", folded).strip(" ")
+
+
+def token_list(text: str) -> list[str]:
+    """tokens of a value that is known before a plan is made."""
+    return list(dict.fromkeys(w for w in normalized(text).split(" ") if len(w) >= 2 and w not in STOPWORDS))
+
+
+def string_array(values: list[str] | tuple[str, ...]) -> Column:
+    return F.array(*map(F.lit, values)).cast("array<string>")
+
+
 def tokens(c: Column | str) -> Column:
     """Distinct words of two letters or more that are no stop-words, in order."""
     words = F.split(normalize_text(text_or_empty(c)), " ")

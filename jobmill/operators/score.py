@@ -8,9 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.dictionaries import FOREIGN_COUNTRIES, LEVELS, PROFILE_SHARE, THRESHOLD, WEIGHTS
-from ..functions.fields import detect_city, parse_salary, seniority, skills, work_type
+from ..functions.fields import city_in, detect_city, let, parse_salary, seniority, skills, work_type
 from ..functions.intents import Intent, lookup_intent
-from ..functions.text import clean_text, dedupe_half, js_round, js_trim, normalize_text, text_or_empty, tokens
+from ..functions.text import clean_text, dedupe_half, js_round, js_trim, normalize_text, normalized, string_array, text_or_empty, token_list, tokens
 
 
 @dataclass(frozen=True)
@@ -43,29 +43,36 @@ def _part(value: Column | float, reason: Column | str | None = None, multiplier:
 
 
 def _norm(text: str) -> Column:
-    return normalize_text(F.lit(text))
+    return F.lit(normalized(text))
 
 
 def _title(req: Request, title: Column) -> Column:
-    query = _norm(req.query)
-    out = F.when((query != "") & F.contains(title, query), _part(1.0, f'Title matches "{req.query.strip()}"'))
+    query = normalized(req.query)
+    out = F.when(F.lit(query != "") & F.contains(title, F.lit(query)), _part(1.0, f'Title matches "{req.query.strip()}"'))
     for wanted in req.meant().included_titles:
         out = out.when(F.contains(title, _norm(wanted)), _part(0.9, f'Title matches "{wanted}"'))
-    words = tokens(F.lit(req.query))
-    found = F.filter(words, lambda w: F.contains(title, w))
-    share = 0.7 * (F.size(found) / F.size(words))
-    return out.when(F.size(found) > 0, _part(share, F.concat(F.lit("Title mentions "), F.array_join(found, ", ")))).otherwise(_part(0.0))
+    words = token_list(req.query)
+
+    def mentioned(found: Column) -> Column:
+        share = 0.7 * (F.size(found) / max(1, len(words)))
+        return F.when(F.size(found) > 0, _part(share, F.concat(F.lit("Title mentions "), F.array_join(found, ", ")))).otherwise(_part(0.0))
+
+    return out.otherwise(let(F.filter(string_array(words), lambda w: F.contains(title, w)), mentioned))
 
 
 def _keywords(req: Request, title: Column, description: Column, found_skills: Column) -> Column:
     intent = req.meant()
-    vocabulary = F.array_union(F.array_union(tokens(F.lit(intent.canonical_text)), tokens(F.lit(intent.scraping_keyword))), tokens(F.lit(req.query)))
+    vocabulary = list(dict.fromkeys(w for text in (intent.canonical_text, intent.scraping_keyword, req.query) for w in token_list(text)))
+    if not vocabulary:
+        return _part(0.0)
     own = tokens(F.concat_ws(" ", title, description, F.array_join(found_skills, " ")))
-    hits = F.array_intersect(vocabulary, own)
-    n = F.size(hits)
-    value = F.when(F.size(vocabulary) == 0, 0.0).otherwise(F.least(F.lit(1.0), n / F.least(F.size(vocabulary), F.lit(10))))
-    reason = F.concat(n.cast("string"), F.when(n == 1, " matching keyword (").otherwise(" matching keywords ("), F.array_join(F.slice(hits, 1, 4), ", "), F.lit(")"))
-    return _part(value, F.when(n > 0, reason))
+
+    def matched(hits: Column) -> Column:
+        n = F.size(hits)
+        reason = F.concat(n.cast("string"), F.when(n == 1, " matching keyword (").otherwise(" matching keywords ("), F.array_join(F.slice(hits, 1, 4), ", "), F.lit(")"))
+        return _part(F.least(F.lit(1.0), n / min(len(vocabulary), 10)), F.when(n > 0, reason))
+
+    return let(F.array_intersect(string_array(vocabulary), own), matched)
 
 
 def _location(req: Request, location: Column, city: Column, remote: Column) -> Column:
@@ -75,15 +82,15 @@ def _location(req: Request, location: Column, city: Column, remote: Column) -> C
     out = F.when(remote & city.isNull() & abroad, _part(0.6, "Remote, employer abroad"))
     if not wanted_text:
         return out.when(remote, _part(1.0, "Remote")).when(city.isNull(), _part(0.5)).otherwise(_part(0.7, city))
-    wanted = F.coalesce(detect_city(F.lit(req.city)), F.lit(wanted_text))
+    wanted = city_in(req.city) or wanted_text
     there = normalize_text(location)
-    elsewhere = (there != "") & ~F.rlike(there, F.lit("remote|home ?office|vzdalen|z domova")) & ~F.contains(there, normalize_text(wanted))
-    say = lambda place: F.concat(F.lit("Located in "), place, F.lit(", not "), wanted)
+    elsewhere = (there != "") & ~F.rlike(there, F.lit("remote|home ?office|vzdalen|z domova")) & ~F.contains(there, _norm(wanted))
+    say = lambda place: F.concat(F.lit("Located in "), place, F.lit(f", not {wanted}"))
     return (
         out.when(remote, _part(0.8, "Remote"))
         .when(city.isNull() & elsewhere, _part(0.2, say(js_trim(location)), 0.5))
         .when(city.isNull(), _part(0.5))
-        .when(normalize_text(city) == normalize_text(wanted), _part(1.0, city))
+        .when(normalize_text(city) == _norm(wanted), _part(1.0, city))
         .otherwise(_part(0.2, say(city), 0.5))
     )
 
@@ -121,12 +128,15 @@ def _salary(req: Request, pay: Column) -> Column:
 
 
 def _profile(profile: Profile, title: Column, found_skills: Column) -> tuple[Column, Column]:
-    wanted = F.array_distinct(F.array(*map(_norm, profile.skills))) if profile.skills else F.array().cast("array<string>")
-    shared = F.filter(found_skills, lambda s: F.array_contains(wanted, normalize_text(s)))
-    n = F.size(shared)
-    value = F.when(F.size(wanted) == 0, 0.0).otherwise(F.least(F.lit(1.0), n / F.least(F.size(wanted), F.lit(6))))
-    more = F.when(n > 3, F.concat(F.lit(" +"), n - 3)).otherwise("")
-    fit = _part(value, F.when(n > 0, F.concat(F.lit("Matches your CV skills ("), F.array_join(F.slice(shared, 1, 3), ", "), more, F.lit(")"))))
+    wanted = list(dict.fromkeys(map(normalized, profile.skills)))
+
+    def matched(shared: Column) -> Column:
+        n = F.size(shared)
+        more = F.when(n > 3, F.concat(F.lit(" +"), n - 3)).otherwise("")
+        value = F.least(F.lit(1.0), n / max(1, min(len(wanted), 6)))
+        return _part(value, F.when(n > 0, F.concat(F.lit("Matches your CV skills ("), F.array_join(F.slice(shared, 1, 3), ", "), more, F.lit(")"))))
+
+    fit = let(F.filter(found_skills, lambda s: F.array_contains(string_array(wanted), normalize_text(s))), matched)
     named = F.lit(False)
     for wanted_title in profile.titles:
         named = named | F.contains(title, _norm(wanted_title))
