@@ -60,15 +60,18 @@ def test_claims(spark):
     assert {r.id: r.found for r in out.collect()} == {k: c[5] for k, c in enumerate(cases)}
 
 
-def _fields(labels):
-    return [(1, k, "input", "text", label, "", "", "", "", "", False, True, []) for k, label in enumerate(labels)]
+def _fields(labels, kinds=()):
+    """Fields of one form; `kinds` names those that are no text inputs by their place."""
+    of = dict(kinds)
+    return [(1, k, *of.get(k, ("input", "text")), label, "", "", "", "", "", of.get(k, ("", ""))[1] == "checkbox", True, []) for k, label in enumerate(labels)]
 
 
 def test_every_phrase_of_every_rule_alone_names_its_field(spark):
     """A label that is a rule's phrase and nothing else belongs to that rule, unless another rule has it too or excludes it."""
-    said = [(p, key) for key, kinds in forms.RULES.items() for kind in ("strong", "phrase") for p in kinds.get(kind, ())]
+    said = [(p, key) for key, kinds in forms.RULES.items() for k in ("strong", "phrase") for p in kinds.get(k, ())]
     assert sum(len(p) for kinds in forms.RULES.values() for kind, p in kinds.items() if kind != "autocomplete") == 247
-    table = spark.createDataFrame(_fields([p for p, _ in said]), forms.FIELD)
+    kind = {"consent": ("input", "checkbox"), "marketing": ("input", "checkbox"), "cv": ("input", "file"), "coverLetter": ("textarea", "textarea"), "message": ("textarea", "textarea")}
+    table = spark.createDataFrame(_fields([p for p, _ in said], {k: kind[key] for k, (_, key) in enumerate(said) if key in kind}), forms.FIELD)
     got = {r.pos: r.key for r in forms.classified(table, forms.rule_table(spark)).select("pos", "key").collect()}
     excluded = {p: set(kinds.get("exclude", ())) for p, kinds in ((key, forms.RULES[key]) for key in forms.RULES)}
     for k, (phrase, key) in enumerate(said):
