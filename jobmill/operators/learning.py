@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -81,27 +83,50 @@ def _lcg(seed: int):
         yield state / 2**32
 
 
-def train_ranker(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> dict[str, list] | None:
-    """A network of HIDDEN tanh units and a sigmoid, by weighted gradient steps row after row; None where there is too little to learn from."""
-    n, positives = len(y), int((y >= 0.5).sum())
-    if n < LEAST or positives < LEAST_OF_A_CLASS or n - positives < LEAST_OF_A_CLASS:
-        return None
-    mean, std = x.mean(axis=0), np.maximum(FLOOR, x.std(axis=0))
-    z = (x - mean) / std
+def train_rankers(users: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> list[dict[str, list] | None]:
+    """A network of HIDDEN tanh units and a sigmoid for each user's (features, labels, weights), by weighted gradient steps row after row; None where there is too little to learn from.
+
+    Steps of one user follow each other, so users take theirs side by side: longer histories first, and a user stops when the rows of an epoch are through.
+    """
+    made: list[dict[str, list] | None] = [None] * len(users)
+    counts = [(len(y), int((y >= 0.5).sum())) for _, y, _ in users]
+    able = [k for k, (n, p) in enumerate(counts) if n >= LEAST and p >= LEAST_OF_A_CLASS and n - p >= LEAST_OF_A_CLASS]
+    able.sort(key=lambda k: -counts[k][0])
+    if not able:
+        return made
+    sizes = np.array([counts[k][0] for k in able])
+    width = users[able[0]][0].shape[1]
+    means = [users[k][0].mean(axis=0) for k in able]
+    stds = [np.maximum(FLOOR, users[k][0].std(axis=0)) for k in able]
+    z, y, scale = np.zeros((len(able), sizes[0], width)), np.zeros((len(able), sizes[0])), np.zeros((len(able), sizes[0]))
+    for u, k in enumerate(able):
+        x, label, weight = users[k]
+        z[u, : len(x)], y[u, : len(x)], scale[u, : len(x)] = (x - means[u]) / stds[u], label, weight * len(label) / weight.sum()
     draw = _lcg(SEED)
-    hidden = np.array([[(next(draw) - 0.5) * 0.5 for _ in range(x.shape[1])] for _ in range(HIDDEN)])
-    bias, out, shift = np.zeros(HIDDEN), np.array([(next(draw) - 0.5) * 0.5 for _ in range(HIDDEN)]), 0.0
-    scale = weight * n / weight.sum()
+    first = np.array([[(next(draw) - 0.5) * 0.5 for _ in range(width)] for _ in range(HIDDEN)])
+    last = np.array([(next(draw) - 0.5) * 0.5 for _ in range(HIDDEN)])
+    hidden, out = np.tile(first, (len(able), 1, 1)), np.tile(last, (len(able), 1))
+    bias, shift = np.zeros((len(able), HIDDEN)), np.zeros(len(able))
+    active = [int((sizes > r).sum()) for r in range(sizes[0])]
     for _ in range(EPOCHS):
-        for row, label, w in zip(z, y, scale, strict=True):
-            h = np.tanh(hidden @ row + bias)
-            g = (1 / (1 + np.exp(-(h @ out + shift))) - label) * w
-            back = g * out * (1 - h * h)
-            out = out - RATE * (g * h + DECAY * out)
-            hidden = hidden - RATE * (np.outer(back, row) + DECAY * hidden)
-            bias = bias - RATE * back
-            shift -= RATE * g
-    return {"mean": mean.tolist(), "std": std.tolist(), "hidden": hidden.tolist(), "bias": bias.tolist(), "out": out.tolist(), "shift": float(shift), "samples": n, "positives": positives}
+        for r, u in enumerate(active):
+            row = z[:u, r]
+            h = np.tanh((hidden[:u] @ row[:, :, None])[:, :, 0] + bias[:u])
+            g = (1 / (1 + np.exp(-((h * out[:u]).sum(axis=1) + shift[:u]))) - y[:u, r]) * scale[:u, r]
+            back = g[:, None] * out[:u] * (1 - h * h)
+            out[:u] -= RATE * (g[:, None] * h + DECAY * out[:u])
+            hidden[:u] -= RATE * (back[:, :, None] * row[:, None, :] + DECAY * hidden[:u])
+            bias[:u] -= RATE * back
+            shift[:u] -= RATE * g
+    for u, k in enumerate(able):
+        parts = {"mean": means[u], "std": stds[u], "hidden": hidden[u], "bias": bias[u], "out": out[u]}
+        made[k] = {name: a.tolist() for name, a in parts.items()} | {"shift": float(shift[u]), "samples": counts[k][0], "positives": counts[k][1]}
+    return made
+
+
+def train_ranker(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> dict[str, list] | None:
+    """train_rankers for one user."""
+    return train_rankers([(x, y, weight)])[0]
 
 
 MODEL = "mean array<double>, std array<double>, hidden array<array<double>>, bias array<double>, out array<double>, shift double, samples long, positives long"
@@ -110,12 +135,14 @@ MODEL = "mean array<double>, std array<double>, hidden array<array<double>>, bia
 def rankers(samples: DataFrame) -> DataFrame:
     """A model for each user with enough samples (user_id, job_id, kind of order, features, label, weight), in the order of job_id."""
 
-    def fit(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("job_id")
-        made = train_ranker(np.stack(rows["features"]), rows["label"].to_numpy(float), rows["weight"].to_numpy(float))
-        return pd.DataFrame([{"user_id": rows["user_id"].iloc[0], **made}] if made else [], columns=["user_id", *_FIELDS])
+    def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            users = [(np.array([r["features"] for r in own], dtype=float), np.array([r["label"] for r in own], dtype=float), np.array([r["weight"] for r in own], dtype=float)) for own in rows["rows"]]
+            made = [{"user_id": user, **m} for user, m in zip(rows["user_id"], train_rankers(users), strict=True) if m]
+            yield pd.DataFrame(made, columns=["user_id", *_FIELDS])
 
-    return samples.select("user_id", "job_id", "features", "label", "weight").groupBy("user_id").applyInPandas(fit, f"user_id long, {MODEL}")
+    row = F.struct("job_id", "features", "label", "weight")
+    return samples.groupBy("user_id").agg(F.array_sort(F.collect_list(row)).alias("rows")).mapInPandas(fit, f"user_id long, {MODEL}")
 
 
 _FIELDS = ["mean", "std", "hidden", "bias", "out", "shift", "samples", "positives"]

@@ -25,6 +25,33 @@ def test_ranker_learns_what_is_liked():
     assert (fit[y == 1] > 0.8).all() and (fit[y == 0] < 0.2).all()
 
 
+def test_users_side_by_side_learn_as_alone():
+    """Also against the steps written out row by row."""
+    users = [samples(n) for n in (20, 7, 9, 33)]
+    together = learning.train_rankers(users)
+    assert together[1] is None
+    for (x, y, w), model in zip(users, together, strict=True):
+        alone = learning.train_ranker(x, y, w)
+        assert (alone is None) == (model is None)
+        if model:
+            for name in ("mean", "std", "hidden", "bias", "out", "shift"):
+                assert np.allclose(model[name], alone[name], rtol=0, atol=1e-9)
+    x, y, w = users[0]
+    z = (x - x.mean(axis=0)) / x.std(axis=0)
+    draw = learning._lcg(learning.SEED)
+    hidden = np.array([[(next(draw) - 0.5) * 0.5 for _ in range(14)] for _ in range(learning.HIDDEN)])
+    out, bias, shift = np.array([(next(draw) - 0.5) * 0.5 for _ in range(learning.HIDDEN)]), np.zeros(learning.HIDDEN), 0.0
+    for _ in range(learning.EPOCHS):
+        for row, label in zip(z, y, strict=True):
+            h = np.tanh(hidden @ row + bias)
+            g = 1 / (1 + np.exp(-(h @ out + shift))) - label
+            back = g * out * (1 - h * h)
+            out = out - learning.RATE * (g * h + learning.DECAY * out)
+            hidden = hidden - learning.RATE * (np.outer(back, row) + learning.DECAY * hidden)
+            bias, shift = bias - learning.RATE * back, shift - learning.RATE * g
+    assert np.allclose(hidden, together[0]["hidden"], atol=1e-6) and np.allclose(out, together[0]["out"], atol=1e-6)
+
+
 @pytest.mark.parametrize("n,positives", [(7, 4), (12, 2), (12, 10)])
 def test_too_little_to_learn_from(n, positives):
     x, _, w = samples(n)
