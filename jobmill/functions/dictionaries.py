@@ -108,6 +108,19 @@ SENIORITY = (
     ("junior", ("junior", "jr", "graduate", "absolvent", "trainee", "intern")),
     ("mid", ("medior", "mid", "middle", "intermediate")),
 )
+#: Lines of a CV that name a job, lines that don't, what follows a title in its line, a wish to work from home, spoken languages in folded text.
+TITLE_WORDS = r"(?iu)developer|engineer|vývojář|programátor|analyst|analytik|manager|manažer|designer|tester|architect|architekt|lead|consultant|konzultant|administrator|specialist|specialista|scientist|devops"
+NOT_A_TITLE = r"@|https?:|•|^[-–—*]"
+TITLE_TRAILER = r"\s+[—–-]\s+.*$|\s*\(.*\)\s*$"
+REMOTE_WISH = r"(^| )(remote|home ?office|vzdalen\w*|z domova)( |$)"
+LANGUAGES = (
+    ("English", ("english", "anglictina", "anglicky")),
+    ("Czech", ("czech", "cestina", "cesky")),
+    ("Slovak", ("slovak", "slovenstina", "slovensky")),
+    ("German", ("german", "nemcina", "nemecky", "deutsch")),
+    ("French", ("french", "francouzstina")),
+    ("Spanish", ("spanish", "spanelstina")),
+)
 LEVELS = {"junior": "junior", "mid": "mid", "medior": "mid", "senior": "senior", "lead": "lead"}
 
 #: Words of folded work types.

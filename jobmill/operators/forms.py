@@ -54,6 +54,20 @@ def rule_table(spark: SparkSession, rules: dict[str, dict[str, tuple[str, ...]]]
     return spark.createDataFrame(rows, "phrase string, key string, ordinal int, kind string")
 
 
+def relocated(old: DataFrame, new: DataFrame) -> DataFrame:
+    """old (form, pos, frame, tag, type, name, label, placeholder, aria_label) with `now`: the first field of a new scan that is the same one, else null.
+
+    The same frame, tag and type, and then the same name where both have one, else the same label, placeholder and aria_label; nulls are
+    equal to nulls. The new scan is folded by identity first, so a field meets two rows at most, however many look alike.
+    """
+    kind, says = F.struct("form", "frame", "tag", "type"), F.struct("label", "placeholder", "aria_label")
+    named = text_or_empty("name") != ""
+    by_name = new.filter(named).groupBy(kind.alias("kind"), "name").agg(F.min("pos").alias("of_name"))
+    by_label = new.groupBy(kind.alias("kind"), says.alias("says")).agg(F.min("pos").alias("of_any"), F.min(F.when(~named, F.col("pos"))).alias("of_unnamed"))
+    out = old.withColumn("kind", kind).withColumn("says", says).join(by_name, ["kind", "name"], "left").join(by_label, ["kind", "says"], "left")
+    return out.withColumn("now", F.when(named, F.least("of_name", "of_unnamed")).otherwise(F.col("of_any"))).select(*old.columns, "now")
+
+
 def checkable() -> Column:
     return (F.col("tag") == "input") & F.col("type").isin("checkbox", "radio")
 

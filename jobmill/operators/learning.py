@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -34,6 +34,34 @@ def labels(favourites: DataFrame, applications: DataFrame, feedback: DataFrame)
     return a.union(b).union(c).groupBy("user_id", "job_id").agg(best.alias("best")).select("user_id", "job_id", "best.*")
 
 
+BATCH = 16
+
+
+def missing_vectors(texts: DataFrame, cache: DataFrame, model: str) -> DataFrame:
+    """The texts (id, ...) that have no vector of this model in the cache (id, model, ...)."""
+    return texts.join(cache.filter(F.col("model") == model).select("id"), "id", "left_anti")
+
+
+def embedded(texts: DataFrame, embed: Callable[[list[str]], list[list[float]]], batch: int = BATCH) -> DataFrame:
+    """(id, vector) of texts (id, text), `batch` texts to a call of the model.
+
+    A call that fails leaves its texts and those behind it in the same task without a row; they are missing in the cache still, so the
+    next run asks again. A null text is embedded as an empty one.
+    """
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for start in range(0, len(frame), batch):
+                part = frame.iloc[start : start + batch]
+                try:
+                    vectors = embed([t or "" for t in part["text"]])
+                except Exception:  # noqa: BLE001 - the model is the caller's, any failure of it means later
+                    return
+                yield pd.DataFrame({"id": part["id"].to_numpy(), "vector": [list(map(float, v)) for v in vectors]})
+
+    return texts.select(F.col("id").cast("long").alias("id"), "text").mapInPandas(run, "id long, vector array<double>")
+
+
 def trainable(samples: DataFrame) -> DataFrame:
     """(user_id, samples, positives, trainable) of labelled rows."""
     out = samples.groupBy("user_id").agg(F.count("*").alias("samples"), F.count_if(F.col("label") >= 0.5).alias("positives"))

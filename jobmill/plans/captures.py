@@ -84,3 +84,43 @@ CARDS = [
     ("cocuma", """<a href="/job/mapy" title="Z titulku"><b class="job-thumbnail-company">Mapová dílna</b><b class="job-thumbnail-work-shedule">Zkrácený</b></a><a href="/jobs">Všechny</a>"""),
     ("jobscz", """<article class="SearchResultCard"><a data-jobad-id="5" href="https://www.jobs.cz/rpd/5/">Kartograf</a><i class="x_salary">60 000 Kč</i><div class="SearchResultCard__logo"><img alt="Mapová dílna"></div><footer><ul><li>Něco</li><li>Ostrava a okolí</li></ul></footer></article><article class="SearchResultCard">Bez odkazu</article>"""),
 ]
+
+_LONG = " ".join(["Kreslíme mapy měst, lesů a vod pro každého, kdo chodí pěšky."] * 4)
+#: (url, board, title, company, location, page as served, page as rendered): descriptions at each place where they can stand.
+DETAILS_OF = [
+    ("u1", "jobscz", "Kartograf", "Kóty", "Opava", f"""<html><head><meta name="description" content="Krátce"></head><body><div class="cp-detail__content"><p>Úvod</p><p>{_LONG}</p></div><p>Pište na lide@koty.example</p></body></html>""", None),
+    ("u2", "jobscz", "Kartograf", "Kóty", "Opava", f"""<body><div class="cp-detail__content">Málo</div><section data-jobad="body"><ul><li>první</li><li>{_LONG}</li></ul></section></body>""", None),
+    ("u3", "jobscz", "Kartograf", "Kóty", "Opava", f"""<body><div id="vacancy-detail"><script>x()</script>{_LONG}</div></body>""", None),
+    ("u4", "jobscz", "Kartograf", "Kóty", "Opava", "<body>Nic</body>", f"""<body><div class="RichContent big">{_LONG}</div><a href="mailto:nabor@koty.example">napište</a></body>"""),
+    ("u5", "jobscz", "Kartograf", "Kóty", "Opava", """<meta property="og:description" content=" Mapy pro pěší "><meta name="description" content="Jiné">""", None),
+    ("u6", "jobscz", "Kartograf", None, "Opava", None, None),
+    ("u7", "jobscz", "Kartograf", "Kóty", "", "<body>Nic</body>", "<body><main>Jen pár slov</main></body>"),
+    ("u8", "cocuma", "Z karty", "Kóty", "Opava", f"""<body><h1> Kartograf  II </h1><div class="company-profile-component">{_LONG}</div><div class="company-profile-component">krátké</div></body>""", None),
+    ("u9", "cocuma", "Z karty", "Kóty", "Opava", "<body><p>Celá stránka</p></body>", None),
+]
+
+
+def _thumbnails(page: int, names: list[tuple[str, str]], links: int) -> str:
+    """A page of cards (address, title) with so many links in all."""
+    cards = "".join(f'<a href="/job/{u}"><b class="job-thumbnail-title">{t}</b></a>' for u, t in names)
+    return f"<main>{cards}{''.join(f'<a href=\"/job/x{page}-{k}\"></a>' for k in range(links - len(names)))}</main>"
+
+
+#: (search, page, html): the first search ends at its second page, which is not full; the second one has full pages and one that is lost.
+BROWSED = [
+    (1, 1, _thumbnails(1, [("a", "Svelte Developer"), ("b", "Kuchař"), ("c", "Senior Svelte Engineer")], 10)),
+    (1, 2, _thumbnails(2, [("a", "Svelte Developer again"), ("d", "Svelte Lead")], 9)),
+    (1, 3, _thumbnails(3, [("e", "Svelte Tester")], 12)),
+    (2, 1, _thumbnails(1, [("f", "Svelte Developer")], 11)),
+    (2, 2, _thumbnails(2, [("f", "Svelte Developer")], 10)),
+    (3, 1, None),
+]
+_POSITIONS = '<section class="q_job_1"><a href="/jobs/7">Svelte Developer</a></section><a href="/jobs/8">Kuchař</a>'
+#: (search, rank, allowed, html): the page of the skill, then the page of the role.
+TWO_PAGES = [
+    (1, 0, True, _POSITIONS), (1, 1, True, _POSITIONS.replace("/jobs/7", "/jobs/9")),
+    (2, 0, True, "<main>nic</main>"), (2, 1, True, _POSITIONS),
+    (3, 0, False, None), (3, 1, True, _POSITIONS),
+    (4, 0, True, '<a href="/jobs/8">Kuchař</a>'), (4, 1, None, _POSITIONS),
+    (5, 0, True, None), (5, 1, True, None),
+]

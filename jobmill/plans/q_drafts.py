@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import drafts
+from ..operators import drafts, forms
 from ..sources import domain
 from .registry import literal, query, values
 
@@ -113,13 +113,35 @@ def t17(spark: SparkSession, sf: str) -> DataFrame:
     return earliest(good, ["form", "field"], [F.col("seq")]).select("form", "field", "key", F.least(F.lit(0.7), "confidence").alias("score"))
 
 
-@query("t16_t18_first_submit_button", "SELECT user_id AS form, arg_min(event_id, CASE WHEN event_type = 'purchase' THEN 0 ELSE 1 END * 1000000000 + event_id) AS button FROM events GROUP BY user_id")
+@query("t16_first_submit_button", "SELECT user_id AS form, arg_min(event_id, CASE WHEN event_type = 'purchase' THEN 0 ELSE 1 END * 1000000000 + event_id) AS button FROM events GROUP BY user_id")
 def t16(spark: SparkSession, sf: str) -> DataFrame:
     """The first submit button of a form, else its first button."""
     order = F.struct(F.when(F.col("event_type") == "purchase", 0).otherwise(1), "event_id")
     return domain.read(spark, sf, "events").groupBy(F.col("user_id").alias("form")).agg(F.min_by("event_id", order).alias("button"))
 
 
+SCAN = """f AS (SELECT user_id AS form, event_id AS pos, event_id % 2 AS frame, event_type AS tag, CASE event_id % 3 WHEN 0 THEN 'text' WHEN 1 THEN 'email' END AS type, CASE event_id % 4 WHEN 1 THEN '' WHEN 2 THEN 'n' || event_id % 5 WHEN 3 THEN 'n' || event_id % 7 END AS name,
+  CASE WHEN event_id % 5 > 0 THEN 'l' || event_id % 4 END AS label, CASE WHEN event_id % 7 > 3 THEN 'p' END AS placeholder, CAST(NULL AS VARCHAR) AS aria_label FROM events)"""
+
+
+@query(
+    "t18_fields_across_scans",
+    f"""WITH {SCAN}, g AS (SELECT * FROM f WHERE pos % 7 <> 0)
+SELECT f.form, f.pos, min(g.pos) AS now FROM f LEFT JOIN g ON g.form = f.form AND g.frame = f.frame AND g.tag IS NOT DISTINCT FROM f.tag AND g.type IS NOT DISTINCT FROM f.type
+  AND CASE WHEN coalesce(f.name, '') <> '' AND coalesce(g.name, '') <> '' THEN f.name = g.name ELSE f.label IS NOT DISTINCT FROM g.label AND f.placeholder IS NOT DISTINCT FROM g.placeholder AND f.aria_label IS NOT DISTINCT FROM g.aria_label END
+GROUP BY f.form, f.pos""",
+)
+def t18(spark: SparkSession, sf: str) -> DataFrame:
+    """Where the fields of a form are after it was read again, with every seventh one gone."""
+    id_ = F.col("event_id")
+    name = F.when(id_ % 4 == 1, "").when(id_ % 4 == 2, F.concat(F.lit("n"), id_ % 5)).when(id_ % 4 == 3, F.concat(F.lit("n"), id_ % 7))
+    scan = domain.read(spark, sf, "events").select(
+        F.col("user_id").alias("form"), id_.alias("pos"), (id_ % 2).alias("frame"), F.col("event_type").alias("tag"), F.when(id_ % 3 == 0, "text").when(id_ % 3 == 1, "email").alias("type"), name.alias("name"),
+        F.when(id_ % 5 > 0, F.concat(F.lit("l"), id_ % 4)).alias("label"), F.when(id_ % 7 > 3, "p").alias("placeholder"), F.lit(None).cast("string").alias("aria_label"),
+    )
+    return forms.relocated(scan, scan.filter("pos % 7 <> 0")).select("form", "pos", "now")
+
+
 @query(
     "t15_t19_page_states",
     values("id INT, left_login BOOLEAN, blocked BOOLEAN", [(1, True, False), (2, False, True), (3, False, False), (4, False, True)]),
@@ -197,8 +219,6 @@ PROFILE = {"fullName": "Jana Nováková", "firstName": "Jana", "lastName": "Nov
 
 
 def _forms(spark: SparkSession) -> DataFrame:
-    from ..operators import forms
-
     return forms.classified(literal(spark, forms.FIELD, [f for f, _ in FIELDS]), forms.rule_table(spark))
 
 
@@ -219,13 +239,9 @@ def t12(spark: SparkSession, sf: str) -> DataFrame:
     ),
 )
 def t13(spark: SparkSession, sf: str) -> DataFrame:
-    from ..operators import forms
-
     return forms.plan(_forms(spark), PROFILE)[0].select("form", "pos", "key", "value", "state")
 
 
 @query("t13_form_confidence", values("form BIGINT, fills BIGINT, unmatched BIGINT, missing BIGINT, good BOOLEAN", [(1, 5, 0, 0, True), (2, 6, 1, 0, True)]))
 def t13_form(spark: SparkSession, sf: str) -> DataFrame:
-    from ..operators import forms
-
     return forms.plan(_forms(spark), PROFILE)[1].select("form", "fills", "unmatched", "missing", F.col("confidence").between(0.9, 1.0).alias("good"))

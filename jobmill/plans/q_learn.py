@@ -139,15 +139,25 @@ def r15(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("vec_id", rounded(F.col("fit")).alias("fit"), mixed.alias("blended"), reason.alias("reason"))
 
 
-@query(
-    "r12_embedding_text",
-    "SELECT p_partkey AS id, md5(substring(p_name || chr(10) || p_brand || chr(10) || p_type, 1, 1500)) AS digest FROM part WHERE p_partkey % 4 <> 0",
-)
+_PART_TEXT = "substring(p_name || chr(10) || p_brand || chr(10) || p_type, 1, 1500)"
+
+
+def _missing_texts(spark: SparkSession, sf: str) -> DataFrame:
+    parts = domain.read(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.substring(F.concat_ws("\n", "p_name", "p_brand", "p_type"), 1, 1500).alias("text"))
+    cache = parts.select("id", F.when(F.col("id") % 4 == 0, "model-a").otherwise("model-b").alias("model"))
+    return learning.missing_vectors(parts, cache, "model-a")
+
+
+@query("r12_embedding_text", f"SELECT p_partkey AS id, md5({_PART_TEXT}) AS digest FROM part WHERE p_partkey % 4 <> 0")
 def r12(spark: SparkSession, sf: str) -> DataFrame:
     """Texts still to be embedded: those that the cache of this model (every fourth part) lacks."""
-    parts = domain.read(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.md5(F.substring(F.concat_ws("\n", "p_name", "p_brand", "p_type"), 1, 1500)).alias("digest"))
-    cache = parts.filter("id % 4 = 0").select("id", F.lit("model-a").alias("model"))
-    return parts.join(cache.filter("model = 'model-a'").select("id"), "id", "left_anti")
+    return _missing_texts(spark, sf).select("id", F.md5("text").alias("digest"))
+
+
+@query("r12_embedded_texts", f"SELECT p_partkey AS id, [CAST(length({_PART_TEXT}) AS DOUBLE), CAST(len(string_split({_PART_TEXT}, ' ')) AS DOUBLE)] AS vector FROM part WHERE p_partkey % 4 <> 0")
+def r12_vectors(spark: SparkSession, sf: str) -> DataFrame:
+    """Vectors of the missing texts, sixteen to a call, of a stand-in model that counts characters and words."""
+    return learning.embedded(_missing_texts(spark, sf), lambda texts: [[len(t), len(t.split(" "))] for t in texts])
 
 
 @query(

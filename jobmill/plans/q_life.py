@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import joins, lifecycle, reports
+from ..operators import crawl, joins, lifecycle, reports
 from ..sources import domain
 from ..sources.domain import AS_OF, at
 from ..streaming import stateful
@@ -136,7 +136,7 @@ def _emissions(spark: SparkSession, sf: str) -> DataFrame:
     EMISSION + "SELECT key, first AS seq, first_stale AS stale FROM f UNION ALL SELECT key, fresh, false FROM f WHERE first_stale AND fresh IS NOT NULL",
 )
 def w2(spark: SparkSession, sf: str) -> DataFrame:
-    return stateful.in_batch(_emissions(spark, sf), stateful.emit_step, stateful.EMITTED)
+    return stateful.emitted(_emissions(spark, sf))
 
 
 @query("w3_merged_stream", EMISSION + "SELECT key, CASE WHEN first_stale AND fresh IS NOT NULL THEN fresh ELSE first END AS seq, first_stale AND fresh IS NULL AS stale FROM f")
@@ -182,6 +182,96 @@ def w5(spark: SparkSession, sf: str) -> DataFrame:
     return stateful.in_batch(_outcomes(spark, sf).drop("failed"), stateful.limit_step, stateful.ACCEPTED)
 
 
+def _calls(spark: SparkSession, sf: str) -> DataFrame:
+    """Invented calls over the events: a call every 40 ms, up to seven seconds long."""
+    return domain.read(spark, sf, "events").select(F.col("user_id").alias("key"), F.col("event_id").alias("seq"), (F.col("event_id") * 40).alias("ms"), (F.col("event_id") * 37 % 7000).alias("took"))
+
+
+def _recursive_calls(start: str, step: str, out: str) -> str:
+    return f"""WITH RECURSIVE i AS (SELECT user_id AS key, event_id AS seq, event_id * 40 AS ms, event_id * 37 % 7000 AS took, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS r FROM events),
+s AS (SELECT {start} FROM i WHERE r = 1 UNION ALL SELECT {step} FROM s JOIN i ON i.key = s.key AND i.r = s.r + 1)
+SELECT {out} FROM s"""
+
+
+_BEGIN = "greatest(i.ms, s.one, s.started + 500)"
+
+
+@query(
+    "w6_polite_queues",
+    _recursive_calls(
+        "key, seq, r, ms AS started, CAST(0 AS BIGINT) AS one, ms + took AS other",
+        f"i.key, i.seq, i.r, {_BEGIN}, least(s.other, {_BEGIN} + i.took), greatest(s.other, {_BEGIN} + i.took)",
+        "key, seq, started",
+    ),
+)
+def w6(spark: SparkSession, sf: str) -> DataFrame:
+    """When each request of a host starts, with two at a time and half a second between starts."""
+    return stateful.in_batch(_calls(spark, sf), stateful.polite_step, stateful.STARTED)
+
+
+@query(
+    "w13_single_flights",
+    _recursive_calls(
+        "key, seq, ms, r, ms + took AS until, true AS accepted",
+        "i.key, i.seq, i.ms, i.r, CASE WHEN i.ms >= s.until THEN i.ms + i.took ELSE s.until END, i.ms >= s.until",
+        "key, seq, ms, accepted",
+    ),
+)
+def w13(spark: SparkSession, sf: str) -> DataFrame:
+    """Which calls to learn start a run: none while the user's last run still goes on."""
+    return stateful.in_batch(_calls(spark, sf), stateful.flight_step, stateful.FLOWN)
+
+
+@query(
+    "w7_retried_requests",
+    """WITH a AS (SELECT event_id // 3 AS request, event_id % 3 + 1 AS n, CASE event_type WHEN 'click' THEN 200 WHEN 'view' THEN 429 WHEN 'purchase' THEN 404 WHEN 'signup' THEN 503 END AS status FROM events),
+f AS (SELECT request, coalesce(min(n) FILTER (n = 3 OR status IN (200, 404)), max(n)) AS tries FROM a GROUP BY request)
+SELECT a.request, CAST(max(a.status) FILTER (a.n = f.tries) AS INT) AS status, CAST(any_value(f.tries) AS INT) AS tries,
+  CAST(coalesce(sum(CASE WHEN a.status IS NULL THEN 1000 * a.n ELSE 2000 * a.n END) FILTER (a.n < 3 AND (a.status IS NULL OR a.status IN (429, 503))), 0) AS BIGINT) AS waited, coalesce(max(a.status) FILTER (a.n = f.tries) = 200, false) AS ok
+FROM a JOIN f ON f.request = a.request AND a.n <= f.tries GROUP BY a.request""",
+)
+def w7(spark: SparkSession, sf: str) -> DataFrame:
+    """What became of each request, after how many attempts and how long a wait."""
+    status = F.when(F.col("event_type") == "click", 200).when(F.col("event_type") == "view", 429).when(F.col("event_type") == "purchase", 404).when(F.col("event_type") == "signup", 503)
+    log = domain.read(spark, sf, "events").select(F.floor(F.col("event_id") / 3).cast("long").alias("request"), (F.col("event_id") % 3 + 1).cast("int").alias("n"), status.alias("status"))
+    return crawl.retried(log)
+
+
+READING = "r AS (SELECT user_id % 12 AS source, event_id // 40 AS page, event_id AS position, CASE WHEN event_id % 997 = 996 THEN 'stopped' WHEN event_type = 'error' THEN 'lost' ELSE 'stored' END AS outcome FROM events)"
+
+
+def _readings(spark: SparkSession, sf: str) -> DataFrame:
+    outcome = F.when(F.col("event_id") % 997 == 996, "stopped").when(F.col("event_type") == "error", "lost").otherwise("stored")
+    return domain.read(spark, sf, "events").select((F.col("user_id") % 12).alias("source"), F.floor(F.col("event_id") / 40).cast("long").alias("page"), F.col("event_id").alias("position"), outcome.alias("outcome"))
+
+
+@query(
+    "w8_source_runs",
+    f"""WITH {READING}, e AS (SELECT source, min(position) FILTER (outcome = 'stopped') AS stop FROM r GROUP BY source),
+p AS (SELECT r.*, e.stop, e.stop IS NULL OR position < e.stop AS reached FROM r JOIN e USING (source)),
+b AS (SELECT source, stop, page, count(*) FILTER (reached AND outcome = 'stored') AS stored, count(*) FILTER (reached AND outcome = 'lost') AS lost, CAST(ceil(count(*) FILTER (reached) / 4) AS BIGINT) AS batches FROM p GROUP BY ALL)
+SELECT source, CAST(sum(stored) AS BIGINT) AS stored, CAST(sum(lost) AS BIGINT) AS lost, CAST(sum(batches) AS BIGINT) AS batches, bool_or(stop IS NOT NULL) AS failed FROM b GROUP BY source""",
+)
+def w8(spark: SparkSession, sf: str) -> DataFrame:
+    """What each source's run stored and lost, and whether it broke off."""
+    return crawl.source_runs(_readings(spark, sf))
+
+
+@query("w8_detail_batches", f"WITH {READING} SELECT source, page, position, CAST((row_number() OVER (PARTITION BY source, page ORDER BY position) - 1) // 4 AS BIGINT) AS batch FROM r")
+def w8_batches(spark: SparkSession, sf: str) -> DataFrame:
+    return crawl.detail_batches(_readings(spark, sf).drop("outcome"))
+
+
+@query(
+    "w10_refresh_starts",
+    "SELECT user_id AS key, event_id AS seq, CAST(5 + 180 * coalesce(sum(greatest(1, ceil((event_id * 37 % 700) / 180))) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS started FROM events",
+)
+def w10(spark: SparkSession, sf: str) -> DataFrame:
+    """When each refresh begins if it takes as long as told: every three hours, later where one runs over."""
+    runs = domain.read(spark, sf, "events").select(F.col("user_id").alias("key"), F.col("event_id").alias("seq"), (F.col("event_id") * 37 % 700).alias("took"))
+    return crawl.refresh_starts(runs).select("key", "seq", "started")
+
+
 @query("o4_unjudged_first_ten", with_(JOB, EVENT) + "SELECT id FROM job WHERE id NOT IN (SELECT job_id FROM ev WHERE kind = 'view' AND user_id = " + str(domain.USER) + ") ORDER BY id LIMIT 10")
 def o4(spark: SparkSession, sf: str) -> DataFrame:
     judged = domain.feedback_events(spark, sf).filter((F.col("kind") == "view") & (F.col("user_id") == domain.USER)).select(F.col("job_id").alias("id"))

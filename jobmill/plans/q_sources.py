@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.intents import lookup_intent
-from ..functions.text import html_text
-from ..operators import search
+from ..functions.text import contact_email, html_text
+from ..operators import crawl, search
 from ..sources import domain, feeds, html, web
 from . import captures as cases
 from .registry import literal, query, values
@@ -288,6 +288,57 @@ def s5(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("board", F.inline(html.cards_of("board", "html"))).select("board", "url", "title", "company", "location", "salary", "work_type")
 
 
+_LONG = "Kreslíme mapy měst, lesů a vod pro každého, kdo chodí pěšky. Kreslíme mapy měst, lesů a vod pro každého, kdo chodí pěšky. Kreslíme mapy měst, lesů a vod pro každého, kdo chodí pěšky. Kreslíme mapy měst, lesů a vod pro každého, kdo chodí pěšky."
+
+
+@query(
+    "s5_s6_posting_details",
+    values(
+        "url VARCHAR, title VARCHAR, description VARCHAR, apply_email VARCHAR",
+        [
+            ("u1", "Kartograf", "Úvod\n" + _LONG, "lide@koty.example"),
+            ("u2", "Kartograf", "první\n" + _LONG, None),
+            ("u3", "Kartograf", _LONG, None),
+            ("u4", "Kartograf", _LONG, "nabor@koty.example"),
+            ("u5", "Kartograf", "Mapy pro pěší", None),
+            ("u6", "Kartograf", "Kartograf — Opava", None),
+            ("u7", "Kartograf", "Jen pár slov", None),
+            ("u8", "Kartograf II", _LONG, None),
+            ("u9", "Z karty", "Celá stránka", None),
+        ],
+    ),
+)
+def s5_details(spark: SparkSession, sf: str) -> DataFrame:
+    """Postings read on their own pages: as served, as rendered, by their meta line, or from the listing alone."""
+    rows = literal(spark, "url string, board string, title string, company string, location string, served string, rendered string", cases.DETAILS_OF)
+    rows = rows.withColumn("s", html.detail_of("board", "served")).withColumn("r", html.detail_of("board", "rendered"))
+    title = F.when(F.col("board") == "cocuma", F.coalesce(F.nullif("s.title", F.lit("")), "title")).otherwise(F.col("title"))
+    every = F.concat(F.coalesce("s.emails", F.array().cast("array<string>")), F.coalesce("r.emails", F.array().cast("array<string>")))
+    return rows.select("url", title.alias("title"), crawl.described(["title", "company", "location"], F.col("s"), F.col("r")).alias("description"), contact_email(every).alias("apply_email"))
+
+
+@query(
+    "s6_browsed_pages",
+    values("search INT, page INT, url VARCHAR, title VARCHAR", [(1, 1, "https://www.cocuma.cz/job/a", "Svelte Developer"), (1, 1, "https://www.cocuma.cz/job/c", "Senior Svelte Engineer"), (1, 2, "https://www.cocuma.cz/job/d", "Svelte Lead"), (2, 1, "https://www.cocuma.cz/job/f", "Svelte Developer")]),
+)
+def s6(spark: SparkSession, sf: str) -> DataFrame:
+    """All jobs of a board are browsed and matched here; reading ends with a page that is not full."""
+    rows = literal(spark, "search int, page int, html string", cases.BROWSED)
+    pages = rows.select("search", "page", html.links_with("html", F.lit("/job/")).alias("links"), html.cards_of(F.lit("cocuma"), "html").alias("cards"))
+    return crawl.browsed(pages, search.title_matches(F.col("title"), "Svelte", lookup_intent("Svelte"))).select("search", "page", "url", "title")
+
+
+@query(
+    "s10_skill_then_role",
+    values("search INT, rank INT, url VARCHAR, title VARCHAR", [(1, 0, "https://www.skilleto.cz/jobs/7", "Svelte Developer"), (2, 1, "https://www.skilleto.cz/jobs/7", "Svelte Developer")]),
+)
+def s10(spark: SparkSession, sf: str) -> DataFrame:
+    """The skill's page, and the role's where that has no match."""
+    rows = literal(spark, "search int, rank int, allowed boolean, html string", cases.TWO_PAGES)
+    pages = rows.withColumn("cards", html.cards_of(F.lit("skilleto"), "html"))
+    return crawl.first_page_with_cards(pages, search.title_matches(F.col("title"), "Svelte", lookup_intent("Svelte"))).select("search", "rank", "url", "title")
+
+
 @query("s32_latest_cv", values("user_id INT, body VARCHAR", [(1, "new"), (2, "only")]))
 def s32(spark: SparkSession, sf: str) -> DataFrame:
     """The text of each user's latest document; others than text are left to their own readers."""

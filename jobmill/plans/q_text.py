@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fields
 from ..functions import text as t
+from ..functions.profile import heuristic_profile
 from ..sources import domain
 from .registry import literal, query, values
 from .views import city, level, norm, skill_list
@@ -259,9 +260,11 @@ def f30(spark: SparkSession, sf: str) -> DataFrame:
     return domain.read(spark, sf, "events").select("event_id", iso("ts").alias("starts"), iso(end).alias("ends"))
 
 
-CV = """Jan Novák
-Senior Frontend Developer
-Praha, Czech Republic · jan@example.com · +420 777 123 456
+CV = """Jana Vzorová
+Senior Frontend Developer — Lipová dílna
+Praha, Czech Republic · jana@example.com · +420 777 123 456
+- Lead of a team that is no title
+Data analyst (part-time)
 
 Profile
 Frontend developer with 8 years of experience building React and TypeScript applications. Open to remote work.
@@ -269,19 +272,25 @@ Frontend developer with 8 years of experience building React and TypeScript appl
 Languages
 Czech (native), English (C1), German (A2)
 """
+CVS = [(1, CV), (2, "Frontend developer with 2 years of experience in React."), (3, "60 years young"), (4, "Tester\r\nTester\n\n  QA   engineer -  since 2019\n5 let praxe, francouzština"), (5, ""), (6, None)]
 
 
 @query(
     "a13_r19_cv_profile",
     values(
-        "id INT, years INT, city VARCHAR, remote BOOLEAN, skills VARCHAR, languages VARCHAR",
-        [(1, 8, "Praha", True, "React,TypeScript", "English,Czech,German"), (2, 2, None, None, "React", ""), (3, None, None, None, "", "")],
+        "id INT, years INT, titles VARCHAR, seniority VARCHAR, city VARCHAR, remote BOOLEAN, skills VARCHAR, languages VARCHAR, begins VARCHAR",
+        [
+            (1, 8, "Senior Frontend Developer|Data analyst", "senior", "Praha", True, "React,TypeScript", "English,Czech,German", "Jana Vzorová Senior "),
+            (2, 2, "Frontend developer with 2 years of experience in React.", "junior", None, None, "React", "", "Frontend developer w"),
+            (3, None, "", None, None, None, "", "", "60 years young"),
+            (4, 5, "Tester|QA engineer", "mid", None, None, "", "French", "Tester Tester QA eng"),
+            (5, None, "", None, None, None, "", "", ""),
+            (6, None, "", None, None, None, "", "", ""),
+        ],
     ),
 )
 def a13(spark: SparkSession, sf: str) -> DataFrame:
-    rows = literal(spark, "id int, cv string", [(1, CV), (2, "Frontend developer with 2 years of experience in React."), (3, "60 years young")])
-    folded = t.normalize_text("cv")
-    tongues = (("english|anglictina|anglicky", "English"), ("czech|cestina|cesky", "Czech"), ("slovak|slovenstina|slovensky", "Slovak"), ("german|nemcina|nemecky|deutsch", "German"), ("french|francouzstina", "French"), ("spanish|spanelstina", "Spanish"))
-    spoken = F.array_compact(F.array(*(F.when(F.rlike(folded, F.lit(f"(^| )({p})( |$)")), F.lit(name)) for p, name in tongues)))
-    remote = F.when(F.rlike(folded, F.lit(r"(^| )(remote|home ?office|vzdalen\w*|z domova)( |$)")), True)
-    return rows.select("id", fields.years_of_experience("cv").alias("years"), fields.detect_city("cv").alias("city"), remote.alias("remote"), F.array_join(fields.skills("cv"), ",").alias("skills"), F.array_join(spoken, ",").alias("languages"))
+    """What a CV says without a model: titles, level by title or else by years, city, wishes, skills, languages."""
+    rows = literal(spark, "id int, cv string", CVS).select("id", fields.years_of_experience("cv").alias("years"), heuristic_profile("cv").alias("p"))
+    joined = lambda name, by: F.array_join(f"p.{name}", by).alias(name)
+    return rows.select("id", "years", joined("titles", "|"), "p.seniority", "p.city", "p.remote", joined("skills", ","), joined("languages", ","), F.substring("p.summary", 1, 20).alias("begins"))

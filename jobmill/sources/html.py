@@ -343,6 +343,52 @@ def absolute_url(href: pd.Series, base: pd.Series) -> pd.Series:
     return pd.Series([one(h, b) for h, b in zip(href, base, strict=True)])
 
 
+#: Where boards keep a posting's description, by class, id or attribute; the first place with a complete text wins.
+DETAIL_PLACES = {
+    "jobscz": (
+        (("class", "cp-detail__content"), ("class", "m-detail__description")),
+        (("data-jobad", "body"), ("data-test", "jd-body-richtext"), ("class", "RichContent")),
+        (("id", "vacancy-detail"),),
+    ),
+}
+PROFILE_SECTION, LEAST_SECTION = "company-profile-component", 40
+DETAIL = T.StructType([T.StructField(n, T.StringType()) for n in ("title", "body", "main", "meta")] + [T.StructField("emails", T.ArrayType(T.StringType()))])
+
+
+def _stands_at(node: Node, place: tuple[str, str]) -> bool:
+    name, value = place
+    said = node.attrs.get(name, "")
+    return value in said.split() if name == "class" else said == value
+
+
+def detail(board: str, page: str) -> tuple:
+    """(first heading, description, main text, meta line, addresses) of a posting's page; the description is empty unless it is complete."""
+    root = parse(page)
+    main = main_text(root)
+    if board == "cocuma":  # the sections of the company's profile that say something, else the page
+        sections = [block_text(n) for n in root.find(lambda n: _stands_at(n, ("class", PROFILE_SECTION)))]
+        body = "\n\n".join(x for x in sections if len(x) > LEAST_SECTION) or main
+    else:
+        texts = ("\n".join(filter(None, (block_text(n) for n in root.find(lambda n: any(_stands_at(n, at) for at in places))))) for places in DETAIL_PLACES.get(board, ()))  # noqa: B023
+        body = next((x for x in texts if len(x) >= LEAST_MAIN), "")
+    metas = root.find(lambda n: n.tag == "meta" and n.attrs.get("content", "").strip() != "")
+    said = [m.attrs["content"].strip() for key, name in (("property", "og:description"), ("name", "description")) for m in metas if m.attrs.get(key) == name]
+    return _text_of(root.first(lambda n: n.tag == "h1")), body, main, next(iter(said), ""), emails(root)
+
+
+@F.pandas_udf(DETAIL)
+def detail_of(board: pd.Series, page: pd.Series) -> pd.DataFrame:
+    """detail() of each page, nulls without a page."""
+    read = [detail(b, p) if p is not None else (None,) * len(DETAIL.names) for b, p in zip(board, page, strict=True)]
+    return pd.DataFrame(read, columns=DETAIL.names)
+
+
+@F.pandas_udf(T.IntegerType())
+def links_with(page: pd.Series, part: pd.Series) -> pd.Series:
+    """How many links of a page hold `part` in their address; 0 without a page."""
+    return pd.Series([len(parse(p).find(lambda n: n.tag == "a" and w in n.attrs.get("href", ""))) for p, w in zip(page, part, strict=True)])  # noqa: B023
+
+
 def longest_description(*candidates: Column, least: int = 200) -> Column:
     """The first candidate of at least `least` characters, empty without one."""
     return F.coalesce(*(F.when(F.length(c) >= least, c) for c in candidates), F.lit(""))

@@ -1,4 +1,4 @@
-"""Keyed state on streams: emit once, circuit breaker, rate limit, framed lines; each with a batch form of the same step."""
+"""Keyed state on streams: emit once, circuit breaker, rate limit, polite queues, single flights, framed lines; each with a batch form of the same step."""
 
 from __future__ import annotations
 
@@ -11,6 +11,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 PAUSE_AFTER, PAUSE_MS = 3, 600_000
 GAP_MS = 10_000
+SLOTS_GAP_MS = 500
 
 EMITTED = "key long, seq long, stale boolean"
 EMIT_STATE = "stale int"
@@ -18,6 +19,10 @@ OUTCOME = "key long, seq long, ms long, failures int, paused_until long, blocked
 OUTCOME_STATE = "failures int, until long"
 ACCEPTED = "key long, seq long, ms long, accepted boolean"
 ACCEPT_STATE = "last long"
+STARTED = "key long, seq long, started long"
+QUEUE_STATE = "one long, other long, allowed long"
+FLOWN = "key long, seq long, ms long, accepted boolean"
+FLIGHT_STATE = "until long"
 
 
 def emit_step(state: tuple | None, rows: pd.DataFrame) -> tuple[tuple | None, list[tuple]]:
@@ -57,6 +62,28 @@ def limit_step(state: tuple | None, rows: pd.DataFrame) -> tuple[tuple | None, l
     return (last,), out
 
 
+def polite_step(state: tuple | None, rows: pd.DataFrame) -> tuple[tuple | None, list[tuple]]:
+    """Two requests of a host at most at the same time, half a second at least between two starts; rows (key, seq, ms, took) in the order they queue."""
+    one, other, allowed = state or (0, 0, 0)
+    out = []
+    for row in rows.itertuples():
+        start = max(row.ms, min(one, other), allowed)
+        one, other, allowed = max(one, other), start + row.took, start + SLOTS_GAP_MS
+        out.append((row.key, row.seq, start))
+    return (one, other, allowed), out
+
+
+def flight_step(state: tuple | None, rows: pd.DataFrame) -> tuple[tuple | None, list[tuple]]:
+    """One flight of a key at a time: a call during a flight is dropped, not queued. rows (key, seq, ms, took)."""
+    until = state[0] if state else None
+    out = []
+    for row in rows.itertuples():
+        free = until is None or row.ms >= until
+        until = row.ms + row.took if free else until
+        out.append((row.key, row.seq, row.ms, free))
+    return (until,), out
+
+
 Step = Callable[[tuple | None, pd.DataFrame], tuple[tuple | None, list[tuple]]]
 
 
@@ -65,13 +92,21 @@ def _names(schema: str) -> list[str]:
 
 
 def in_batch(rows: DataFrame, step: Step, schema: str) -> DataFrame:
-    """A step over all rows of each key in the order of seq."""
+    """A step over all rows of each key in the order of seq; rows come sorted and in Arrow batches, so that a key of any size holds one batch in memory."""
     names = _names(schema)
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(step(None, group.sort_values("seq"))[1], columns=names)
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, state = object(), None
+        for batch in batches:
+            out: list[tuple] = []
+            for key, part in batch.groupby("key", sort=False, dropna=False):
+                key = None if pd.isna(key) else key
+                state, made = step(state if key == last else None, part)
+                last = key
+                out += made
+            yield pd.DataFrame(out, columns=names)
 
-    return rows.groupBy("key").applyInPandas(run, schema)
+    return rows.repartition("key").sortWithinPartitions("key", "seq").mapInPandas(run, schema)
 
 
 def on_stream(rows: DataFrame, step: Step, schema: str, state_schema: str) -> DataFrame:
@@ -88,6 +123,13 @@ def on_stream(rows: DataFrame, step: Step, schema: str, state_schema: str) -> Da
     return rows.groupBy("key").applyInPandasWithState(run, schema, state_schema, "append", GroupStateTimeout.NoTimeout)
 
 
+def emitted(items: DataFrame) -> DataFrame:
+    """emit_step over a whole table, as a fold: each key's first row, and the first fresh one if a stale one came first."""
+    first = items.groupBy("key").agg(F.min(F.struct("seq", "stale")).alias("first"), F.min(F.when(~F.col("stale"), F.col("seq"))).alias("fresh"))
+    again = F.when(F.col("first.stale") & F.col("fresh").isNotNull(), F.struct(F.col("fresh").alias("seq"), F.lit(False).alias("stale")))
+    return first.select("key", F.inline(F.array_compact(F.array("first", again))))
+
+
 def merged(items: DataFrame) -> DataFrame:
     """One row (key, seq, stale) for each key: the first fresh one if a stale one came first, else the first."""
     first = items.groupBy("key").agg(F.min(F.struct("seq", "stale")).alias("first"), F.min(F.when(~F.col("stale"), F.col("seq"))).alias("fresh"))
