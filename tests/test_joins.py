@@ -82,7 +82,7 @@ def dense(spark, tmp_path_factory):
     return sf
 
 
-@pytest.mark.parametrize("name", ["j6_earlier_application_in_group"])
+@pytest.mark.parametrize("name", ["j6_earlier_application_in_group", "k7_track_decision"])
 def test_candidates_of_large_groups_equal_sql_and_are_not_moved(spark, dense, name):
     con = duckdb.connect()
     for t in ("part", "orders", "lineitem"):
