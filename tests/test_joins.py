@@ -97,3 +97,10 @@ def test_candidates_of_large_groups_equal_sql_and_are_not_moved(spark, dense, na
         assert len({x[3] for x in got}) == 4 and any(x[0] is None for x in got)
     out.collect()
     assert len(got) > 10_000 and most(out, "shuffleRecordsWritten", "ShuffleExchangeExec") <= 2_000
+
+
+def test_tracking_is_decided_before_candidates_spread(spark, dense):
+    """Above the join of groups and postings there is only what depends on a candidate: whether it is held."""
+    plan = core.QUERIES["k7_track_decision"](spark, dense)._jdf.queryExecution().optimizedPlan().toString()
+    above, below = plan.split("Join Inner, (group_key", 1)
+    assert "already tracked" in above and "elsewhere" not in above and "elsewhere" in below
