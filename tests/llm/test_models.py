@@ -275,6 +275,45 @@ def test_one_huge_text_takes_no_others_from_the_sample(spark, monkeypatch):
     assert np.mean([(r.score >= 0.5) == bool(truth[r.doc_id]) for r in got]) > 0.9
 
 
+def test_toxicity_is_learnt_from_every_labelled_row(spark):
+    """Also from those that come last by the hash of doc_id, beyond 8,000: only they have the word."""
+    ids = spark.range(12_000).select("id", F.xxhash64("id").alias("draw"), (F.crc32(F.col("id").cast("string")) % 5 == 0).alias("held_out")).collect()
+    learnt = sorted((r for r in ids if not r.held_out), key=lambda r: r.draw)
+    late = {r.id for r in learnt[8000:]} | {r.id for r in ids if r.held_out}
+    with_word = {k for k in late if k % 3 == 0}
+    rows = [(k, f"{prose(k, 3)} lumpix" if k in with_word else prose(k, 4), "en", "s") for k in range(12_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    labels = spark.createDataFrame([(k, 1, int(k in with_word)) for k in range(12_000)], "doc_id long, quality int, toxic int")
+    got = toxicity.scored(docs, *toxicity.fit(docs, labels)).filter(F.crc32(F.col("doc_id").cast("string")) % 5 == 0).collect()
+    assert np.mean([(r.score >= 0.5) == (r.doc_id in with_word) for r in got]) > 0.95
+
+
+def test_toxicity_over_several_shards_and_runs(spark, monkeypatch):
+    """Texts longer than LONGEST are learnt from; shards are learnt in several runs, averaged, and reruns agree."""
+    for name, value in (("SHARD", 500), ("SAMPLE_WORDS", 9_000), ("LONGEST", 20)):
+        monkeypatch.setattr(toxicity, name, value)
+    rows, labels = toxic_rows(2500)
+    docs = spark.createDataFrame([(k, "plain " * 20 + text, lang, s) for k, text, lang, s in rows], "doc_id long, text string, lang string, source string")
+    marks = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    first, again = toxicity.fit(docs, marks), toxicity.fit(docs.repartition(3, "text"), marks.repartition(2))
+    assert first[1] == again[1] and np.array_equal(first[0].embedding, again[0].embedding)
+    got = toxicity.scored(docs, *first).filter(F.crc32(F.col("doc_id").cast("string")) % 5 == 0).collect()
+    truth = {k: t for k, _, t in labels}
+    assert np.mean([(r.score >= 0.5) == bool(truth[r.doc_id]) for r in got]) > 0.9
+
+
+def test_largest_answers_do_not_depend_on_runs(monkeypatch):
+    rng = np.random.default_rng(2)
+    texts = [rng.integers(0, 30, (n, 2)).astype(np.int32) for n in (0, 1, 5, 40, 7, 3, 90, 2)]
+    tables = [rng.normal(size=(toxicity.BUCKETS + 1, 4)) for _ in range(3)]
+    flat, first, places = toxicity._padded(np.concatenate(texts), np.array([len(t) for t in texts]))
+    wanted = toxicity._peaks(tables, flat, first, places)
+    for longest in (1, 6, 39, 41):
+        monkeypatch.setattr(toxicity, "LONGEST", longest)
+        got = toxicity._peaks(tables, flat, first, places)
+        assert np.array_equal(got[0], wanted[0]) and np.array_equal(got[1], wanted[1])
+
+
 def junk(k: int):
     r = random.Random(k)
     words = prose(k, 120).split()
