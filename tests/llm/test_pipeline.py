@@ -71,3 +71,15 @@ def test_run_takes_words_near_the_targets(spark):
     assert rows and all(r.n <= 3 and r.doc_id in docs for r in rows)
     words = sum(r.n * len(re.findall(r"\S+", docs[r.doc_id].text)) for r in rows)
     assert words > 0
+
+
+def test_toxicity_stage_learns_from_every_labelled_row(spark, tmp_path):
+    """A word that only rows beyond the first 8,000 by the hash of doc_id have: held-out documents with it go, all others stay."""
+    ids = spark.range(12_000).select("id", F.xxhash64("id").alias("draw"), (F.crc32(F.col("id").cast("string")) % 5 == 0).alias("held_out")).collect()
+    late = {r.id for r in sorted((r for r in ids if not r.held_out), key=lambda r: r.draw)[8000:]} | {r.id for r in ids if r.held_out}
+    toxic = {k for k in late if k % 3 == 0}
+    spark.createDataFrame([(k, 1, int(k in toxic)) for k in range(12_000)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    docs = spark.createDataFrame([(k, f"plain words {k % 7}" + " lumpix" * (k in toxic), "en", "s") for k in range(12_000)], "doc_id long, text string, lang string, source string")
+    kept = {r.doc_id for r in corpus_pipeline.drop_toxic(spark, docs, str(tmp_path)).collect()}
+    held_out = {r.id for r in ids if r.held_out}
+    assert len(held_out & toxic) > 500 and kept & held_out == held_out - toxic
