@@ -15,10 +15,11 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import COUNT_SCHEMA, MARKS, Scratch, count_rows, lean, mix, summed_counts, text_slices, tuned, word_hashes
@@ -142,8 +143,11 @@ def gradients(model: Model, texts: list[np.ndarray], labels: np.ndarray) -> Slop
     counts = np.array([len(x) for x in texts])
     flat, first, places = _padded(np.concatenate(texts), counts)
     pooled, where = [], []
-    own = np.unique(flat)
-    back = np.searchsorted(own, flat)
+    place_of = np.zeros(BUCKETS + 1, dtype=np.int32)
+    place_of[flat] = 1
+    own = np.flatnonzero(place_of)
+    place_of[own] = np.arange(len(own))
+    back = place_of[flat]
     for w in model.filters:
         best, place = _peaks([model.embedding[own] @ w[o] for o in range(len(w))], back, first, places)
         pooled.append(best)
@@ -245,8 +249,13 @@ def _texts_of_buckets(texts: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def averaged(rows: DataFrame, learner: Learner, seen_in: np.ndarray, turn: int, epochs: int, parts: int = 8) -> Learner:
-    """learner after each shard of rows (shard, toxic, ids) went on from it. The shards' arrays are summed part by part, in the order of shards."""
+def averaged(rows: DataFrame, learner: Learner, seen_in: np.ndarray, turn: int, epochs: int, scratch: Scratch, parts: int = 16) -> Learner:
+    """learner after each shard of rows (shard, toxic, ids) went on from it.
+
+    The shards' arrays are written in `parts` columns, and each column is summed apart, in the order of shards. The table goes at once, where
+    shuffled arrays would stay on disk until the driver's garbage is collected.
+    """
+    names = [f"p{k}" for k in range(parts)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def shard_rows(held: list) -> pa.RecordBatch:
@@ -254,7 +263,7 @@ def averaged(rows: DataFrame, learner: Learner, seen_in: np.ndarray, turn: int,
             weighted = [(x * by_bucket[:, None] if bucket else x * np.float32(count)).reshape(-1) for bucket, x in own.every()]
             flat = np.concatenate([*weighted, by_bucket, [count, count * own.step]]).astype("<f4")
             pieces = np.array_split(flat, parts)
-            return pa.RecordBatch.from_arrays([pa.array(range(parts), pa.int32()), pa.array([shard] * parts, pa.int32()), pa.array([x.tobytes() for x in pieces], pa.binary())], names=["part", "shard", "sums"])
+            return pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in pieces)], names=["shard", *names])
 
         def flush(held: list) -> None:
             texts = held[4]
@@ -289,9 +298,12 @@ def averaged(rows: DataFrame, learner: Learner, seen_in: np.ndarray, turn: int,
                 sums[part] = sums.get(part, 0) + np.frombuffer(values, "<f4").astype(np.float64)
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], names=["part", "sums"])
 
-    by_shard = rows.select("shard", "toxic", "ids").mapInArrow(lean(run), "part int, shard int, sums binary")
-    found = by_shard.repartition(parts, "part").sortWithinPartitions("part", "shard").mapInArrow(add, "part int, sums binary").collect()
-    flat = np.concatenate([np.frombuffer(r.sums, "<f8") for r in sorted(found, key=lambda r: r.part)])
+    by_shard = scratch.written(rows.select("shard", "toxic", "ids").mapInArrow(lean(run), ", ".join(["shard int", *(f"{x} binary" for x in names)])), "toxicity-sums")
+    columns = [by_shard.select(F.lit(k).alias("part"), "shard", F.col(x).alias("sums")).coalesce(1).sortWithinPartitions("shard") for k, x in enumerate(names)]
+    apart = rows.sparkSession.range(0, 1, 1, 2).select(F.lit(-1), F.lit(-1), F.lit(b""))  # else Spark sees that all are of one partition, and takes one task for them
+    found = reduce(DataFrame.union, [*columns, apart]).mapInArrow(lean(add), "part int, sums binary").collect()
+    scratch.drop(by_shard)
+    flat = np.concatenate([np.frombuffer(r.sums, "<f8") for r in sorted(found, key=lambda r: r.part) if r.part >= 0])
     by_bucket, (count, steps) = flat[-BUCKETS - 3 : -2, None], flat[-2:]
     out = learner.copied()
     for bucket, x in out.every():
@@ -368,9 +380,9 @@ def id_filter(ids: DataFrame, parts: int = 16) -> np.ndarray:
 def labelled(docs: DataFrame, labels: DataFrame, scratch: Scratch) -> DataFrame:
     """(shard, aside, lang, toxic, ids) of every row of docs with a label whose crc32(doc_id as text) mod 5 is not 0; a shard's rows lie together, in an order of their own."""
     learnt_from = F.crc32(F.col("doc_id").cast("string")) % 5 != 0
-    known = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & learnt_from).select(F.col("doc_id").cast("long").alias("doc_id"), "toxic")
-    marks = known.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    shards = max(1, -(-marks.count() // SHARD))
+    known = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & learnt_from)
+    known = known.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
+    shards = max(1, -(-known.select("doc_id").distinct().count() // SHARD))
     some = id_filter(known.select("doc_id"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -388,9 +400,15 @@ def labelled(docs: DataFrame, labels: DataFrame, scratch: Scratch) -> DataFrame:
     has_lang = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
     texts = tuned(docs).filter(F.col("doc_id").isNotNull() & learnt_from).select(F.col("doc_id").cast("long").alias("doc_id"), has_lang.alias("lang"), F.col("text").cast("string").alias("text"))
     coded = texts.mapInArrow(lean(run), "doc_id long, lang string, ids binary")
-    draw, tie = F.xxhash64("doc_id").alias("draw"), F.xxhash64("ids", "lang").alias("tie")
-    rows = coded.join(marks.hint("shuffle_hash"), "doc_id").select("doc_id", "lang", "toxic", "ids", draw, tie, F.pmod(F.xxhash64("doc_id", F.lit("shard")), F.lit(shards)).cast("int").alias("shard"))
-    rows = rows.repartition(4 * shards, "shard").sortWithinPartitions("shard", "draw", "doc_id", "tie")  # fewer shards fall together
+    # Labels and texts are dealt once, together: a document's labels come before its texts, and the largest is theirs.
+    marks = known.select("doc_id", F.lit(None).cast("string").alias("lang"), F.lit(None).cast("binary").alias("ids"), F.col("toxic").alias("label"))
+    both = coded.withColumn("label", F.lit(None).cast("int")).union(marks)
+    shard = F.pmod(F.xxhash64("doc_id", F.lit("shard")), F.lit(shards)).cast("int").alias("shard")
+    order = ["shard", "draw", "doc_id", "text", "tie"]
+    dealt = both.select("*", shard, F.xxhash64("doc_id").alias("draw"), F.col("ids").isNotNull().alias("text"), F.xxhash64("ids", "lang").alias("tie"))
+    dealt = dealt.repartition(4 * shards, "shard").sortWithinPartitions(*order)  # fewer shards fall together
+    above = Window.partitionBy(*order[:3]).orderBy(*order[3:]).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = dealt.withColumn("toxic", F.max("label").over(above)).filter("text and toxic is not null")
     return scratch.written(rows.select("shard", (F.pmod("draw", F.lit(5)) == 0).alias("aside"), "lang", "toxic", "ids"), "toxicity-rows")
 
 
@@ -411,9 +429,9 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[Model, dict[str | None, flo
         seen_in = summed_counts(learning.select("ids").mapInArrow(seen, COUNT_SCHEMA), BUCKETS + 1, 4)
         learner = begun(seen_in, n, hits)
         if 0 < hits < n:
-            learner = averaged(learning.filter(F.col("shard") == first), learner, seen_in, 0, EPOCHS)
+            learner = averaged(learning.filter(F.col("shard") == first), learner, seen_in, 0, EPOCHS, scratch)
             for turn in range(ROUNDS if last > first else 0):
-                learner = averaged(learning, learner, seen_in, turn + 1, 1)
+                learner = averaged(learning, learner, seen_in, turn + 1, 1, scratch)
         return learner.model(), calibrated(rows.filter("aside"), learner.model())
 
 

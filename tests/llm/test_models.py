@@ -302,6 +302,25 @@ def test_toxicity_over_several_shards_and_runs(spark, monkeypatch):
     assert np.mean([(r.score >= 0.5) == bool(truth[r.doc_id]) for r in got]) > 0.9
 
 
+def test_toxicity_moves_texts_once_and_drops_sums(spark, monkeypatch):
+    """Labelled texts go through one exchange, and each round's sums leave the disk before the next."""
+    written, plans, names, held = toxicity.Scratch.written, {}, [], []
+
+    def spied(self, df, name):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        names.append(name)
+        held.append(len(self.paths))
+        return written(self, df, name)
+
+    monkeypatch.setattr(toxicity, "SHARD", 100)
+    monkeypatch.setattr(toxicity.Scratch, "written", spied)
+    rows, labels = toxic_rows(600)
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    toxicity.fit(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    assert plans["toxicity-rows"].count("Exchange") == 1 and plans["toxicity-sums"].count("Exchange") == 0
+    assert names.count("toxicity-sums") == 1 + toxicity.ROUNDS and max(held) == 1
+
+
 def test_largest_answers_do_not_depend_on_runs(monkeypatch):
     rng = np.random.default_rng(2)
     texts = [rng.integers(0, 30, (n, 2)).astype(np.int32) for n in (0, 1, 5, 40, 7, 3, 90, 2)]
