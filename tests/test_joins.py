@@ -1,6 +1,7 @@
 """Joins over large groups: what they return, and how many rows they make or move on the way."""
 
 import datetime
+import itertools
 import os
 import random
 
@@ -104,3 +105,15 @@ def test_tracking_is_decided_before_candidates_spread(spark, dense):
     plan = core.QUERIES["k7_track_decision"](spark, dense)._jdf.queryExecution().optimizedPlan().toString()
     above, below = plan.split("Join Inner, (group_key", 1)
     assert "already tracked" in above and "elsewhere" not in above and "elsewhere" in below
+
+
+def test_candidates_go_by_lists_from_user_to_user(spark):
+    """What files of many candidates compress: a list of postings repeats for all users of a share before the next list."""
+    day = datetime.datetime(2024, 1, 1)
+    posted = spark.createDataFrame([(k, "g") for k in range(1300)], "id long, group_key string")
+    made = spark.createDataFrame([(k, k, 7 * k, "APPLIED", day) for k in range(100)], "id long, user_id long, job_id long, status string, created_at timestamp_ntz")
+    groups = joins.applied_groups(made, posted, F.lit(day))
+    rows = joins.group_candidates(groups, posted).select(F.spark_partition_id().alias("p"), "user_id", "candidate").collect()
+    assert sorted((x.user_id, x.candidate) for x in rows) == [(u, c) for u in range(100) for c in range(1300)]
+    runs = [len(list(same)) for _, same in itertools.groupby(rows, key=lambda x: (x.p, x.user_id))]
+    assert max(runs) == 504
