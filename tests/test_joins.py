@@ -117,3 +117,16 @@ def test_candidates_go_by_lists_from_user_to_user(spark):
     assert sorted((x.user_id, x.candidate) for x in rows) == [(u, c) for u in range(100) for c in range(1300)]
     runs = [len(list(same)) for _, same in itertools.groupby(rows, key=lambda x: (x.p, x.user_id))]
     assert max(runs) == 504
+
+
+def test_groups_with_what_is_held_are_not_moved_again(spark, dense):
+    """Rows of a user and group are made where the join with the group's postings needs them, whatever is too large to broadcast."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = core.QUERIES["k7_track_decision"](spark, dense)
+        out.collect()
+        moved = [n for n in nodes(out._jdf.queryExecution().executedPlan()) if n.getClass().getSimpleName() == "ShuffleExchangeExec"]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    columns = ["".join(n.output().mkString(",")) for n in moved]
+    assert len(columns) > 3 and not any("held" in c for c in columns)
